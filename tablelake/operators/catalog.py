@@ -27,10 +27,14 @@ def find_meta(registry: DataFrame, kind: str, year: Column | int) -> DataFrame:
     return registry.where(fits).agg(F.min("table_name").alias("table_name")).where("table_name is not null")
 
 
-def has_column(columns: DataFrame, table: str, column: str) -> DataFrame:
-    """Does the column registry list exactly this name?"""
-    match = (F.col("table_name") == table) & (F.col("column_name") == column)
-    return columns.agg(F.coalesce(F.bool_or(match), F.lit(False)).alias("has_column"))
+def tables_with_column(columns: DataFrame, column: str) -> DataFrame:
+    """Per table of the column registry: does it list exactly this name?"""
+    return columns.groupBy("table_name").agg(F.bool_or(F.col("column_name") == column).alias("has_column"))
+
+
+def has_column(columns: DataFrame, table: str, column: str) -> bool:
+    """The same for one table; names are compared as spelled."""
+    return not tables_with_column(columns.where(F.col("table_name") == table), column).where("has_column").isEmpty()
 
 
 def description_text(title: Column, description: Column, summary: Column | None = None) -> Column:

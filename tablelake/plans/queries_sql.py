@@ -248,11 +248,11 @@ FROM years LEFT JOIN orders o ON CAST(year(o.o_orderdate) AS INT) = y GROUP BY y
 statement("p_strings", r"""
 SELECT p_partkey, upper(p_name) AS upper_name, initcap(p_name) AS title_name, length(p_name) AS n_chars,
        split_part(p_brand, '#', 2) AS brand_no, substring(p_type, 1, 3) AS type_prefix,
-       regexp_replace(p_name, '[aeiou]', '*', 'g') AS masked, regexp_extract(p_brand, '([0-9]+)', 1) AS digits,
+       regexp_replace(p_name, '[aeiou]', '*') AS masked, regexp_extract(p_brand, '([0-9]+)', 1) AS digits,
        p_brand || '/' || p_type AS path, trim(concat('  ', p_name, ' ')) AS trimmed,
        lpad(CAST(p_size AS STRING), 4, '0') AS padded, reverse(p_brand) AS reversed,
        replace(p_type, 'A', '@') AS replaced, position('i' IN p_name) AS i_at
-FROM part""".replace(", 'g'", ""), r"""
+FROM part""", r"""
 SELECT p_partkey, upper(p_name) AS upper_name,
        array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title_name,
        CAST(length(p_name) AS INT) AS n_chars,
@@ -264,15 +264,12 @@ SELECT p_partkey, upper(p_name) AS upper_name,
 FROM part""")
 
 statement("p_dates", """
-SELECT CAST(date_trunc('MONTH', o_orderdate) AS DATE) AS month_start,
+SELECT CAST(CAST(date_trunc('MONTH', o_orderdate) AS DATE) AS STRING) AS month_start,
        CAST(extract(QUARTER FROM o_orderdate) AS INT) AS quarter, count(*) AS n_orders,
        CAST(min(o_orderdate + INTERVAL '7' DAY) AS STRING) AS first_due,
        CAST(max(extract(DAY FROM o_orderdate)) AS INT) AS last_day,
        CAST(sum(datediff(o_orderdate, TIMESTAMP '1995-01-01 00:00:00')) AS BIGINT) AS days
-FROM orders GROUP BY date_trunc('MONTH', o_orderdate), extract(QUARTER FROM o_orderdate)
-""".replace("AS DATE) AS month_start", "AS DATE) AS month_date").replace(
-    "SELECT CAST(date_trunc('MONTH', o_orderdate) AS DATE) AS month_date",
-    "SELECT CAST(CAST(date_trunc('MONTH', o_orderdate) AS DATE) AS STRING) AS month_start"), """
+FROM orders GROUP BY date_trunc('MONTH', o_orderdate), extract(QUARTER FROM o_orderdate)""", """
 SELECT CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS VARCHAR) AS month_start,
        CAST(extract(QUARTER FROM o_orderdate) AS INT) AS quarter, count(*) AS n_orders,
        CAST(min(o_orderdate + INTERVAL 7 DAY) AS VARCHAR) AS first_due,

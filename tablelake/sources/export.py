@@ -94,7 +94,8 @@ def discover_exports(spark: SparkSession, root: str, suffix: str = "csv") -> Dat
         .load(root)
     )
     name = F.element_at(F.split("path", "/"), -1)
-    year = F.regexp_extract(name, r"((?:19|20)\d{2})", 1)
+    # The year nearest the end: in the file's name, else in a folder's.
+    year = F.regexp_extract("path", r".*(?<!\d)((?:19|20)\d{2})(?!\d)", 1)
     return files.select(
         "path", name.alias("file_name"), "length",
         F.when(year != "", year.cast("int")).alias("year"),
