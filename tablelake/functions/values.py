@@ -9,30 +9,36 @@ from tablelake.functions.text import normalize_label, strip
 
 # What reads as a number. Spark's own cast would also take `5d` and `1f`.
 _DIGITS = r"[0-9]+(?:_[0-9]+)*"
-_NUMBER = rf"(?i)^[+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:e[+-]?{_DIGITS})?|inf|infinity|nan)$"
+_NUMBER = (rf"[+-]?(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:[eE][+-]?{_DIGITS})?"
+           r"|[iI][nN][fF](?:[iI][nN][iI][tT][yY])?|[nN][aA][nN])")
+_WHOLE = rf"^\s*({_NUMBER})\s*$"
+# In a cell a number may stand in brackets (both or none) and be flagged by `!`.
+_CELL = rf"^(?=\s*\(.*\)\s*!*\s*$|[^()]*$)\s*\(?\s*({_NUMBER})\s*\)?\s*!*\s*$"
+
+
+def _as_double(number: Column) -> Column:
+    """NULL for the empty text a pattern without a match leaves."""
+    return F.translate(number, "_", "").try_cast("double")
 
 
 def to_number(text: Column) -> Column:
     """Double, or NULL when the text is not a number as a whole."""
-    bare = strip(text)
-    return F.when(bare.rlike(_NUMBER), F.replace(bare, F.lit("_"), F.lit("")).try_cast("double"))
+    return _as_double(F.regexp_extract(text, "(?U)" + _WHOLE, 1))
 
 
 def parse_value(raw: Column) -> Column:
     """`struct(num, text, is_int)`: a number, or the marker/text; all NULL when blank.
 
     Parentheses mark standard errors and are only unwrapped, never negated.
+    One pattern finds the number, which keeps the expression small enough to
+    be compiled wherever it is pushed to.
     """
-    text = strip(raw)
-    marker = text.isin(*MISSING_MARKERS)
-    bare = strip(F.regexp_replace(F.translate(text, ",$", ""), r"!+\z", ""))
-    wrapped = bare.startswith("(") & bare.endswith(")") & (F.length(bare) > 1)
-    bare = F.when(wrapped, bare.substr(F.lit(2), F.length(bare) - 2)).otherwise(bare)
-    num = F.when(~marker, to_number(bare))
+    number = F.regexp_extract(F.translate(raw, ",$", ""), "(?U)" + _CELL, 1)
+    num = _as_double(number)
     return F.struct(
         num.alias("num"),
-        F.when(num.isNull() & (text != ""), text).alias("text"),
-        (num.isNotNull() & bare.rlike("^-*[0-9]+$")).alias("is_int"),
+        F.when(num.isNull(), F.nullif(strip(raw), F.lit(""))).alias("text"),
+        F.coalesce(num.isNotNull() & number.rlike("^-?[0-9]+$"), F.lit(False)).alias("is_int"),
     )
 
 
