@@ -22,13 +22,14 @@ from tablelake.session import materialise
 from tablelake.sources.html import extract_rows
 
 PAGE = "page_key"
-_page = Window.partitionBy(PAGE)
+def _page():
+    return Window.partitionBy(PAGE)
 
 
 def largest_table(rows: DataFrame) -> DataFrame:
     """Rows of the table with the most rows on its page, the first one on ties."""
     sized = rows.withColumn("n_rows", F.max("row_idx").over(Window.partitionBy(PAGE, "table_pos")) + 1)
-    best = F.max(F.struct(F.col("n_rows"), (-F.col("table_pos")).alias("first"))).over(_page)
+    best = F.max(F.struct(F.col("n_rows"), (-F.col("table_pos")).alias("first"))).over(_page())
     return (
         sized.withColumn("_best", best)
         .where(F.col("table_pos") == -F.col("_best.first"))
@@ -56,8 +57,8 @@ def split_header(rows: DataFrame) -> DataFrame:
     all_th = (F.size("cells") > 0) & F.forall("cells", lambda c: c["tag"] == "th")
     return (
         rows
-        .withColumn("_numbered", F.min(F.when(numbered, F.col("row_idx"))).over(_page))
-        .withColumn("_first_body", F.min(F.when(~all_th, F.col("row_idx"))).over(_page))
+        .withColumn("_numbered", F.min(F.when(numbered, F.col("row_idx"))).over(_page()))
+        .withColumn("_first_body", F.min(F.when(~all_th, F.col("row_idx"))).over(_page()))
         .withColumn("split_at", F.coalesce("_numbered", "_first_body", "n_rows"))
         .withColumn("body_from", F.coalesce(F.col("_numbered") + 1, F.col("split_at")))
         .drop("_numbered", "_first_body")
@@ -86,7 +87,7 @@ def header_paths(rows: DataFrame) -> DataFrame:
     end = F.max(F.col("c.grid_col") + F.col("c.colspan"))
     last_row = F.max("c.grid_row")
     placed = (
-        heads.withColumn("width", end.over(_page)).withColumn("last_row", last_row.over(_page))
+        heads.withColumn("width", end.over(_page())).withColumn("last_row", last_row.over(_page()))
         .withColumn("grid_col", F.explode(F.sequence(
             F.col("c.grid_col"), F.col("c.grid_col") + F.col("c.colspan") - 1)))
         .withColumn("grid_row", F.explode(F.sequence(
@@ -171,7 +172,7 @@ def build_records(body: DataFrame) -> DataFrame:
         F.get(F.col("columns"), i + 1).alias("column_name"),
         parse_value(c["text"]).alias("value"),
     )
-    index = F.row_number().over(_page.orderBy("row_idx")) - 1
+    index = F.row_number().over(_page().orderBy("row_idx")) - 1
     return rows.select(
         PAGE, index.alias("row_index"), "section", "indent", "row_label",
         F.filter(F.transform("values", cell), lambda c: c["column_name"].isNotNull()).alias("cells"),
@@ -330,7 +331,7 @@ def build_reports(pages: DataFrame, target: str | None = TARGET_SURVEY, lo: int
             F.lit(0).alias("dropped_columns"), F.lit(True).alias("kept"))
         records = records.join(wanted.select(PAGE), PAGE, "left_semi")
     tables = materialise(tables, "tables")
-    records = records.withColumn("row_index", F.row_number().over(_page.orderBy("row_index")) - 1)
+    records = records.withColumn("row_index", F.row_number().over(_page().orderBy("row_index")) - 1)
 
     counts = records.groupBy(PAGE).agg(F.count(F.lit(1)).alias("row_count"))
     shown = records if max_rows is None else records.where(F.col("row_index") < max_rows)

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("queries_sql", "queries_catalog", "queries_ingest", "queries_text")
+_MODULES = ("queries_sql", "queries_catalog", "queries_ingest", "queries_text", "queries_cells")
 
 
 def load_queries():

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelake.functions.values import parse_value
+from tablelake.session import materialise
 
 # ---- hierarchical report cells -------------------------------------------
 # Years are moved into 2003-2009, so that some fall outside the covered range.
@@ -56,19 +57,25 @@ def report_cells(tables) -> DataFrame:
     return tables.sql(REPORT_SQL)
 
 
-def report_records(tables, table_years: bool = True) -> DataFrame:
-    """One record per report row with its cells in an array (at most 14 of them)."""
+def report_records(tables) -> DataFrame:
+    """One record per report row with its cells in an array (at most 14 of them), written once."""
     cell = F.struct("col_index", "column_name", parse_value(F.col("raw")).alias("value"))
-    return (
+    records = (
         report_cells(tables)
         .groupBy("table_number", "title", "row_index", "section", "indent", "row_label")
-        .agg(F.array_sort(F.collect_list(F.struct("col_index", cell.alias("cell")))).alias("cells"))
-        .withColumn("cells", F.transform("cells", lambda s: s["cell"]))
+        .agg(F.array_sort(F.collect_list(cell)).alias("cells"))
         .withColumn("table_years", F.array(F.lit(2003), F.lit(2004)))
         .withColumn("edition_year", F.lit("2022"))
         .withColumn("page_url", F.concat(F.lit("https://tables.example.org/d22/tables/dt22_"),
                                          F.col("table_number"), F.lit(".asp")))
     )
+    return materialise(records, "report-records")
+
+
+def report_rows(tables) -> DataFrame:
+    """`table_number, row_index, section, indent, row_label`, written once."""
+    rows = report_cells(tables).select("table_number", "row_index", "section", "indent", "row_label").distinct()
+    return materialise(rows, "report-rows")
 
 
 # DuckDB side: numbers and texts of the raw cells, rows, and ancestor chains by

@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablelake.session import RUNTIME_CONFS
+from tablelake.session import configure
 from tablelake.sources.tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,9 +17,7 @@ def query(name: str, sql: str | None = None):
 
     def wrap(build: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            for key, value in RUNTIME_CONFS.items():
-                spark.conf.set(key, value)
-            return build(Tables(spark, folder))
+            return build(Tables(configure(spark), folder))
 
         if name in QUERIES:
             raise ValueError(f"query registered twice: {name}")
