@@ -41,10 +41,13 @@ def set_profile(questions: DataFrame) -> DataFrame:
     return (
         named.groupBy("measure", "name")
         .agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("groups"), F.max("n").alias("most"))
-        .select(F.explode(F.when(
-            F.col("measure") == "table",
-            F.array(F.struct(F.lit("tables").alias("measure"), F.lit("distinct").alias("name"), F.col("groups").alias("n")),
-                    F.struct(F.lit("tables"), F.lit("max per table"), F.col("most"))),
-        ).otherwise(F.array(F.struct("measure", "name", F.col("total"))))).alias("p"))
+        .select(F.explode(F.when(F.col("measure") == "table", F.array(
+            _entry(F.lit("tables"), F.lit("distinct"), F.col("groups")),
+            _entry(F.lit("tables"), F.lit("max per table"), F.col("most")),
+        )).otherwise(F.array(_entry(F.col("measure"), F.col("name"), F.col("total"))))).alias("p"))
         .select("p.*")
     )
+
+
+def _entry(measure, name, n):
+    return F.struct(measure.alias("measure"), name.alias("name"), n.alias("n"))

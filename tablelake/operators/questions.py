@@ -66,10 +66,14 @@ def lookup_candidates(cells: DataFrame) -> DataFrame:
 
 
 def rank_candidates(cells: DataFrame, seed: int = 0) -> DataFrame:
-    """One multiple-choice question per fairly rankable sibling group."""
+    """One multiple-choice question per fairly rankable sibling group.
+
+    The groups are written once, as both the questions and the search for
+    shared ids read them.
+    """
     # The table's own columns ride along with the ranked members.
     carry = ("column_name", *TABLE_COLUMNS)
-    groups = rank_eligible(rank_members(cells), carry=carry)
+    groups = materialise(rank_eligible(rank_members(cells), carry=carry), "ranked-groups")
     lead = F.get("ranked", F.lit(0))
     groups = groups.withColumns({c: lead[c] for c in carry})
     group_id = F.concat_ws("|", "table_number", F.col("col_index").cast("string"), "section",

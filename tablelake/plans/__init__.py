@@ -3,7 +3,9 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("queries_sql", "queries_catalog", "queries_ingest", "queries_text", "queries_cells")
+_MODULES = (
+    "queries_sql", "queries_catalog", "queries_ingest", "queries_text", "queries_cells", "queries_questions",
+)
 
 
 def load_queries():
