@@ -39,8 +39,8 @@ def link_index(pages: DataFrame, base_url: str, chapter: int = 3, pattern: str =
         F.concat(F.lit(base_url), F.lit("d"), edition, F.lit("/tables/xls/tabn"), number,
                  F.lit("."), suffix).alias("xlsx_url"),
         F.concat(F.lit("20"), edition).alias("edition_year"),
-        F.rtrim(F.col("head.label")).alias("chapter"),
-    ).withColumn("chapter", F.regexp_replace("chapter", r"\.+$", ""))
+        F.regexp_replace("head.label", r"\.+$", "").alias("chapter"),
+    )
     rest = [c for c in refs.columns if c not in (key, "page_url")]
     return (
         refs.groupBy(key, "page_url").agg(F.min(F.struct(*[F.col(c) for c in ("anchor_pos", *rest[1:])])).alias("ref"))

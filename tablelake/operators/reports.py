@@ -83,20 +83,20 @@ def level_path(levels: Column) -> Column:
 
 def header_paths(rows: DataFrame) -> DataFrame:
     """`(page_key, col_index, column_name)` from the placed header cells."""
-    heads = rows.where(F.col("row_idx") < F.col("split_at")).select(PAGE, F.explode("cells").alias("c"))
-    end = F.max(F.col("c.grid_col") + F.col("c.colspan"))
-    last_row = F.max("c.grid_row")
+    heads = rows.where(F.col("row_idx") < F.col("split_at")).select(
+        PAGE, F.inline(F.transform("cells", lambda c: F.struct(
+            c["grid_row"].alias("top"), c["grid_col"].alias("left"), c["rowspan"].alias("rowspan"),
+            c["colspan"].alias("colspan"), c["text"].alias("text")))))
     placed = (
-        heads.withColumn("width", end.over(_page())).withColumn("last_row", last_row.over(_page()))
-        .withColumn("grid_col", F.explode(F.sequence(
-            F.col("c.grid_col"), F.col("c.grid_col") + F.col("c.colspan") - 1)))
+        heads.withColumn("width", F.max(F.col("left") + F.col("colspan")).over(_page()))
+        .withColumn("last_row", F.max("top").over(_page()))
+        .withColumn("grid_col", F.explode(F.sequence(F.col("left"), F.col("left") + F.col("colspan") - 1)))
         .withColumn("grid_row", F.explode(F.sequence(
-            F.col("c.grid_row"),
-            F.least(F.col("c.grid_row") + F.col("c.rowspan") - 1, F.col("last_row")))))
+            F.col("top"), F.least(F.col("top") + F.col("rowspan") - 1, F.col("last_row")))))
     )
     level = (
         placed.groupBy(PAGE, "grid_col", "grid_row")
-        .agg(F.max_by("c.text", F.struct("c.grid_row", "c.grid_col")).alias("text"), F.max("width").alias("width"))
+        .agg(F.max_by("text", F.struct("top", "left")).alias("text"), F.max("width").alias("width"))
     )
     column = level.groupBy(PAGE, "grid_col").agg(
         F.array_sort(F.collect_list(F.struct("grid_row", "text"))).alias("levels"))
