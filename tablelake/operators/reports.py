@@ -90,6 +90,7 @@ def header_paths(rows: DataFrame) -> DataFrame:
     placed = (
         heads.withColumn("width", F.max(F.col("left") + F.col("colspan")).over(_page()))
         .withColumn("last_row", F.max("top").over(_page()))
+        .where("colspan > 0 and rowspan > 0")
         .withColumn("grid_col", F.explode(F.sequence(F.col("left"), F.col("left") + F.col("colspan") - 1)))
         .withColumn("grid_row", F.explode(F.sequence(
             F.col("top"), F.least(F.col("top") + F.col("rowspan") - 1, F.col("last_row")))))
@@ -117,6 +118,17 @@ def header_columns(rows: DataFrame) -> DataFrame:
                     lambda s: s["column_name"]).alias("columns"))
 
 
+def bad_spans(rows: DataFrame) -> DataFrame:
+    """`(page_key, error)` of pages whose table cannot be laid out: a span that is read is no number."""
+    first = F.get("cells", F.lit(0))
+    in_head = (F.col("row_idx") < F.col("split_at")) & F.exists(
+        "cells", lambda c: c["colspan"].isNull() | c["rowspan"].isNull())
+    in_body = ((F.col("row_idx") >= F.col("body_from")) & (F.col("row_text") != "")
+               & (F.size("cells") > 1) & first["colspan"].isNull())
+    return rows.where(in_head | in_body).groupBy(PAGE).agg(
+        F.concat(F.lit("span is not a number in row "), F.min("row_idx")).alias("error"))
+
+
 def split_footnotes(rows: DataFrame, headers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """`(footnote rows, data rows)` of the body; other table-wide rows are dropped.
 
@@ -304,7 +316,10 @@ def build_reports(pages: DataFrame, target: str | None = TARGET_SURVEY, lo: int
     """
     meta = pages.drop("html")
     raw = materialise(extract_rows(pages), "page-rows")
-    table = materialise(split_header(largest_table(raw.where("error is null"))).where("n_rows >= 3"), "table-rows")
+    laid_out = materialise(
+        split_header(largest_table(raw.where("error is null"))).where("n_rows >= 3"), "table-rows")
+    errors = raw.where("error is not null").select(PAGE, "error").distinct().unionByName(bad_spans(laid_out))
+    table = laid_out.join(errors.select(PAGE), PAGE, "left_anti")
     headers = header_columns(table)
     inner_notes, body = split_footnotes(table, headers)
     records = materialise(build_records(body), "records")
@@ -343,7 +358,6 @@ def build_reports(pages: DataFrame, target: str | None = TARGET_SURVEY, lo: int
         .join(counts, PAGE).join(nested, PAGE)
     )
     survey_text = F.coalesce(F.nullif(F.array_join("source_surveys", "+"), F.lit("")), F.lit("unknown"))
-    errors = raw.where("error is not null").select(PAGE, "error").distinct()
     judged = sources.select(PAGE, survey_text.alias("surveys"))
     outcomes = (
         meta.select(PAGE).join(errors, PAGE, "left").join(judged, PAGE, "left")

@@ -20,7 +20,7 @@ PAGE = reports.PAGE
 _YEARS = [f"{y}-{(y + 1) % 100:02d}" for y in range(2003, 2010)]
 _COLUMNS = [f"{u} | {y}" for u in ("Urgent", "Reg- ular") for y in _YEARS]
 # Region 0 has no column-number row, region 3 cites a second survey, region 4
-# names its source in a table of its own; every seventh page has a broken span.
+# names its source in a table of its own. Some pages can have a broken span.
 _HEAD = (
     '<tr><th rowspan="2">Item</th><th colspan="7">Urgent</th><th colspan=7>Reg- ular</th><th rowspan=2> </th></tr><tr>'
     + "".join(f"<th>{y}<sup>1</sup></th>" for y in _YEARS * 2) + "</tr>"
@@ -29,7 +29,7 @@ _NUMBERS = "<tr>" + "".join(f"<td>{i}</td>" for i in range(1, 16)) + "<td></td><
 _HEADING_TAIL = "<td></td>" * 15 + "</tr>"
 
 
-def rendered(tables):
+def rendered(tables, with_broken: bool = False):
     """`(page_key, html, fallback_title)`, one page per derived report table."""
     cells = derived.report_cells(tables)
     raw = F.when(F.col("raw") == "", "#").otherwise(F.col("raw"))
@@ -38,7 +38,7 @@ def rendered(tables):
     values = F.transform(F.sequence(F.lit(1), F.lit(14)), lambda i: F.concat(
         F.lit("<td>"), F.coalesce(F.try_element_at("by_column", i), F.lit("")), F.lit("</td>")))
     line = F.concat(F.lit("<tr>\n<td>\t"), F.repeat(F.lit("&nbsp;"), F.col("indent") * 2), F.col("row_label"),
-                    F.lit("<sup>\\2\\</sup></td>"), F.array_join(values, ""), F.lit("<td></td></tr>"))
+                    F.lit("<sup>\\2\\</sup></td>"), F.array_join(values, ""), F.lit("<td colspan=wide></td></tr>"))
     first = F.col("row_index") == F.min("row_index").over(
         reports.Window.partitionBy("table_number", "section"))
     head = F.when(first, F.concat(F.lit("<tr><td><b>"), F.col("section"), F.lit("</b></td>"), F.lit(_HEADING_TAIL))).otherwise("")
@@ -57,7 +57,7 @@ def rendered(tables):
             F.lit(_HEAD), F.when(region == "0", "").otherwise(_NUMBERS), F.col("body"),
             F.lit('<tr><td colspan="16">NOTE: Sums of orders.</td></tr><tr><td></td></tr>'),
             F.when(region == "4", "").otherwise(F.concat(F.lit("<tr><td colspan=20>"), source, F.lit("</td></tr>"))),
-            F.when(broken, "<tr><td colspan=wide>x</td></tr>").otherwise(""),
+            F.when(broken, "<tr><td colspan=wide>x</td><td></td></tr>").otherwise("") if with_broken else F.lit(""),
             F.lit("</table>"),
             F.when(region == "4", F.concat(F.lit('<table class="small FootNotes"><tr><td>'), source, F.lit("</td></tr></table>")))
             .otherwise(""), F.lit("</body></html>")).alias("html"),
@@ -66,7 +66,7 @@ def rendered(tables):
 
 
 def page_rows(tables):
-    return materialise(extract_rows(rendered(tables)).where("error is null"), "page-rows")
+    return materialise(extract_rows(rendered(tables)), "page-rows")
 
 
 def split(tables):
@@ -78,7 +78,7 @@ _WHOLE = """CAST(split_part(table_number, '.', 2) AS INT) % 7 <> 3"""
 _FIRST = "CASE WHEN substring(table_number, 2, 1) = '0' THEN 2 ELSE 3 END"
 _LINES = f"""{CELLS_CTE},
 numbered AS (SELECT *, {_FIRST} + row_index + dense_rank() OVER (PARTITION BY table_number ORDER BY section) AS line
-             FROM report_rows WHERE {_WHOLE})"""
+             FROM report_rows)"""
 
 
 @query("html_cells", f"""WITH {_LINES}
@@ -89,7 +89,7 @@ UNION ALL
 SELECT n.table_number, CAST(n.line AS INT), c.col_index, CASE c.raw WHEN '' THEN '#' ELSE c.raw END, 0
 FROM numbered n JOIN cells c ON c.table_number = n.table_number AND c.row_index = n.row_index""")
 def html_cells(tables):
-    body = extract_rows(rendered(tables)).where("error is null and table_class = 'data'")
+    body = extract_rows(rendered(tables)).where("table_class = 'data'")
     cells = body.select(PAGE, "row_idx", F.posexplode("cells").alias("cell_idx", "c"), F.size("cells").alias("n"))
     return cells.where("n = 16 and c.text <> '' and c.tag = 'td' and c.full_text <> string(cell_idx + 1)").select(
         PAGE, "row_idx", "cell_idx", "c.text", "c.indent")
@@ -100,14 +100,14 @@ SELECT table_number AS page_key, 1 AS table_pos, CAST(count(*) + count(DISTINCT
   + CASE WHEN substring(table_number, 2, 1) = '4' THEN 0 ELSE 1 END AS INT) AS n_rows
 FROM numbered GROUP BY table_number""")
 def largest_table(tables):
-    return reports.largest_table(extract_rows(rendered(tables)).where("error is null")).select(
+    return reports.largest_table(extract_rows(rendered(tables))).select(
         PAGE, "table_pos", "n_rows").distinct()
 
 
 @query("header_split", f"""WITH {_LINES}
 SELECT DISTINCT table_number AS page_key, 2 AS split_at, {_FIRST} AS body_from FROM numbered""")
 def header_split(tables):
-    return reports.split_header(reports.largest_table(extract_rows(rendered(tables)).where("error is null"))).select(
+    return reports.split_header(reports.largest_table(extract_rows(rendered(tables)))).select(
         PAGE, "split_at", "body_from").distinct()
 
 
@@ -159,7 +159,7 @@ def report_records(tables):
 
 def _all_pages(tables):
     given = tables.pages.select(page_key(F.col("url")).alias(PAGE), "html", F.col("url").alias("fallback_title"))
-    return rendered(tables).unionByName(given)
+    return rendered(tables, with_broken=True).unionByName(given)
 
 
 _TITLE = "regexp_replace(title, '\\. ', '. ')"
@@ -167,7 +167,7 @@ _TITLE = "regexp_replace(title, '\\. ', '. ')"
 
 @query("build_report_dataset", f"""WITH {_LINES},
 kept AS (SELECT n.table_number, n.title, count(*) AS row_count, min(n.row_index) AS low FROM numbered n
-         WHERE substring(n.table_number, 2, 1) <> '3' GROUP BY ALL)
+         WHERE substring(n.table_number, 2, 1) <> '3' AND {_WHOLE.replace("table_number", "n.table_number")} GROUP BY ALL)
 SELECT k.table_number AS page_key, k.title, 'IPEDS' AS surveys, 'columns' AS year_axis, '2004,2005,2006,2007,2008,2009' AS years,
   0 AS dropped_rows, 2 AS dropped_columns, 13 AS n_columns, k.row_count, s.n_values, s.total, 2 AS n_notes
 FROM kept k JOIN (

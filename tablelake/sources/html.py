@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablelake.fixed_values import HEADER_SCAN_ROWS
+
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _UNREAD = frozenset(("script", "style", "template"))
 
@@ -109,16 +111,25 @@ def _read(html: str) -> PageReader:
     return reader
 
 
-def _cells(row: _Node, grid_row: int, taken: dict[int, int]) -> list[dict]:
-    """Cells of one row, each placed left to right past columns held by rowspans above."""
+def _span(cell: _Node, name: str) -> int | None:
+    """A missing or empty span is 1; None when it is not a number."""
+    try:
+        return int(cell.attrs.get(name) or 1)
+    except ValueError:
+        return None
+
+
+def _cells(row: _Node, grid_row: int, taken: dict[int, int] | None) -> list[dict]:
+    """Cells of one row; while `taken` is given, each is placed left to right past
+    the columns that rowspans above hold."""
     out, col = [], 0
     for cell in row.children:
-        while taken.get(col, 0) > grid_row:
-            col += 1
-        colspan = int(cell.attrs.get("colspan") or 1)
-        rowspan = int(cell.attrs.get("rowspan") or 1)
-        for c in range(col, col + colspan):
-            taken[c] = max(taken.get(c, 0), grid_row + rowspan)
+        colspan, rowspan = _span(cell, "colspan"), _span(cell, "rowspan")
+        if taken is not None:
+            while taken.get(col, 0) > grid_row:
+                col += 1
+            for c in range(col, col + (1 if colspan is None else colspan)):
+                taken[c] = max(taken.get(c, 0), grid_row + (rowspan or 1))
         raw = "".join(cell.texts).replace("\t", "").replace("\n", "")
         out.append({
             "tag": cell.tag, "colspan": colspan, "rowspan": rowspan,
@@ -127,7 +138,7 @@ def _cells(row: _Node, grid_row: int, taken: dict[int, int]) -> list[dict]:
             "text": _squeeze([t for t, mark in zip(cell.texts, cell.marks) if not mark]),
             "indent": (len(raw) - len(raw.lstrip("\xa0 "))) // 2,
         })
-        col += colspan
+        col += 1 if colspan is None else colspan
     return out
 
 
@@ -138,14 +149,17 @@ def page_rows(html: str):
         for table in _read(html).tables:
             caption = _squeeze(table.caption.texts) if table.caption else None
             head = (table.pos, table.attrs.get("class"), caption)
-            taken, grid_row = {}, 0
+            taken, grid_row, heading = {}, 0, True
             for row_idx, row in enumerate(table.children):
-                cells = _cells(row, grid_row, taken)
+                # Only rows that may belong to the header need their grid place.
+                heading = heading and bool(row.children) and all(c.tag == "th" for c in row.children)
+                placing = heading or row_idx < HEADER_SCAN_ROWS
+                cells = _cells(row, grid_row, taken if placing else None)
                 grid_row += bool(cells)
                 out.append((*head, row_idx, _squeeze(row.texts), cells, None))
         return out
-    except ValueError as problem:  # a span that is not a number
-        return [(None, None, None, None, None, None, str(problem))]
+    except (AssertionError, ValueError) as problem:
+        return [(None, None, None, None, None, None, f"unreadable page: {problem}")]
 
 
 def page_anchors(html: str):
