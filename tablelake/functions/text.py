@@ -8,11 +8,17 @@ from tablelake.fixed_values import STOPWORDS, TOTAL_LABEL, YEAR_LABEL
 
 # Whitespace as the source texts use it: Unicode spaces plus the C0 separators.
 SPACE = r"[\s\x1c-\x1f]"
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+
+
+def let(value: Column, body) -> Column:
+    """`body(value)` with `value` evaluated once, for values that are costly and used often."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def strip(c: Column) -> Column:
     """Whitespace of any kind removed from both ends."""
-    return F.regexp_replace(c, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.trim(c, F.lit(_SPACES))
 
 
 def clean_text(c: Column) -> Column:

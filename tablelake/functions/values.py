@@ -5,7 +5,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tablelake.fixed_values import (MISSING_MARKERS, NUMBER_TOKEN, QUALIFIER_THRESHOLD)
-from tablelake.functions.text import normalize_label, strip
+from tablelake.functions.text import let, normalize_label, strip
 
 # What reads as a number. Spark's own cast would also take `5d` and `1f`.
 _DIGITS = r"[0-9]+(?:_[0-9]+)*"
@@ -17,29 +17,31 @@ _CELL = rf"^(?=\s*\(.*\)\s*!*\s*$|[^()]*$)\s*\(?\s*({_NUMBER})\s*\)?\s*!*\s*$"
 
 
 def _as_double(number: Column) -> Column:
-    """NULL for the empty text a pattern without a match leaves."""
-    return F.translate(number, "_", "").try_cast("double")
+    """NULL for the empty text a pattern without a match leaves; casting that would be slow."""
+    return F.when(number != "", F.translate(number, "_", "").try_cast("double"))
 
 
 def to_number(text: Column) -> Column:
     """Double, or NULL when the text is not a number as a whole."""
-    return _as_double(F.regexp_extract(text, "(?U)" + _WHOLE, 1))
+    return let(F.regexp_extract(text, "(?U)" + _WHOLE, 1), _as_double)
 
 
 def parse_value(raw: Column) -> Column:
     """`struct(num, text, is_int)`: a number, or the marker/text; all NULL when blank.
 
     Parentheses mark standard errors and are only unwrapped, never negated.
-    One pattern finds the number, which keeps the expression small enough to
-    be compiled wherever it is pushed to.
+    The pattern that finds the number runs once per cell.
     """
-    number = F.regexp_extract(F.translate(raw, ",$", ""), "(?U)" + _CELL, 1)
-    num = _as_double(number)
-    return F.struct(
-        num.alias("num"),
-        F.when(num.isNull(), F.nullif(strip(raw), F.lit(""))).alias("text"),
-        F.coalesce(num.isNotNull() & number.rlike("^-?[0-9]+$"), F.lit(False)).alias("is_int"),
-    )
+    def judged(number: Column) -> Column:
+        num = _as_double(number)
+        return F.struct(
+            num.alias("num"),
+            F.when(num.isNull(), F.nullif(strip(raw), F.lit(""))).alias("text"),
+            (num.isNotNull() & number.rlike("^-?[0-9]+$")).alias("is_int"),
+        )
+
+    found = F.regexp_extract(F.translate(raw, ",$", ""), "(?U)" + _CELL, 1)
+    return let(F.coalesce(found, F.lit("")), judged)
 
 
 def is_number(value: Column) -> Column:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tablelake.fixed_values import STOPWORDS, SURVEY_PATTERNS, TARGET_SURVEY
 from tablelake.functions import pages, text, values, years
+from tablelake.operators.once import computed_once
 from tablelake.operators.profile import skip_reasons
 from tablelake.plans.registry import query
 
@@ -206,7 +207,7 @@ FROM ({RAW_SQL}) WHERE k NOT IN (6, 7, 8, 12) GROUP BY ALL""")
 def usable_cells(tables):
     v = F.col("v")
     return (
-        tables.sql(RAW_SQL).withColumn("v", values.parse_value(F.expr(_RAW))).where(values.usable(v))
+        computed_once(tables.sql(RAW_SQL), "v", values.parse_value(F.expr(_RAW))).where(values.usable(v))
         .groupBy("k", values.is_number(v).cast("int").alias("is_number")).agg(F.count(F.lit(1)).alias("n"))
     )
 
@@ -245,7 +246,7 @@ def _classified(tables):
         F.concat(F.lit("NOTE: Current Population Survey; "), F.col("text")),
         F.concat(F.lit(" source: "), F.expr(_PHRASE_SQL), F.lit(" "), F.col("text")),
         F.lit("SOURCE two"))
-    return tables.documents.select("doc_id", pages.classify_sources(notes).alias("surveys"))
+    return computed_once(tables.documents, "surveys", pages.classify_sources(notes)).select("doc_id", "surveys")
 
 
 @query("classify_sources", f"SELECT doc_id, {_SURVEYS_DUCK} AS surveys FROM ({_NOTES_DUCK})")

@@ -13,6 +13,8 @@ RUNTIME_CONFS = {
     "spark.sql.ansi.doubleQuotedIdentifiers": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Cell and page rows are small on disk but costly to work on: keep them spread out.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Spark 4.1 can repeat rows when a join relies on the partitioning it infers for a union.
     "spark.sql.unionOutputPartitioning": "false",
