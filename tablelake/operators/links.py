@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelake.fixed_values import TABLE_LINK
-from tablelake.sources.html import extract_anchors
+from tablelake.sources.html import extract_anchors, one_per_key
 
 
 def link_index(pages: DataFrame, base_url: str, chapter: int = 3, pattern: str = TABLE_LINK,
@@ -16,7 +16,7 @@ def link_index(pages: DataFrame, base_url: str, chapter: int = 3, pattern: str =
     title is the list item's text behind the link text. The first link to a
     URL wins, kept by an aggregate so a much-repeated link stays small.
     """
-    anchors = extract_anchors(pages, key)
+    anchors = extract_anchors(one_per_key(pages, key), key)
     headed = F.col("label").rlike(rf"(?U)^Chapter\s+{chapter}\b")
     heads = anchors.where(headed).groupBy(key).agg(
         F.min_by(F.struct("item_pos", "label"), "anchor_pos").alias("head"))

@@ -19,7 +19,7 @@ from tablelake.functions.values import parse_value
 from tablelake.functions.years import parse_years, years_all_in, years_any_in, years_within
 from tablelake.operators.hierarchy import carry_section
 from tablelake.session import materialise
-from tablelake.sources.html import extract_rows
+from tablelake.sources.html import extract_rows, one_per_key
 
 PAGE = "page_key"
 def _page():
@@ -287,6 +287,8 @@ def prune_years(records: DataFrame, headers: DataFrame, titles: DataFrame,
         F.when(by_title, years_any_in(title_years, lo, hi))
         .otherwise((F.coalesce("n_records", F.lit(0)) > 0) & (F.size("live") > 1)).alias("kept"),
     )
+    # Read by the caller and, for the positions, by the records.
+    out = materialise(out, "pruned-tables")
     position = lambda c: F.array_position("column_positions", c["col_index"]).cast("int") - 1
     moved = kept_rows.drop("_years", "by_rows", "bad_columns", "out_of_range").join(
         out.where("kept").select(PAGE, "column_positions"), PAGE)
@@ -309,22 +311,24 @@ def build_reports(pages: DataFrame, target: str | None = TARGET_SURVEY, lo: int
                   hi: int | None = YEAR_MAX, max_rows: int | None = None) -> ReportBuild:
     """Pages `(page_key, html, fallback_title, ..)` -> report tables.
 
-    A page that cannot be read, or has no data rows, fails alone. `target`
+    Of pages with one key a single copy counts. A page that cannot be read, or has no data rows, fails alone. `target`
     keeps tables citing just that survey (None: all); `lo`/`hi` prune years
     (None: keep all). Further page columns are carried into `reports`.
     The row set is read by several steps, so it is written once and re-read.
     """
+    pages = one_per_key(pages)
     meta = pages.drop("html")
     raw = materialise(extract_rows(pages), "page-rows")
     laid_out = materialise(
         split_header(largest_table(raw.where("error is null"))).where("n_rows >= 3"), "table-rows")
     errors = raw.where("error is not null").select(PAGE, "error").distinct().unionByName(bad_spans(laid_out))
     table = laid_out.join(errors.select(PAGE), PAGE, "left_anti")
-    headers = header_columns(table)
+    headers = materialise(header_columns(table), "headers")
     inner_notes, body = split_footnotes(table, headers)
     records = materialise(build_records(body), "records")
     notes = collect_notes(inner_notes, note_rows(raw.where("error is null"), table))
     records, headers = drop_spacers(records, headers)
+    headers = materialise(headers, "columns")
 
     captions = table.groupBy(PAGE).agg(F.max("caption").alias("caption"))
     sources = (
@@ -345,7 +349,6 @@ def build_reports(pages: DataFrame, target: str | None = TARGET_SURVEY, lo: int
             F.lit("none").alias("year_axis"), F.lit(0).alias("dropped_rows"),
             F.lit(0).alias("dropped_columns"), F.lit(True).alias("kept"))
         records = records.join(wanted.select(PAGE), PAGE, "left_semi")
-    tables = materialise(tables, "tables")
     records = records.withColumn("row_index", F.row_number().over(_page().orderBy("row_index")) - 1)
 
     counts = records.groupBy(PAGE).agg(F.count(F.lit(1)).alias("row_count"))

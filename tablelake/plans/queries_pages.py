@@ -159,7 +159,7 @@ def report_records(tables):
 
 def _all_pages(tables):
     given = tables.pages.select(page_key(F.col("url")).alias(PAGE), "html", F.col("url").alias("fallback_title"))
-    return rendered(tables, with_broken=True).unionByName(given)
+    return materialise(rendered(tables, with_broken=True), "rendered-pages").unionByName(given)
 
 
 _TITLE = "regexp_replace(title, '\\. ', '. ')"
@@ -189,7 +189,7 @@ def build_report_dataset(tables):
 @query("page_outcomes", f"""WITH {CELLS_CTE}, t AS (SELECT DISTINCT table_number FROM report_rows)
 SELECT status, count(*) AS n FROM (
   SELECT CASE WHEN NOT {_WHOLE} THEN 'failed' WHEN substring(table_number, 2, 1) = '3' THEN 'other source' ELSE 'written' END AS status FROM t
-  UNION ALL SELECT 'failed' FROM pages) GROUP BY status""")
+  UNION ALL SELECT 'failed' FROM (SELECT DISTINCT url FROM pages) u) GROUP BY status""")
 def page_outcomes(tables):
     return reports.build_reports(_all_pages(tables)).outcomes.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
@@ -218,10 +218,10 @@ def index_pages(tables):
 @query("link_index", f"""
 SELECT substring(sha256(url), 1, 16) || '.html' AS page_key, '30' || page_id || '.10' AS table_number, 'Title of ' || page_id || '.10' AS title,
   '{BASE_URL}d22/tables/dt22_30' || page_id || '.10.asp' AS page_url, '{BASE_URL}d22/tables/xls/tabn30' || page_id || '.10.xlsx' AS xlsx_url,
-  '2022' AS edition_year, 'Chapter 3. Level of schools ' AS chapter FROM pages
+  '2022' AS edition_year, 'Chapter 3. Level of schools ' AS chapter FROM (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url) p
 UNION ALL
 SELECT substring(sha256(url), 1, 16) || '.html', '20' || page_id || '.15', 'See Table 20',
   '{BASE_URL}d19/tables/dt19_20' || page_id || '.15.asp', '{BASE_URL}d19/tables/xls/tabn20' || page_id || '.15.xls',
-  '2019', 'Chapter 3. Level of schools ' FROM pages""")
+  '2019', 'Chapter 3. Level of schools ' FROM (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url) p""")
 def link_index(tables):
     return links.link_index(index_pages(tables), BASE_URL).drop("anchor_pos")

@@ -145,7 +145,9 @@ FROM (SELECT *, {_K} AS k FROM ({_RANKS})) WHERE substring(table_number, 1, 2) =
 def check_questions(tables):
     cells = materialise(indexed(tables), "cells")
     known = cells.select("table_number").where("substring(table_number, 1, 2) <> '34'").distinct()
-    found = checking.check_questions(_lookup_questions(cells), _rank_questions(cells), cells, known)
+    lookups = materialise(_lookup_questions(cells), "lookups")
+    ranks = materialise(_rank_questions(cells), "ranks")
+    found = checking.check_questions(lookups, ranks, cells, known)
     differs = F.col("failure").contains(" != ") | F.col("failure").startswith("top is ")
     return found.withColumn("failure", F.when(differs, "other").otherwise(F.col("failure")))
 

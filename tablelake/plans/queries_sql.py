@@ -77,8 +77,10 @@ SELECT c_mktsegment,
        count(*) AS n_customers,
        CAST(sum(CASE WHEN c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 2) THEN 1 ELSE 0 END) AS BIGINT) AS n_near
 FROM customer c
-WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')
-  AND NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 480000)
+WHERE EXISTS (SELECT 1 FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey) o
+              WHERE o.o_custkey = c.c_custkey)
+  AND NOT EXISTS (SELECT 1 FROM (SELECT o_custkey, max(o_totalprice) AS top FROM orders GROUP BY o_custkey) o
+                  WHERE o.o_custkey = c.c_custkey AND o.top > 480000)
 GROUP BY c_mktsegment""")
 
 statement("p_join_range", """
@@ -242,8 +244,9 @@ WHERE p.price * (SELECT count(*) FROM priced q WHERE q.o_custkey = p.o_custkey)
 statement("p_recursive", """
 WITH RECURSIVE years (y) AS (
   SELECT 1994 UNION ALL SELECT y + 1 FROM years WHERE y < 2003)
-SELECT y, count(o.o_orderkey) AS n_orders
-FROM years LEFT JOIN orders o ON CAST(year(o.o_orderdate) AS INT) = y GROUP BY y""")
+SELECT y, coalesce(o.n, 0) AS n_orders
+FROM years LEFT JOIN (SELECT CAST(year(o_orderdate) AS INT) AS order_year, count(*) AS n FROM orders
+                      GROUP BY CAST(year(o_orderdate) AS INT)) o ON o.order_year = y""")
 
 statement("p_strings", r"""
 SELECT p_partkey, upper(p_name) AS upper_name, initcap(p_name) AS title_name, length(p_name) AS n_chars,

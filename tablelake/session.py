@@ -16,6 +16,8 @@ RUNTIME_CONFS = {
     # Cell and page rows are small on disk but costly to work on: keep them spread out.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Rows handed to Python can be whole pages, so batches are kept short.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     # Spark 4.1 can repeat rows when a join relies on the partitioning it infers for a union.
     "spark.sql.unionOutputPartitioning": "false",
 }

@@ -18,6 +18,9 @@ from tablelake.fixed_values import HEADER_SCAN_ROWS
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _UNREAD = frozenset(("script", "style", "template"))
 
+# A batch is sent back to Spark as soon as it holds this many rows.
+ROWS_PER_BATCH = 8192
+
 ROW_FIELDS = (
     "table_pos int, table_class string, caption string, row_idx int, row_text string, "
     "cells array<struct<tag:string,colspan:int,rowspan:int,grid_row:int,grid_col:int,"
@@ -171,20 +174,24 @@ def page_anchors(html: str):
                [item.pos for item in items])
 
 
+def _to_batch(records: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
+    columns = zip(*records) if records else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=names)
+
+
 def _map_pages(pages: DataFrame, key: str, html: str, fields: str, types: list, read) -> DataFrame:
     names = [field.strip().split(" ")[0] for field in fields.replace("<", " ").split(", ")]
 
     def run(batches):
         for batch in batches:
-            keys, columns = [], [[] for _ in names]
-            for page, text in zip(batch.column(0), batch.column(1).to_pylist()):
-                for record in read(text):
-                    keys.append(page)
-                    for column, value in zip(columns, record):
-                        column.append(value)
-            arrays = [pa.array([k.as_py() for k in keys], type=batch.column(0).type)]
-            arrays += [pa.array(c, type=t) for c, t in zip(columns, types)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[key, *names])
+            key_type = batch.column(0).type
+            records: list[tuple] = []
+            for page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                records.extend((page, *record) for record in read(text))
+                if len(records) >= ROWS_PER_BATCH:
+                    yield _to_batch(records, [key, *names], [key_type, *types])
+                    records = []
+            yield _to_batch(records, [key, *names], [key_type, *types])
 
     chosen = pages.select(F.col(key), F.col(html))
     key_type = chosen.schema[key].dataType.simpleString()
@@ -201,3 +208,14 @@ def extract_anchors(pages: DataFrame, key: str = "page_key", html: str = "html")
     """One row per `<a>`: its text, its list item, and all list items around it."""
     types = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.int32())]
     return _map_pages(pages, key, html, ANCHOR_FIELDS, types, page_anchors)
+
+
+def one_per_key(pages: DataFrame, key: str = "page_key") -> DataFrame:
+    """One page per key. Copies of a page, however many, shrink map-side.
+
+    Keys alone are looked at first: without repeats, page texts are not shuffled.
+    """
+    if pages.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return pages
+    rest = [c for c in pages.columns if c != key]
+    return pages.groupBy(key).agg(F.min(F.struct(*rest)).alias("page")).select(key, "page.*")
