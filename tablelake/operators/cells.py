@@ -20,9 +20,9 @@ def unique_rows(rows: DataFrame, key: tuple[str, ...] = ROW_KEY) -> DataFrame:
     rest = [c for c in rows.columns if c not in key]
     return (
         rows.groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("_copies"), F.any_value(F.struct(*rest)).alias("_row"))
+        .agg(F.count(F.lit(1)).alias("_copies"), *[F.any_value(c).alias(c) for c in rest])
         .where((F.col("_copies") == 1) & (F.coalesce(F.col("row_label"), F.lit("")) != ""))
-        .select(*key, "_row.*")
+        .drop("_copies")
     )
 
 
@@ -36,9 +36,16 @@ def unpivot_cells(rows: DataFrame) -> DataFrame:
 
 
 def index_cells(records: DataFrame, depth: int | None = None, block: int | None = BLOCK) -> DataFrame:
-    """Report records -> every answerable cell of every uniquely addressed row."""
+    """Report records -> every answerable cell of every uniquely addressed row.
+
+    Keys are worked out on row coordinates alone, so the cells themselves are
+    shuffled once, to meet the keys of their rows.
+    """
     named = records.withColumns({
         "section": F.coalesce("section", F.lit("")),
         "row_label": F.coalesce("row_label", F.lit("")),
     })
-    return unpivot_cells(unique_rows(with_ancestors(named, depth=depth, block=block)))
+    narrow = named.select("table_number", "row_index", "section", "indent", "row_label")
+    keys = unique_rows(with_ancestors(narrow, depth=depth, block=block).drop("indent"))
+    wide = named.drop("section", "row_label")
+    return unpivot_cells(wide.join(keys, ["table_number", "row_index"]))
