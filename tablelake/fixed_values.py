@@ -29,6 +29,15 @@ MIN_CATALOG_YEAR, MAX_CATALOG_YEAR = 2000, 2100
 
 # ---- SQL surface ---------------------------------------------------------
 MAX_ROWS = 500
+REFUSED = "Error: Only SELECT or WITH (CTE) statements are allowed."
+SQL_ERROR = "SQL Error: {problem}"
+NO_ROWS = "Query executed successfully, but returned no rows."
+TRUNCATED = ("\n\n[Truncated: only the first {cap} rows are shown. "
+             "Refine the query with LIMIT, filters, or aggregation.]")
+NO_VALUE_SET = ("No value set found for column {var!r} in table {table!r} (year {year}). "
+                "The column may be continuous or the name may differ.")
+VALUE_SET_HEAD = "Value set for {table}.{var} (year {year}):"
+VALUE_SET_LINE = "  %s — %s"
 
 # ---- report tables -------------------------------------------------------
 MISSING_MARKERS = ("†", "‡", "#", "—", "–", "-", "---", "(†)", "(‡)", "!")
@@ -58,6 +67,7 @@ TARGET_SURVEY = "IPEDS"
 YEAR_PATTERN = r"\b((?:19|20)\d{2})(?:\s*-\s*(?:\d{2}|\d{4}))?\b"
 YEAR_MIN, YEAR_MAX = 2004, 2023
 MIN_ROW_YEAR_LABELS = 3
+LINK_PATH_PREFIX = "programs/digest/"
 TABLE_LINK = r"/?d(\d{2})/tables/dt\d{2}_([\d.]+?)\.asp"
 
 # ---- questions -----------------------------------------------------------
@@ -80,3 +90,4 @@ ID_PREFIX = "digest_"
 QUESTION_LEAD = "In NCES data on "
 RANK_QUESTION_TYPE = "rank (multiple choice, ask which option is highest)"
 SLUG_LENGTH = 24
+PHRASED_BY_TEMPLATE, PHRASED_BY_FUNCTION = "template", "llm"

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tablelake.fixed_values import NO_VALUE_SET, VALUE_SET_HEAD, VALUE_SET_LINE
 from tablelake.functions.years import two_digit_year
 
 CODE_NUMBER = r"^\s*-?[0-9]+(\.[0-9]+)?\s*$"
@@ -92,17 +93,17 @@ def valueset(values: DataFrame, year: int, table: str, var: str) -> DataFrame:
         values.where((F.col("year") == year) & (F.lower("tablename") == table.strip().lower())
                      & (F.lower("varname") == var.lower()))
         .orderBy(*code_order())
-        .select("codevalue", "valuelabel", F.format_string("  %s — %s", "codevalue", "valuelabel").alias("line"))
+        .select("codevalue", "valuelabel", F.format_string(VALUE_SET_LINE, "codevalue", "valuelabel").alias("line"))
     )
 
 
 def valueset_text(values: DataFrame, year: int, table: str, var: str) -> str:
     """The code list as the text a reader is shown; a code list is small by nature."""
     lines = [row["line"] for row in valueset(values, year, table, var).collect()]
+    named = {"table": table.strip(), "var": var, "year": year}
     if not lines:
-        return (f"No value set found for column {var!r} in table {table.strip()!r} (year {year}). "
-                "The column may be continuous or the name may differ.")
-    return "\n".join([f"Value set for {table.strip()}.{var} (year {year}):", *lines])
+        return NO_VALUE_SET.format(**named)
+    return "\n".join([VALUE_SET_HEAD.format(**named), *lines])
 
 
 def decode_codes(df: DataFrame, values: DataFrame, year: int, table: str, columns: Sequence[str]) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelake.fixed_values import TABLE_LINK
+from tablelake.fixed_values import LINK_PATH_PREFIX, TABLE_LINK
 from tablelake.sources.html import extract_anchors, one_per_key
 
 
 def link_index(pages: DataFrame, base_url: str, chapter: int = 3, pattern: str = TABLE_LINK,
-               path_prefix: str = "programs/digest/", key: str = "page_key") -> DataFrame:
+               path_prefix: str = LINK_PATH_PREFIX, key: str = "page_key") -> DataFrame:
     """Links under the first list item headed `Chapter <n>`, one row per page URL.
 
     Query strings and hosts are dropped and the path is put on `base_url`; the

@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelake.fixed_values import (ID_PREFIX, MAX_RANK_OPTIONS, PARAPHRASE_ATTEMPTS, QUESTION_LEAD,
+from tablelake.fixed_values import (ID_PREFIX, MAX_RANK_OPTIONS, PARAPHRASE_ATTEMPTS, PHRASED_BY_FUNCTION,
+                                    PHRASED_BY_TEMPLATE, QUESTION_LEAD,
                                     RANK_QUESTION_TYPE, SLUG_LENGTH, TOLERANCE)
 from tablelake.functions.text import (column_path, describe, distinctive_tokens, infer_unit, row_path, slug,
                                       topic, unhyphenate, year_label)
@@ -131,7 +132,7 @@ def word_questions(candidates: DataFrame, fn: Callable[[pd.DataFrame], pd.Series
     judged, so wordings are paid for once however often the result is read.
     """
     if fn is None:
-        return candidates.withColumn("question", F.col("template")).withColumn("phrasing", F.lit("template"))
+        return candidates.withColumn("question", F.col("template")).withColumn("phrasing", F.lit(PHRASED_BY_TEMPLATE))
 
     def run(batches):
         for batch in batches:
@@ -153,10 +154,10 @@ def word_questions(candidates: DataFrame, fn: Callable[[pd.DataFrame], pd.Series
             & qualifiers_kept(F.col("question"), F.col("required_tokens"), F.col("years"))
         )
         fine = F.coalesce(fine, F.lit(False))
-        kept = tried.where(fine).withColumn("phrasing", F.lit("llm"))
+        kept = tried.where(fine).withColumn("phrasing", F.lit(PHRASED_BY_FUNCTION))
         accepted = kept if accepted is None else accepted.unionByName(kept)
         pending = tried.where(~fine).drop("question")
-    rest = pending.withColumn("question", F.col("template")).withColumn("phrasing", F.lit("template"))
+    rest = pending.withColumn("question", F.col("template")).withColumn("phrasing", F.lit(PHRASED_BY_TEMPLATE))
     return rest if accepted is None else accepted.unionByName(rest)
 
 

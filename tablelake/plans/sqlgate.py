@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelake.fixed_values import MAX_ROWS
+from tablelake.fixed_values import MAX_ROWS, NO_ROWS, REFUSED, SQL_ERROR, TRUNCATED
 
 # Plan nodes and expressions a read-only query must not contain.
 _WRITES = ("Command", "Insert", "Delete", "Update", "Merge", "Overwrite", "Append", "CreateTable",
@@ -95,13 +95,9 @@ def render(spark: SparkSession, text: str, cap: int = MAX_ROWS) -> str:
     try:
         rows = [row.asDict(recursive=True) for row in run_sql(spark, text, cap).collect()]
     except StatementRejected:
-        return "Error: Only SELECT or WITH (CTE) statements are allowed."
+        return REFUSED
     except Exception as problem:  # the reader gets the engine's own message
-        return f"SQL Error: {problem}"
+        return SQL_ERROR.format(problem=problem)
     if not rows:
-        return "Query executed successfully, but returned no rows."
-    shown = str(rows[:cap])
-    if len(rows) > cap:
-        shown += (f"\n\n[Truncated: only the first {cap} rows are shown. "
-                  "Refine the query with LIMIT, filters, or aggregation.]")
-    return shown
+        return NO_ROWS
+    return str(rows[:cap]) + (TRUNCATED.format(cap=cap) if len(rows) > cap else "")

@@ -50,3 +50,14 @@ def test_cap_and_messages(spark):
 def test_last_of_repeated_names_is_kept(spark):
     df = run_sql(spark, "select 1 as a, 2 as b, 3 as a")
     assert [tuple(r) for r in df.collect()] == [(3, 2)] and df.columns == ["a", "b"]
+
+
+def test_value_set_text(spark):
+    from tablelake.operators.catalog import valueset_text
+
+    values = spark.createDataFrame(
+        [(2023, "HD2023", "CONTROL", order, code, f"label {code}") for order, code in ((None, "10"), (None, "9"), (None, "x"), (1, "z"))],
+        "year int, tablename string, varname string, valueorder int, codevalue string, valuelabel string")
+    assert valueset_text(values, 2023, " hd2023 ", "control") == (
+        "Value set for hd2023.control (year 2023):\n  z — label z\n  9 — label 9\n  10 — label 10\n  x — label x")
+    assert valueset_text(values, 2022, "HD2023", "control").startswith("No value set found for column 'control' in table 'HD2023'")
