@@ -7,6 +7,7 @@ report tables, run along.
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tablelake.functions.pages import page_key
 from tablelake.operators import links, reports
@@ -40,7 +41,7 @@ def rendered(tables, with_broken: bool = False):
     line = F.concat(F.lit("<tr>\n<td>\t"), F.repeat(F.lit("&nbsp;"), F.col("indent") * 2), F.col("row_label"),
                     F.lit("<sup>\\2\\</sup></td>"), F.array_join(values, ""), F.lit("<td colspan=wide></td></tr>"))
     first = F.col("row_index") == F.min("row_index").over(
-        reports.Window.partitionBy("table_number", "section"))
+        Window.partitionBy("table_number", "section"))
     head = F.when(first, F.concat(F.lit("<tr><td><b>"), F.col("section"), F.lit("</b></td>"), F.lit(_HEADING_TAIL))).otherwise("")
     pages = rows.select("table_number", "title", "row_index", F.concat(head, line).alias("line")).groupBy(
         "table_number", "title").agg(F.array_join(F.transform(

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from tablelake.operators import links, reports
 
@@ -95,3 +94,11 @@ def test_links(spark):
          "2020", "Chapter 3. Schools"),
         ("302.5", "Second", "https://x.org/d21/tables/DT21_302.5.asp", "https://x.org/d21/tables/xls/tabn302.5.xlsx",
          "2021", "Chapter 3. Schools")]
+
+
+def test_copies_of_a_page_count_once(spark, pages):
+    copies = pages.where("page_key = 'plain'")
+    for _ in range(4):
+        copies = copies.unionByName(copies)
+    built = reports.build_reports(copies.unionByName(pages.where("page_key = 'snapshot'")))
+    assert {r["page_key"]: (r["row_count"], len(r["records"])) for r in built.reports.collect()} == {"plain": (4, 4), "snapshot": (2, 2)}
