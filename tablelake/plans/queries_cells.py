@@ -171,7 +171,7 @@ SELECT 'digest_' || table_number || '::lookup::r' || printf('%04d', row_index) |
   array_to_string(list_concat({_TOKENS.format(_ROW)}, {_TOKENS.format(_COL)}), ' ') AS tokens
 FROM usable"""
 
-_MEASURE = _COL
+
 _RANKS = f"""
 SELECT id || CASE WHEN count(*) OVER (PARTITION BY id) > 1 THEN '::' || mark ELSE '' END AS id, * EXCLUDE (id, mark) FROM (
 SELECT 'digest_' || table_number || '::rank::c' || printf('%02d', col_index) || '::' || lower(section) ||
@@ -182,7 +182,7 @@ SELECT 'digest_' || table_number || '::rank::c' || printf('%02d', col_index) ||
   'question_type: rank (multiple choice, ask which option is highest)' || chr(10) || 'table: ' || {_SUBJECT} || chr(10) ||
     'section: ' || section || chr(10) || CASE WHEN chain = '' THEN '' ELSE 'group: ' || chain || chr(10) END || 'column: ' || {_COL}
     || chr(10) || 'year: ' || {_YEAR} || chr(10) || 'unit: ' || {_UNIT} || chr(10) || 'options: ' || options AS descriptor,
-  'In NCES data on ' || {_TOPIC} || ' (' || section || '), which of the following had the highest ' || {_MEASURE} || ' in ' || {_YEAR}
+  'In NCES data on ' || {_TOPIC} || ' (' || section || '), which of the following had the highest ' || {_COL} || ' in ' || {_YEAR}
     || ': ' || array_to_string(option_list[:-2], ', ') || ', or ' || option_list[-1] || '?' AS template
 FROM eligible)"""
 

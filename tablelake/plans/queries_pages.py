@@ -163,8 +163,6 @@ def _all_pages(tables):
     return materialise(rendered(tables, with_broken=True), "rendered-pages").unionByName(given)
 
 
-_TITLE = "regexp_replace(title, '\\. ', '. ')"
-
 
 @query("build_report_dataset", f"""WITH {_LINES},
 kept AS (SELECT n.table_number, n.title, count(*) AS row_count, min(n.row_index) AS low FROM numbered n

@@ -234,7 +234,6 @@ _PHRASES = ("Integrated Postsecondary Education Data System (IPEDS)", "National
             "Schools and Staffing Survey; Open Doors", "an office without a survey")
 _PHRASE_SQL = "CASE CAST(doc_id % 7 AS INT) " + " ".join(
     f"WHEN {i} THEN '{p}'" for i, p in enumerate(_PHRASES)) + " END"
-_FOUND = ("IPEDS", "NPSAS", "IPEDS+CPS", "Census", "NSF", "SASS+OpenDoors", "")
 _NOTES_DUCK = """
 SELECT doc_id, ' source: ' || %s || ' ' || text || ' SOURCE two' AS cited FROM documents""" % _PHRASE_SQL
 _SURVEYS_DUCK = "concat_ws('+', " + ", ".join(
