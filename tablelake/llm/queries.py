@@ -4,8 +4,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablelake.llm import ngram_join
+from tablelake.llm import embedding_dedup, language_id, lm_scoring, ngram_join, sharding, topk_search
 from tablelake.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +29,40 @@ def _query(name: str, table: str, sql: str | None = None):
 @_query("op7_ngram_jaccard", "documents")
 def op7_ngram_jaccard(documents: DataFrame) -> DataFrame:
     return ngram_join.ngram_components(documents)
+
+
+@_query("op1_virtual_slots", "documents")
+def op1_virtual_slots(documents: DataFrame) -> DataFrame:
+    return sharding.shard(documents, shards=40)
+
+
+TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
+@_query("op4_top_k", "embeddings", TOP_K_SQL)
+def op4_top_k(embeddings: DataFrame) -> DataFrame:
+    rows = topk_search.usable(embeddings, "vec_id", "embedding")
+    return topk_search.top_k(rows, rows.where(F.col("id") % 50 == 0), k=5)
+
+
+@_query("op8_embedding_near_dup", "embeddings")
+def op8_embedding_near_dup(embeddings: DataFrame) -> DataFrame:
+    return embedding_dedup.embedding_components(embeddings)
+
+
+@_query("op2_language_id", "documents")
+def op2_language_id(documents: DataFrame) -> DataFrame:
+    return language_id.identify(documents)
+
+
+@_query("op3_lm_score", "documents")
+def op3_lm_score(documents: DataFrame) -> DataFrame:
+    return lm_scoring.score(documents)
