@@ -6,7 +6,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablelake.llm import embedding_dedup, language_id, lm_scoring, ngram_join, sharding, topk_search
+from tablelake.llm import (
+    embedding_dedup, language_id, license_scan, lm_scoring, mixing, ngram_join, pii, sentencepiece, sharding, topk_search,
+)
 from tablelake.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +68,23 @@ def op2_language_id(documents: DataFrame) -> DataFrame:
 @_query("op3_lm_score", "documents")
 def op3_lm_score(documents: DataFrame) -> DataFrame:
     return lm_scoring.score(documents)
+
+
+@_query("op6_pii", "documents")
+def op6_pii(documents: DataFrame) -> DataFrame:
+    return pii.find(documents)
+
+
+@_query("op9_pfair_mix", "documents")
+def op9_pfair_mix(documents: DataFrame) -> DataFrame:
+    return mixing.schedule(documents)
+
+
+@_query("op10_sentencepiece", "documents")
+def op10_sentencepiece(documents: DataFrame) -> DataFrame:
+    return sentencepiece.round_trips(documents)
+
+
+@_query("op5_license_scan", "documents")
+def op5_license_scan(documents: DataFrame) -> DataFrame:
+    return license_scan.scan(documents)
