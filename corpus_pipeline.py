@@ -5,14 +5,19 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tablelake.llm import ngram_join
+from tablelake.llm import language_id, mixing, ngram_join, pii, sentencepiece
 from tablelake.session import configure, shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told; those without a letter, or with a pooled probability under the operator's bound, go."""
+    configure(spark)
+    return language_id.accepted(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the least doc_id.
 
@@ -22,7 +27,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return ngram_join.keep_one(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("ngram_jaccard", near_duplicates)]
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts replaced by its kind; `n_chars` follows."""
+    configure(spark)
+    return pii.redact(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, written in the order in which the mix takes them: each source in proportion at any point."""
+    configure(spark)
+    return mixing.mix(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with `token_ids` besides."""
+    configure(spark)
+    return sentencepiece.encode_column(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", languages), ("ngram_jaccard", near_duplicates), ("pii", personal_data), ("pfair_mix", mixed), ("sentencepiece", tokens),
+]
 
 #: No stage's decisions can be written in SQL; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
