@@ -35,7 +35,7 @@ def unpivot_cells(rows: DataFrame) -> DataFrame:
     )
 
 
-def index_cells(records: DataFrame, depth: int | None = None, block: int | None = BLOCK) -> DataFrame:
+def index_cells(records: DataFrame, block: int | None = BLOCK) -> DataFrame:
     """Report records -> every answerable cell of every uniquely addressed row.
 
     Keys are worked out on row coordinates alone, so the cells themselves are
@@ -46,6 +46,6 @@ def index_cells(records: DataFrame, depth: int | None = None, block: int | None
         "row_label": F.coalesce("row_label", F.lit("")),
     })
     narrow = named.select("table_number", "row_index", "section", "indent", "row_label")
-    keys = unique_rows(with_ancestors(narrow, depth=depth, block=block).drop("indent"))
+    keys = unique_rows(with_ancestors(narrow, block=block).drop("indent"))
     wide = named.drop("section", "row_label")
     return unpivot_cells(wide.join(keys, ["table_number", "row_index"]))

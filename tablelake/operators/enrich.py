@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablelake.functions.text import strip
+
 COPIES_PER_TASK = 65536
 
 
@@ -26,7 +28,7 @@ def fill_missing(df: DataFrame, out_col: str, inputs: Sequence[str],
     """
     if out_col not in df.columns:
         df = df.withColumn(out_col, F.lit(None).cast("string"))
-    pending = F.col(out_col).isNull() & (F.trim(F.coalesce(required, F.lit(""))) != "")
+    pending = F.col(out_col).isNull() & (strip(F.coalesce(required, F.lit(""))) != "")
     schema = df.schema
 
     def run(batches):
@@ -39,21 +41,22 @@ def fill_missing(df: DataFrame, out_col: str, inputs: Sequence[str],
 
 
 def row_hash(df: DataFrame, columns: Sequence[str] | None = None):
-    """SHA-256 over the row's values; NULL differs from an empty text."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in columns or df.columns]
-    return F.sha2(F.concat_ws("\x1f", *parts), 256)
+    """SHA-256 over the row as JSON, which keeps NULL, empty texts and separators inside texts apart."""
+    row = F.struct(*[F.col(c) for c in columns or df.columns])
+    return F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256)
 
 
 def with_row_key(df: DataFrame, key: str = "row_key") -> DataFrame:
     """A stable key for rows without one: content hash plus the copy's number.
 
     Identical rows are interchangeable, so they are counted once (map-side) and
-    dealt out again in runs of `COPIES_PER_TASK`, instead of being numbered in
-    one window.
+    dealt out again in runs of `COPIES_PER_TASK` to other tasks, instead of
+    being numbered in one window.
     """
     counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
     runs = counted.withColumn("_run", F.explode(
         F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_n") - 1) / COPIES_PER_TASK))))
+    runs = runs.withColumn("_hash", row_hash(df)).repartition("_hash", "_run")
     copies = runs.withColumn("_copy", F.explode(F.sequence(
         F.col("_run") * COPIES_PER_TASK + 1, F.least(F.col("_n"), (F.col("_run") + 1) * COPIES_PER_TASK))))
-    return copies.withColumn(key, F.concat_ws("-", row_hash(df), F.col("_copy").cast("string"))).drop("_n", "_run", "_copy")
+    return copies.withColumn(key, F.concat_ws("-", "_hash", F.col("_copy").cast("string"))).drop("_n", "_run", "_hash", "_copy")

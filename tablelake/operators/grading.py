@@ -48,12 +48,15 @@ def grade(questions: DataFrame, predictions: DataFrame) -> DataFrame:
 
 
 def accuracy(graded: DataFrame) -> DataFrame:
-    """Hits, totals and missing answers per question type, and over all (`question_type` NULL)."""
-    return graded.rollup("question_type").agg(
+    """Hits, totals and missing answers per question type, and over all (`question_type` NULL), also of no questions."""
+    sums = (
         F.count(F.lit(1)).alias("n_questions"),
         F.count_if("correct").alias("n_correct"),
         F.count_if(~F.col("present")).alias("n_missing"),
-    ).withColumn("accuracy", F.try_divide("n_correct", "n_questions"))
+    )
+    over_all = graded.agg(*sums).withColumn("question_type", F.lit(None).cast("string"))
+    return graded.groupBy("question_type").agg(*sums).unionByName(over_all).withColumn(
+        "accuracy", F.try_divide("n_correct", "n_questions"))
 
 
 def failures(graded: DataFrame, n: int, order: str = "id") -> DataFrame:

@@ -10,17 +10,16 @@ from tablelake.operators.blocked import BLOCK, running_last
 
 
 def with_ancestors(rows: DataFrame, keys: Sequence[str] = ("table_number",), index: str = "row_index",
-                   indent: str = "indent", label: str = "row_label", depth: int | None = None,
+                   indent: str = "indent", label: str = "row_label",
                    block: int | None = BLOCK) -> DataFrame:
     """Adds `ancestors`, the labels a row is nested under, outermost first.
 
     Per depth below the row's own, the nearest earlier row of that depth is an
     ancestor unless a shallower row came in between. Sections do not reset the
-    chain. `depth` is the largest indent, read from the data when not given.
+    chain. The number of levels is the largest indent in the data.
     """
     level = F.coalesce(F.col(indent), F.lit(0))
-    if depth is None:
-        depth = rows.agg(F.max(level)).head()[0] or 0
+    depth = rows.agg(F.max(level)).head()[0] or 0
     if depth == 0:
         return rows.withColumn("ancestors", F.array().cast("array<string>"))
 

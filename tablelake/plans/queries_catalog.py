@@ -204,9 +204,19 @@ def enrich_resume(tables):
 
 
 @query("surrogate_key", """
-SELECT sha256(event_type || chr(31) || CAST(user_id AS VARCHAR) || chr(31) || CAST(CAST(ts AS DATE) AS VARCHAR)) || '-' ||
-       row_number() OVER (PARTITION BY event_type, user_id, CAST(ts AS DATE)) AS row_key, event_type, user_id
-FROM events""")
+SELECT sha256('{"event_type":"' || event_type || '","user_id":' || coalesce(CAST(user_id AS VARCHAR), 'null') ||
+         ',"day":"' || CAST(day AS VARCHAR) || '","mark":' || coalesce('"' || mark || '"', 'null') || '}') || '-' ||
+       row_number() OVER (PARTITION BY event_type, user_id, day, mark) AS row_key, event_type, user_id
+FROM (SELECT CASE WHEN event_id % 3 = 0 THEN 'view' ELSE event_type END AS event_type,
+             CASE WHEN event_id % 3 <> 0 THEN user_id END AS user_id,
+             CASE WHEN event_id % 3 = 0 THEN DATE '2020-01-01' ELSE CAST(ts AS DATE) END AS day,
+             CASE WHEN event_id % 3 = 1 THEN '#N' END AS mark FROM events)""")
 def surrogate_key(tables):
-    keyless = tables.events.select("event_type", "user_id", F.col("ts").cast("date").alias("day"))
+    """A third of the rows are one row; others hold NULLs, and a mark where the others have NULL."""
+    third = F.col("event_id") % 3
+    keyless = tables.events.select(
+        F.when(third == 0, "view").otherwise(F.col("event_type")).alias("event_type"),
+        F.when(third != 0, F.col("user_id")).alias("user_id"),
+        F.when(third == 0, F.lit("2020-01-01").cast("date")).otherwise(F.col("ts").cast("date")).alias("day"),
+        F.when(third == 1, "#N").alias("mark"))
     return enrich.with_row_key(keyless).select("row_key", "event_type", "user_id")

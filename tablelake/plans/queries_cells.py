@@ -11,12 +11,9 @@ from tablelake.plans import derived
 from tablelake.plans.derived import CELLS_CTE
 from tablelake.plans.registry import query
 
-# Report rows are indented by at most two levels.
-DEPTH = 2
-
 
 def indexed(tables):
-    return cells.index_cells(derived.report_records(tables), depth=DEPTH)
+    return cells.index_cells(derived.report_records(tables))
 
 
 def chain():
@@ -27,7 +24,7 @@ def chain():
 @query("row_ancestors", f"WITH {CELLS_CTE} SELECT table_number, row_index, row_label, chain FROM chains")
 def row_ancestors(tables):
     rows = derived.report_rows(tables)
-    return hierarchy.with_ancestors(rows, depth=DEPTH).select("table_number", "row_index", "row_label", chain())
+    return hierarchy.with_ancestors(rows).select("table_number", "row_index", "row_label", chain())
 
 
 @query("section_carry_forward", f"""
@@ -48,7 +45,7 @@ SELECT table_number, chain, row_label, min(row_index) AS row_index FROM chains G
 def unique_row_keys(tables):
     """Without their sections, rows of different sections share keys."""
     rows = derived.report_rows(tables)
-    rows = hierarchy.with_ancestors(rows, depth=DEPTH).withColumn("section", F.lit("")).drop("indent")
+    rows = hierarchy.with_ancestors(rows).withColumn("section", F.lit("")).drop("indent")
     return cells.unique_rows(rows).select("table_number", chain(), "row_label", "row_index")
 
 
@@ -75,7 +72,7 @@ WITH {CELLS_CTE} SELECT table_number, row_index, CASE WHEN chain = '' THEN row_l
 FROM chains""")
 def path(tables):
     rows = derived.report_rows(tables)
-    return hierarchy.with_ancestors(rows, depth=DEPTH).select(
+    return hierarchy.with_ancestors(rows).select(
         "table_number", "row_index", row_path(F.col("ancestors"), F.col("row_label")).alias("path"))
 
 

@@ -202,10 +202,14 @@ def accuracy_rollup(tables):
 
 
 @query("top_failures", f"""{_GRADED}
-SELECT id, '[lookup] ' || id || ': no prediction' AS line FROM graded WHERE NOT present ORDER BY id LIMIT 25""")
+SELECT id, '[lookup] ' || id || ': ' || CASE WHEN NOT present THEN 'no prediction' WHEN num IS NULL THEN coalesce('''' || answer || '''', 'None') || ' vs ''withheld'''
+  WHEN got IS NULL THEN 'not a number: ' || coalesce('''' || answer || '''', 'None') ELSE 'off' END AS line
+FROM graded WHERE NOT correct ORDER BY id LIMIT 25""")
 def top_failures(tables):
-    graded = _graded(tables)
-    return grading.failures(graded.where("not present"), 25)
+    """The first failures of all kinds; the figures of wrong numbers are left to the function's tests."""
+    numeric = F.col("reason").rlike(r" vs [0-9.,e+-]+ \(")
+    graded = _graded(tables).withColumn("reason", F.when(numeric, "off").otherwise(F.col("reason")))
+    return grading.failures(graded, 25)
 
 
 @query("run_totals", """

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from tablelake.functions.text import strip
 from tablelake.fixed_values import SOURCE_TYPES, TIMESTAMP_FORMAT
 
 _MEMO = "Memo/Hyperlink"
@@ -40,7 +41,7 @@ def parse_listing(lines: DataFrame) -> DataFrame:
     """
     table = Window.partitionBy("table_name")
     seen = table.orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    text = F.trim(F.col("line"))
+    text = strip(F.col("line"))
     pattern = r"^\s*\[([^\]]+)\]\s+(.+?)\s*,?\s*$"
     body = (
         lines

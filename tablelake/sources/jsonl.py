@@ -1,17 +1,24 @@
 """JSON Lines: one object per line, last duplicate key wins."""
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, key: str | None = None) -> DataFrame:
-    """Typed objects; blank lines are skipped. With `key`, later lines replace earlier ones."""
-    lines = spark.read.text(path).select(
+    """Typed objects; blank lines are skipped. With `key`, later lines replace earlier ones.
+
+    Later is a later appended run, then a higher part number, then a place further down the file.
+    """
+    file = F.col("_metadata.file_path")
+    number = lambda pattern: F.coalesce(F.regexp_extract(file, pattern, 1).try_cast("long"), F.lit(-1))
+    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
         "value",
         F.struct(
-            F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
+            number(r"/run-(\d+)/[^/]*$"), number(r"/part-(\d+)[^/]*$"), file, F.col("_metadata.file_block_start"),
             F.monotonically_increasing_id(),
         ).alias("line_order"),
     )
@@ -36,5 +43,7 @@ def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """`overwrite` for data sets, `append` for sets that grow run by run."""
+    """`overwrite` for data sets, `append` for sets that grow run by run, each in a folder named by its time."""
+    if mode == "append":
+        path = f"{path.rstrip('/')}/run-{time.time_ns():020d}"
     df.write.mode(mode).json(path)

@@ -142,3 +142,14 @@ def test_anchors():
     html = "<ul><li><a href=x>Chapter 3</a><ul><li>see <a href='y'>Y</a> more</li></ul></li></ul><a>z</a>"
     assert list(page_anchors(html)) == [
         (0, "x", "Chapter 3", 0, "Chapter 3 see Y more", [0]), (1, "y", "Y", 1, "see Y more", [0, 1]), (2, None, "z", None, None, [])]
+
+
+def test_appended_runs_win(spark, tmp_path):
+    from tablelake.sources.jsonl import read_jsonl, write_jsonl
+
+    path = f"{tmp_path}/set"
+    for run, parts in enumerate((5, 2, 7)):
+        rows = spark.range(run * 10, 60).selectExpr("cast(id as string) as id", f"'{run}' as answer").repartition(parts)
+        write_jsonl(rows, path, "append" if run else "errorifexists")
+    got = {r["id"]: r["answer"] for r in read_jsonl(spark, path, "id string, answer string", key="id").collect()}
+    assert got == {str(i): str(min(2, i // 10)) for i in range(60)}

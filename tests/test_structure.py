@@ -153,3 +153,22 @@ def test_filling_resumes(spark):
     assert {r["k"]: r["summary"] for r in again.collect()} == {"a": "long", "b": None, "c": "kept", "d": "SKIP ME", "e": None}
     added = fill_missing(df.drop("summary"), "summary", ["body"], first_word, "body")
     assert {r["k"]: r["summary"] for r in added.collect()}["c"] == "done"
+
+
+def test_row_keys_tell_rows_apart(spark):
+    rows = [("\\N", "x"), (None, "x"), ("a\x1fb", "c"), ("a", "b\x1fc"), ("", None), (None, "")]
+    keys = [r["row_key"] for r in with_row_key(spark.createDataFrame(rows, "a string, b string")).collect()]
+    assert len(set(keys)) == len(rows)
+
+
+def test_whitespace_of_any_kind_is_blank(spark):
+    df = spark.createDataFrame([("a", "\n"), ("b", "\t "), ("c", "word")], "k string, body string")
+    got = {r["k"]: r["s"] for r in fill_missing(df, "s", ["body"], lambda b: b["body"] + "!", "body").collect()}
+    assert got == {"a": None, "b": None, "c": "word!"}
+
+
+def test_accuracy_of_no_questions(spark):
+    from tablelake.operators.grading import accuracy
+
+    none = spark.createDataFrame([], "question_type string, correct boolean, present boolean")
+    assert [(r["n_questions"], r["accuracy"]) for r in accuracy(none).collect()] == [(0, None)]
