@@ -69,8 +69,8 @@ def _compare(bits: int, tables: int, cosine: float):
         t, second = int(run.column("t")[0].as_py()), run.column("second").to_numpy(zero_copy_only=False)
         norms = np.sqrt((x * x).sum(axis=1))
         near = (x @ x.T) / (norms[:, None] * norms[None, :]) >= cosine
-        if second.any():
-            near &= second[:, None] != second[None, :]
+        if run.column("i")[0].as_py() != run.column("j")[0].as_py():
+            near &= second[:, None] != second[None, :]  # pairs inside one block belong to another task
         np.fill_diagonal(near, False)
         if t and near.any():  # a pair belongs to the first table in which it meets
             signs = _signs(x, bits, tables)[:, :t]

@@ -419,7 +419,7 @@ def _block_links(table: pa.Table) -> pa.Table:
         common += has @ has.T
     whole = common.astype(np.int64)
     near = 100 * whole >= 80 * (sizes[:, None] + sizes[None, :] - whole)
-    if second.any():
+    if table.column("i")[0].as_py() != table.column("j")[0].as_py():
         near &= second[:, None] != second[None, :]  # pairs inside one block belong to another task
     np.fill_diagonal(near, True)
     label = np.arange(n)
