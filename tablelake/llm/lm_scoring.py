@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,10 @@ from tablelake.llm.common import byte_size, crc32_mod, from_planes, mix, only, p
 from tablelake.session import materialise
 
 #: Text bytes of a block (and about those behind an index shard).
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
+#: Bits of a word's hash and of a bigram's. Word counts are exact but for 64-bit collisions; shorter bigram keys save shuffle, and
+#: among n distinct bigrams about n / 2^56 share another's count.
+WORD_BITS, PAIR_BITS = 64, 56
 #: Of the training texts, one in so many is held out to learn the mixture weights.
 HELD_OUT = 10
 #: Context buckets (powers of two), and steps per power of two in which estimates are told apart by the weight learning.
@@ -54,16 +58,16 @@ def grams(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _keys(tokens, contexts, begins):
     """Distinct unigrams (the start among them) and bigrams, ascending, with counts and every token's places in them."""
     single, where, n1 = np.unique(np.concatenate([tokens, contexts[begins]]), return_inverse=True, return_counts=True)
-    double, pair, n2 = np.unique(mix(contexts * np.uint64(0x9E3779B97F4A7C15) + tokens), return_inverse=True, return_counts=True)
+    double, pair, n2 = np.unique(mix(contexts * np.uint64(0x9E3779B97F4A7C15) + tokens) >> np.uint64(WORD_BITS - PAIR_BITS), return_inverse=True, return_counts=True)
     return (single, n1), (double, n2), where[: len(tokens)], pair
 
 
-def _by_shard(keys: np.ndarray, shards: int):
-    """Parts of ascending keys by shard: `(shard, places)`."""
-    shard = (keys >> np.uint64(32)).astype(np.int64) % shards
-    order = np.argsort(shard, kind="stable")
-    cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
-    return [(int(shard[p[0]]), p) for p in np.split(order, cuts[1:])] if len(keys) else []
+def _by_shard(keys: np.ndarray, shards: int, kind: int):
+    """Parts of ascending keys by shard, each a range of hashes, so that differences stay small: `(shard, slice)`."""
+    top = keys >> np.uint64((WORD_BITS if kind == 1 else PAIR_BITS) - 32)
+    shard = ((top * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
+    cuts = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(keys))
+    return [(int(shard[a]), slice(a, b)) for a, b in zip(cuts, cuts[1:])]
 
 
 def _ask(shards: int):
@@ -73,8 +77,8 @@ def _ask(shards: int):
             block, role = table.column("block")[0].as_py(), table.column("role")[0].as_py()
             one, two, _, _ = _keys(*grams(table.column("text")))
             for kind, (keys, counts) in ((1, one), (2, two)):
-                for shard, part in _by_shard(keys, shards):
-                    rows.append((shard, block, role, kind, len(part), pack_sorted(keys[part]) + planes(counts[part].astype(np.uint32))))
+                for shard, part in _by_shard(keys, shards, kind):
+                    rows.append((shard, block, role, kind, part.stop - part.start, pack_sorted(keys[part]) + planes(counts[part].astype(np.uint32))))
         columns = list(zip(*rows)) or [()] * 6
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, ASK_ARROW)], schema=ASK_ARROW)
 
@@ -91,7 +95,7 @@ def _answer(table: pa.Table) -> pa.Table:
     """One shard: counts over all training texts and over the held-out ones, for every block in its own order."""
     out = []
     for kind in (1, 2):
-        asked = [r for r in table.to_pylist() if r["kind"] == kind]
+        asked = table.filter(pc.equal(table.column("kind"), kind)).to_pylist()
         if not asked:
             continue
         keys = [unpack_sorted(r["payload"][: 8 * r["n"]]) for r in asked]
@@ -122,11 +126,11 @@ def _looked_up(texts, answers: pa.Table, shards: int, with_held: bool):
 
     def counts(kind: int, keys: np.ndarray):
         out = np.zeros((2, len(keys)), np.int64)
-        for shard, part in _by_shard(keys, shards):
-            payload = got[kind, shard]
-            out[0, part] = from_planes(payload[: 8 * len(part)], np.int64)
+        for shard, part in _by_shard(keys, shards, kind):
+            payload, n = got[kind, shard], part.stop - part.start
+            out[0, part] = from_planes(payload[: 8 * n], np.int64)
             if with_held:
-                out[1, part] = from_planes(payload[8 * len(part) :], np.int64)
+                out[1, part] = from_planes(payload[8 * n :], np.int64)
         return out
 
     single, double = counts(1, one[0]), counts(2, two[0])
