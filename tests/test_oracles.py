@@ -1,4 +1,4 @@
-"""Every registered query against its SQL twin on the smallest tables."""
+"""Every registered query that has a SQL twin against it, on the smallest tables."""
 import subprocess
 import sys
 from pathlib import Path
@@ -21,7 +21,7 @@ def test_queries_load_without_a_session():
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.oracle_sql()))
 def test_query(spark, db, name):
     got = spark_rows(entry.queries()[name](spark, SMALL))
     assert got == oracle_rows(db, entry.oracle_sql()[name])
