@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelake.fixed_values import LINK_PATH_PREFIX, TABLE_LINK
+from tablelake.session import materialise
 from tablelake.sources.html import extract_anchors, one_per_key
 
 
@@ -16,7 +17,8 @@ def link_index(pages: DataFrame, base_url: str, chapter: int = 3, pattern: str =
     title is the list item's text behind the link text. The first link to a
     URL wins, kept by an aggregate so a much-repeated link stays small.
     """
-    anchors = extract_anchors(one_per_key(pages, key), key)
+    # Written once: the headings and the links are both read from it, and pages are parsed once.
+    anchors = materialise(extract_anchors(one_per_key(pages, key), key), "link-anchors")
     headed = F.col("label").rlike(rf"(?U)^Chapter\s+{chapter}\b")
     heads = anchors.where(headed).groupBy(key).agg(
         F.min_by(F.struct("item_pos", "label"), "anchor_pos").alias("head"))

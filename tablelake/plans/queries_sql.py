@@ -229,9 +229,9 @@ SELECT 'intersect', k FROM (SELECT o_custkey AS k FROM orders INTERSECT SELECT s
 UNION ALL
 SELECT 'except', k FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders) c
 UNION ALL
-SELECT 'intersect all', k FROM (SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier) d
+SELECT 'intersect all', k FROM (SELECT o_custkey AS k FROM orders INTERSECT ALL SELECT c_custkey FROM customer) d
 UNION ALL
-SELECT 'except all', k FROM (SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier) e""")
+SELECT 'except all', k FROM (SELECT o_custkey AS k FROM orders EXCEPT ALL SELECT c_custkey FROM customer) e""")
 
 statement("p_subqueries", """
 WITH priced AS (SELECT o_orderkey, o_custkey, CAST(o_totalprice AS DECIMAL(18,2)) AS price FROM orders)

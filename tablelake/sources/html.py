@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelake.fixed_values import HEADER_SCAN_ROWS
+from tablelake.session import materialise
 
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _UNREAD = frozenset(("script", "style", "template"))
@@ -213,9 +214,11 @@ def extract_anchors(pages: DataFrame, key: str = "page_key", html: str = "html")
 def one_per_key(pages: DataFrame, key: str = "page_key") -> DataFrame:
     """One page per key. Copies of a page, however many, shrink map-side.
 
-    Keys alone are looked at first: without repeats, page texts are not shuffled.
+    Repeated keys are found on keys alone and written, so that only their pages go through the shuffle; a null key is a key.
     """
-    if pages.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        return pages
+    counts = pages.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("n"))
+    repeated = materialise(counts.where("n > 1").select("_key"), "repeated-pages")
+    same = pages[key].eqNullSafe(repeated["_key"])
     rest = [c for c in pages.columns if c != key]
-    return pages.groupBy(key).agg(F.min(F.struct(*rest)).alias("page")).select(key, "page.*")
+    copies = pages.join(repeated, same, "left_semi").groupBy(key).agg(F.min(F.struct(*rest)).alias("page")).select(key, "page.*")
+    return pages.join(repeated, same, "left_anti").unionByName(copies)
