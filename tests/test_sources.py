@@ -153,3 +153,12 @@ def test_appended_runs_win(spark, tmp_path):
         write_jsonl(rows, path, "append" if run else "errorifexists")
     got = {r["id"]: r["answer"] for r in read_jsonl(spark, path, "id string, answer string", key="id").collect()}
     assert got == {str(i): str(min(2, i // 10)) for i in range(60)}
+
+
+def test_one_page_per_key(spark):
+    from tablelake.sources.html import one_per_key
+
+    rows = [("a", "x"), ("b", "z"), ("b", "y"), ("b", "y"), (None, "v"), (None, "u")]
+    got = one_per_key(spark.createDataFrame(rows, "page_key string, html string"))
+    assert {tuple(r) for r in got.collect()} == {("a", "x"), ("b", "y"), (None, "u")} and got.count() == 3
+    assert one_per_key(spark.createDataFrame([], "page_key string, html string")).count() == 0
