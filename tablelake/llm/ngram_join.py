@@ -298,9 +298,9 @@ def _wanted(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def link_sets(docs: DataFrame, heat: float = HEAT) -> tuple[DataFrame, DataFrame]:
-    """`(sets, edges)`: `doc_id, n_shingles, k, h` for every row, and verified links `a, b` between different sets (keys k).
+    """`(sets, edges)`: `doc_id, n_shingles, k, h` for every row, and edges `a, b` between different sets (keys k).
 
-    Links inside a component may be left out where its members are linked already; none between components is.
+    The edges have the components of the verified links; a set may be joined to its component's least key instead of to those it is similar to.
     """
     spark = docs.sparkSession
     docs = only(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -322,7 +322,8 @@ def link_sets(docs: DataFrame, heat: float = HEAT) -> tuple[DataFrame, DataFrame
     if short:
         candidates = candidates.unionByName(found(short))
     pairs = candidates.where("kind = 'pair'").select("a", "b").distinct()
-    members = materialise(_probed(candidates.where("kind = 'member'").select("sig", F.col("a").alias("k"), F.col("na").alias("n"), F.col("nb").alias("spare")).distinct()), "ngram-members")
+    members = materialise(candidates.where("kind = 'member'").select("sig", F.col("a").alias("k"), F.col("na").alias("n"), F.col("nb").alias("spare")).distinct(), "ngram-postings")
+    members = materialise(_probed(members), "ngram-members")
     pairs = materialise(pairs, "ngram-pairs")
     wanted = _wanted(docs, classes, pairs.union(members.select("k", "k")))
     tested = materialise(_verify(pairs, wanted), "ngram-tested")
@@ -346,20 +347,16 @@ def _probed(members: DataFrame) -> DataFrame:
     """
     held = members.groupBy("sig").agg(F.count(F.lit(1)).alias("held"))
     own = Window.partitionBy("k")
-    ranked = (
-        members.where("spare >= 0").join(held, "sig")
-        .withColumn("rank", F.row_number().over(own.orderBy("held", "sig")))
-        .withColumn("lacks", F.count(F.lit(1)).over(own) - F.col("spare"))
-    )
-    probes = ranked.where("rank <= lacks").select("sig", "k", F.lit(True).alias("p"))
-    marked = members.join(probes.withColumnRenamed("sig", "s").withColumnRenamed("k", "q"), (F.col("sig") == F.col("s")) & (F.col("k") == F.col("q")), "left")
-    marked = marked.groupBy("sig", "k").agg(F.max("n").alias("n"), F.max(F.coalesce("p", F.lit(False))).alias("prober"))
-    return marked.join(probes.select("sig").distinct(), "sig", "left_semi")
-
-
-def _torn(members: DataFrame, edges: DataFrame) -> DataFrame:
+    ranked = members.join(held, "sig").withColumns({
+        "rank": F.row_number().over(own.orderBy(F.col("spare") < 0, "held", "sig")),
+        "lacks": F.count_if(F.col("spare") >= 0).over(own) - F.col("spare"),
+    })
+    ranked = materialise(ranked.select("sig", "k", "n", ((F.col("spare") >= 0) & (F.col("rank") <= F.col("lacks"))).alias("prober")), "ngram-probes")
+    return ranked.join(ranked.where("prober").select("sig").distinct(), "sig", "left_semi")
+
+
+def _torn(members: DataFrame, label: DataFrame) -> DataFrame:
     """`sig, k, n, prober, centre` of the signatures whose members are in several components; centre: the least prober."""
-    label = components(edges)
     placed = members.join(label, members["k"] == label["id"], "left").select("sig", "k", "n", "prober", F.coalesce("component", "k").alias("c"))
     torn = placed.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.when(F.col("prober"), F.col("k"))).alias("centre"))
     torn = torn.where("lo <> hi AND centre IS NOT NULL").select("sig", "centre")
@@ -367,24 +364,30 @@ def _torn(members: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _rounds(members: DataFrame, tested: DataFrame, texts: DataFrame) -> DataFrame:
-    """Verified links, `a, b`, when all signatures of many are settled.
+    """Edges `a, b` with the components of all verified links, when all signatures of many are settled.
 
     First all members of a signature are compared with its least prober. What is close to that shares its component, and is
     done with unless some other member is near enough to the prober to be similar to what is close to it (distance up to 2/5).
     What is still torn is compared in blocks.
     """
-    edges = materialise(tested.where("100 * common >= 80 * total").select("a", "b"), "ngram-edges")
-    left = _torn(members, edges)
+    linked = F.expr("100 * common >= 80 * total")
+    label = components(tested.where(linked).select("a", "b"))
+    left = _torn(members, label)
     ends = {"a": F.least("centre", "k"), "b": F.greatest("centre", "k")}
     star = left.where("k <> centre").withColumns(ends)
     asked = star.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-    tested = materialise(tested.unionByName(_verify(asked, texts)), "ngram-tested")
-    edges = materialise(tested.where("100 * common >= 80 * total").select("a", "b"), "ngram-edges")
-    seen = star.join(tested.select("a", "b", (F.lit(1) - F.col("common") / F.col("total")).alias("d")), ["a", "b"])
+    asked = materialise(_verify(asked, texts), "ngram-tested")
+    # The components so far stand for the links that made them.
+    label = components(_forest(label).union(asked.where(linked).select("a", "b")))
+    seen = star.join(tested.unionByName(asked).select("a", "b", (F.lit(1) - F.col("common") / F.col("total")).alias("d")), ["a", "b"])
     between = seen.groupBy("sig").agg(F.max((F.col("d") > 0.2) & (F.col("d") < 0.4001)).alias("between"))
     rest = materialise(seen.join(between, "sig").where("d > 0.2 OR between").select("sig", "k", "n", "prober"), "ngram-members")
-    left = _torn(rest, edges)
-    return edges.union(_in_blocks(left, texts))
+    left = _torn(rest, label)
+    return _forest(label).union(_in_blocks(left, texts))
+
+
+def _forest(label: DataFrame) -> DataFrame:
+    return label.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
 
 
 def _in_blocks(left: DataFrame, texts: DataFrame) -> DataFrame:
