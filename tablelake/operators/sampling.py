@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tablelake.fixed_values import CANDIDATES_PER_TABLE, PER_TABLE_CAP
+from tablelake.session import materialise
 
 
 def seeded(seed: int, *parts: Column) -> Column:
@@ -49,7 +50,8 @@ def quota_sample(df: DataFrame, quotas: Mapping[str, int], cap: int = PER_TABLE_
     """Fill each kind's quota in turn; one table gives at most `cap` over all kinds.
 
     A kind's quota is a plain top-k over the rows its tables may still give,
-    so no window spans the whole set; each step holds no more than the quota.
+    so no window spans the whole set; each step holds no more than the quota,
+    and writes it, as later steps count what their tables have given.
     """
     draw = seeded(seed, F.col(ident))
     chosen: DataFrame | None = None
@@ -62,6 +64,6 @@ def quota_sample(df: DataFrame, quotas: Mapping[str, int], cap: int = PER_TABLE_
                 .where(F.col("_rank") <= F.lit(cap) - F.coalesce("_taken", F.lit(0)))
                 .drop("_taken")
             )
-        picked = pool.drop("_rank").orderBy(draw, F.col(ident)).limit(quota)
+        picked = materialise(pool.drop("_rank").orderBy(draw, F.col(ident)).limit(quota), "quota-picked")
         chosen = picked if chosen is None else chosen.unionByName(picked)
     return chosen

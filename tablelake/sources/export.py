@@ -107,14 +107,15 @@ def read_export(spark: SparkSession, path: str | list[str], schema: T.StructType
     """CSV export with declared types and lower-case columns.
 
     Unquoted empty fields are NULL, quoted ones stay empty. Quoted newlines
-    occur in memo fields only; a table known to have none is read as
-    splittable lines, so one huge file still spreads over the cluster.
+    occur in memo fields only, told by a field's `source_type`; a table that
+    declares none is read as splittable lines, so one huge file still spreads
+    over the cluster, and a broken line in it is an error.
     """
     def kind(field):
         return (field.metadata or {}).get("source_type")
 
     multiline = any(
-        isinstance(f.dataType, T.StringType) and (kind(f) or _MEMO).startswith(_MEMO) for f in schema
+        isinstance(f.dataType, T.StringType) and (kind(f) or "").startswith(_MEMO) for f in schema
     )
     as_text = (T.BooleanType, T.BinaryType)
     raw = T.StructType([

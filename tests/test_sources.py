@@ -53,6 +53,14 @@ def test_export_scan(spark, tmp_path):
                     (2, "", False, None, None, None), (3, None, None, "0.1000", None, "")]
 
 
+def test_only_declared_memos_hold_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('NAME\n"x\ny"\n')
+    memo = T.StructType([T.StructField("NAME", T.StringType(), metadata={"source_type": "Memo/Hyperlink (255)"})])
+    plain = T.StructType([T.StructField("NAME", T.StringType())])
+    assert export.read_export(spark, str(tmp_path), memo).collect() == [("x\ny",)]
+    assert export.read_export(spark, str(tmp_path), plain).count() != 1
+
+
 def test_export_without_memo_stays_splittable(spark, tmp_path):
     (tmp_path / "a.csv").write_text("UNITID\n1\n2\n")
     schema = T.StructType([T.StructField("UNITID", T.IntegerType())])
