@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +109,20 @@ def test_allocation_leaves_points_to_spare():
     assert all(ngram_join.most_errors(a + b) < ngram_join.need(a) for a in range(1, 300) for b in range(a, a * 5 // 4 + 1))
 
 
+def test_contracted_blocks():
+    rng = random.Random(3)
+    for n in (1, 2, 40, 300):
+        for edges in ([(i, i + 1) for i in range(n)], [(rng.randrange(-n, n), rng.randrange(-n, n)) for _ in range(n)], []):
+            rng.shuffle(edges)
+            least = {x: x for e in edges for x in e}
+            for _ in least:
+                for a, b in edges:
+                    least[a] = least[b] = min(least[a], least[b])
+            block = pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], ["a", "b"])
+            got = [(r["a"], r["b"]) for out in components._contract([block]) for r in out.to_pylist()]
+            assert sorted(got) == sorted((x, c) for x, c in least.items() if c != x)
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
