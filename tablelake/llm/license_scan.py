@@ -1,11 +1,16 @@
 """License scans by conditional compression.
 
-Candidate blocks (lines that speak of licensing) are compressed alone and with each license template as a zstandard raw
-dictionary. The template that saves most wins if it saves enough, and the winner is confirmed by the exact differences in wording: words
-of the template that are absent and words that are not the template's, by a longest common subsequence.
+A text is one sequence of words: line breaks and comment marks between them don't count, so a notice may stand in a paragraph or be wrapped.
+Around the cue words of each template, windows about as long as the template are slid by word, and those that hold enough of its words in
+order (longest common subsequence, bit-parallel) are cut to their tightest span. Spans are compressed alone and with the template as a zstandard
+raw dictionary, and ranked by the bytes saved against what the template alone costs. The exact differences in wording go with the result: words of the
+template that are absent and words that are not the template's.
 """
 from __future__ import annotations
 
+import difflib
+import heapq
+import math
 import re
 from collections.abc import Iterator
 
@@ -31,134 +36,178 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related rights to this work",
 }
-CANDIDATE = r"(?i)licen[sc]e|copyright|redistribution|creative commons|\bCC[ -]?(BY|0)|public domain|waived all"
+#: Names without which a wording is not the license's (a near spelling will do): "released under the new license" is not MIT.
+PROPER = {"apache", "mit", "gnu", "mozilla", "cc"}
+#: Words that are never cues while a wording has others.
+COMMON = {"the", "this", "that", "and", "with", "without", "under", "use", "are", "has", "all", "any", "work", "terms", "subject", "following", "forms", "form", "version", "to", "of", "is", "in", "or", "by"}
 # ---- end of fixed values ----
 
 LEVEL = 19
-#: Share of a block's compressed size that the winner must save, and of the template's words that must be there.
+#: Share of the template's own compressed size that it must save on a span, and of its words that must be there.
 LEAST_SAVED, LEAST_WORDS = 0.25, 0.8
-#: Longer lines are looked at in overlapping stretches of so many characters around each candidate word.
-STRETCH = 400
 
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
-def _stretches(line: str) -> Iterator[tuple[int, int]]:
-    """Where a line speaks of licensing: the line, or merged stretches of a long one."""
-    if len(line) <= 2 * STRETCH:
-        yield 0, len(line)
-        return
-    begin = end = None
-    for m in re.finditer(CANDIDATE, line):
-        a, b = max(0, m.start() - STRETCH), min(len(line), m.end() + STRETCH)
-        while a > 0 and not line[a - 1].isspace() and m.start() - a < 2 * STRETCH:
-            a -= 1
-        if begin is None or a > end:
-            if begin is not None:
-                yield begin, end
-            begin, end = a, b
-        elif b - begin <= 4 * STRETCH:
-            end = b
-        else:
-            yield begin, end
-            begin, end = a, b
-    if begin is not None:
-        yield begin, end
-
-
-def blocks(text: str) -> Iterator[tuple[int, int, str]]:
-    """`(start, end, wording)` of the candidate blocks of a text, in code points."""
-    at = 0
-    for line in text.split("\n"):
-        if re.search(CANDIDATE, line):
-            for a, b in _stretches(line):
-                yield at + a, at + b, line[a:b]
-        at += len(line) + 1
+class Wording:
+    """A template's words, its cues, and its compressor."""
+
+    def __init__(self, name: str, text: str):
+        self.name, self.words = name, _WORD.findall(text.lower())
+        self.n = len(self.words)
+        self.least = max(1, math.ceil(LEAST_WORDS * self.n))
+        #: Words of the longest span: the template's, as many others, and a few.
+        self.width = 2 * self.n + 4
+        self.masks: dict[str, int] = {}
+        for i, w in enumerate(self.words):
+            self.masks[w] = self.masks.get(w, 0) | 1 << i
+        # No span can hold enough of the words without one of these: lacking them all is one word too many.
+        order = sorted(self.masks, key=lambda w: (w in COMMON, not w.isalpha(), -len(w), w))
+        self.cues = set(order[: self.n - self.least + 1])
+        data = " ".join(self.words).encode()
+        self.given = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+        self.cost = len(zstandard.ZstdCompressor(level=LEVEL).compress(data))
+
+    def best(self, words: list[str], start: int, stop: int) -> tuple[int, int]:
+        """`(common, end)`: most words in order of any span from `start`, at most `width` long and before `stop`, and where the shortest such ends."""
+        ones = (1 << self.n) - 1
+        v, common, end = ones, 0, start
+        for at in range(start, min(stop, start + self.width)):
+            if u := v & self.masks.get(words[at], 0):
+                v = (v + u | v - u) & ones
+                if (now := self.n - v.bit_count()) > common:
+                    common, end = now, at + 1
+        return common, end
+
+    def spans(self, words: list[str]) -> list[tuple[int, int]]:
+        """Spans of `words`, none overlapping another, that hold enough of the template's: most words first, then the shortest."""
+        starts: set[int] = set()
+        low = 0
+        for cue in (i for i, w in enumerate(words) if w in self.cues):
+            a, b = max(low, cue - self.width + 1), cue + 1
+            near = words[max(0, cue - self.width + 1) : cue + self.width]
+            if len(self.masks.keys() & near) >= len(self.masks) - (self.n - self.least):
+                starts.update(i for i in range(a, b) if words[i] in self.masks)
+                low = b
+        heap, taken = [], [False] * len(words) if starts else []
+
+        def push(start: int, stop: int) -> None:
+            common, end = self.best(words, start, stop)
+            if common >= self.least:
+                heapq.heappush(heap, (-common, end - start, start))
+
+        for start in starts:
+            push(start, len(words))
+        out = []
+        while heap:
+            _, length, start = heapq.heappop(heap)
+            met = next((i for i in range(start, start + length) if taken[i]), None)
+            if met is None:
+                taken[start : start + length] = [True] * length
+                out.append((start, start + length))
+            elif met > start:
+                push(start, met)  # what is left before a span taken already
+        return out
 
 
 class Scanner:
-    """Compressors of every template, and the comparison of wordings."""
+    """All wordings of all templates, and the comparison of wordings."""
 
     def __init__(self, templates: dict[str, str]):
-        self.names = sorted(templates)
-        self.words = {n: _WORD.findall(templates[n].lower()) for n in self.names}
+        self.wordings = [Wording(n, templates[n]) for n in sorted(templates)]
         self.alone = zstandard.ZstdCompressor(level=LEVEL)
-        self.given = {n: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(templates[n].lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for n in self.names}
+        self.known: dict[tuple, tuple] = {}
 
-    def ranked(self, wording: str) -> list[tuple[float, str]]:
-        """Templates by the share of the compressed size that each saves, largest first, ties by name."""
-        data = wording.lower().encode()
-        whole = len(self.alone.compress(data))
-        return sorted(((1 - len(c.compress(data)) / whole, n) for n, c in self.given.items()), key=lambda x: (-x[0], x[1]))
-
-    def differences(self, wording: str, name: str) -> tuple[list[str], list[str]]:
-        """`(absent, extra)` words of the stretch of `wording` that a longest common subsequence with the template spans."""
-        own, want = _WORD.findall(wording.lower()), self.words[name]
+    def differences(self, own: list[str], want: list[str]) -> tuple[list[str], list[str]]:
+        """`(absent, extra)` words of a span by a longest common subsequence with the template's."""
         best = [[0] * (len(want) + 1) for _ in range(len(own) + 1)]
         for i in range(len(own) - 1, -1, -1):
             for j in range(len(want) - 1, -1, -1):
                 best[i][j] = best[i + 1][j + 1] + 1 if own[i] == want[j] else max(best[i + 1][j], best[i][j + 1])
         i = j = 0
-        absent, extra, inside = [], [], []
+        absent, extra = [], []
         while i < len(own) and j < len(want):
-            if own[i] == want[j] and best[i][j] == best[i + 1][j + 1] + 1:
-                extra += inside
-                inside = []
+            if own[i] == want[j]:
                 i, j = i + 1, j + 1
             elif best[i + 1][j] >= best[i][j + 1]:
-                if len(want) - len(absent) > best[0][0] or best[i][j] < best[0][0]:
-                    inside.append(own[i])
+                extra.append(own[i])
                 i += 1
             else:
                 absent.append(want[j])
                 j += 1
-        return absent + want[j:], extra
-
-    def judge(self, wording: str):
-        """`(license, saved, absent, extra)` of a block, or None: the first template in rank whose wording is confirmed."""
-        for saved, name in self.ranked(wording):
-            if saved < LEAST_SAVED:
-                return None
-            absent, extra = self.differences(wording, name)
-            if len(self.words[name]) - len(absent) >= LEAST_WORDS * len(self.words[name]) and not self._better(wording, name, absent):
-                return name, saved, absent, extra
-        return None
-
-    def _better(self, wording: str, name: str, absent: list[str]) -> bool:
-        """Whether another template is there word for word while this one is not."""
-        return bool(absent) and any(not self.differences(wording, other)[0] for other in self.names if other != name)
+        return absent + want[j:], extra + own[i:]
+
+    def judge(self, words: list[str], wording: Wording):
+        """`(saved, absent, extra)` of a span, or None."""
+        key = (wording.name, wording.n, *words)
+        if key not in self.known:
+            if len(self.known) > 10_000:
+                self.known.clear()
+            data = " ".join(words).encode()
+            saved = (len(self.alone.compress(data)) - len(wording.given.compress(data))) / wording.cost
+            absent, extra = self.differences(words, wording.words)
+            named = all(difflib.get_close_matches(w, extra, 1, 0.75) for w in PROPER.intersection(absent))
+            self.known[key] = (saved, absent, extra) if saved >= LEAST_SAVED and named else None
+        return self.known[key]
+
+    def notices(self, text: str) -> list[tuple]:
+        """`(start, end, license, saved, absent, extra)` of the notices of a text by place, in code points.
+
+        Of spans that lie within one another, and of overlapping ones of one license, the best stays: a word-for-word one, then the one that saves most.
+        """
+        found = list(_WORD.finditer(text))
+        words = [m[0].lower() for m in found]
+        have, spans = set(words), []
+        for wording in self.wordings:
+            if have.isdisjoint(wording.cues):
+                continue
+            for a, b in wording.spans(words):
+                if (judged := self.judge(words[a:b], wording)) is not None:
+                    saved, absent, extra = judged
+                    spans.append((bool(absent or extra), -saved, wording.name, a, b, absent, extra, wording))
+        kept = []
+        for span in sorted(spans, key=lambda x: x[:5]):
+            if not any(self._explained(words, span, other) for other in kept):
+                kept.append(span)
+        return [(found[a].start(), found[b - 1].end(), name, -lost, absent, extra) for _, lost, name, a, b, absent, extra, _ in sorted(kept, key=lambda x: x[3:5])]
+
+    def _explained(self, words: list[str], span: tuple, better: tuple) -> bool:
+        """Whether a better span holds this one, or overlaps it with the same license."""
+        (_, _, name, a, b, *_), (_, _, other, c, d, *_) = span, better
+        return c <= a and b <= d or name == other and a < d and c < b
+
+
+def cue(templates: dict[str, str]) -> str:
+    """A pattern that every text with a notice matches."""
+    words = sorted({c for w in Scanner(templates).wordings for c in w.cues})
+    return r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(re.escape(w) for w in words) + r")(?![\p{L}\p{N}])" if words else r"(?!)"
 
 
 SCHEMA = "start long, end long, license string, saved double, absent string, extra string, exact boolean"
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
-    """License notices in every row of `docs` (`doc_id`, `text`), one row each.
+    """License notices in every row of `docs` (`doc_id`, `text`), one row each, wherever in the text they stand.
 
-    Returns `doc_id, start, end` (of the block, in code points, end exclusive), `license, saved` (share of the compressed size),
-    `absent` and `extra` (words of the template not there, and words between that are not its, space-joined) and `exact` (neither). Null and empty
-    texts, and texts without a confirmed block, give no row; repeated rows give theirs each. Other columns are not read.
+    Returns `doc_id, start, end` (of the notice's words, in code points, end exclusive), `license, saved` (bytes that the template saves on the
+    span, as a share of its own compressed size), `absent` and `extra` (words of the template not there, and words between that are not its, space-joined)
+    and `exact` (neither). Null and empty texts, and texts without a confirmed span, give no row; repeated rows give theirs each. Other
+    columns are not read.
     """
     rows = only(docs, "doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner, known = Scanner(templates), {}
+        scanner = Scanner(templates)
         for batch in batches:
             out, of = [], []
             for row, text in enumerate(batch.column(1).to_pylist()):
-                for start, end, wording in blocks(text or ""):
-                    if wording not in known:
-                        if len(known) > 10_000:
-                            known.clear()
-                        known[wording] = scanner.judge(wording)
-                    if (found := known[wording]) is not None:
-                        name, saved, absent, extra = found
-                        of.append(row)
-                        out.append((start, end, name, saved, " ".join(absent), " ".join(extra), not absent and not extra))
+                for start, end, name, saved, absent, extra in scanner.notices(text or ""):
+                    of.append(row)
+                    out.append((start, end, name, saved, " ".join(absent), " ".join(extra), not absent and not extra))
             columns = list(zip(*out)) or [()] * 7
             types = [pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, types)]],
                                              ["doc_id", "start", "end", "license", "saved", "absent", "extra", "exact"])
 
-    return rows.where(F.col("text").rlike(CANDIDATE)).mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
+    return rows.where(F.col("text").rlike(cue(templates))).mapInArrow(run, f"doc_id {kind}, {SCHEMA}")

@@ -401,6 +401,20 @@ def test_license_scan(spark, odd, empty):
     assert found == {r["doc_id"] for r in docs.where(F.col("text").rlike("licensed under|Licensed under|Released under")).collect()}
 
 
+def license_rows(text):
+    return [(name, text[a:b], not absent and not extra) for a, b, name, _, absent, extra in license_scan.Scanner(license_scan.TEMPLATES).notices(text)]
+
+
+def test_licenses_in_prose(spark):
+    prose = "The harvest came late that year and nobody in the valley could say why the river had fallen so low before the rain. " * 5
+    rows = [(i, f"{prose[:pad]} {text}, {prose[:pad]}") for i, text in enumerate(license_scan.TEMPLATES.values()) for pad in (0, 40, 80, 390)]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    names, texts = list(license_scan.TEMPLATES), dict(rows)
+    assert len(got) == len(rows) and all(r["license"] == names[r["doc_id"]] and r["exact"] for r in got)
+    assert all(license_scan.TEMPLATES[r["license"]] in (t[r["start"] : r["end"]] for i, t in rows if i == r["doc_id"]) for r in got) and texts
+    assert not license_rows("The album was released under the new license.") and not license_rows("Released under the Apache License.")
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
