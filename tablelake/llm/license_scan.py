@@ -36,6 +36,14 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related rights to this work",
 }
+#: Longer wordings of some of them: grants and usual source headers.
+HEADERS = {
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+    "GPL-3.0": "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "GPL-2.0": "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
+    "LGPL-3.0": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "AGPL-3.0": "under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+}
 #: Names without which a wording is not the license's (a near spelling will do): "released under the new license" is not MIT.
 PROPER = {"apache", "mit", "gnu", "mozilla", "cc"}
 #: Words that are never cues while a wording has others.
@@ -47,6 +55,8 @@ LEVEL = 19
 LEAST_SAVED, LEAST_WORDS = 0.25, 0.8
 
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
+#: Comment marks that are words; other marks are none.
+_MARK = re.compile(r"^[ \t]*(?:rem|dnl)(?=[ \t])", re.I | re.M)
 
 
 class Wording:
@@ -114,7 +124,7 @@ class Scanner:
     """All wordings of all templates, and the comparison of wordings."""
 
     def __init__(self, templates: dict[str, str]):
-        self.wordings = [Wording(n, templates[n]) for n in sorted(templates)]
+        self.wordings = [Wording(n, t) for n in sorted(templates) for t in (templates[n], HEADERS.get(n)) if t]
         self.alone = zstandard.ZstdCompressor(level=LEVEL)
         self.known: dict[tuple, tuple] = {}
 
@@ -139,7 +149,7 @@ class Scanner:
 
     def judge(self, words: list[str], wording: Wording):
         """`(saved, absent, extra)` of a span, or None."""
-        key = (wording.name, wording.n, *words)
+        key = (id(wording), *words)
         if key not in self.known:
             if len(self.known) > 10_000:
                 self.known.clear()
@@ -155,7 +165,7 @@ class Scanner:
 
         Of spans that lie within one another, and of overlapping ones of one license, the best stays: a word-for-word one, then the one that saves most.
         """
-        found = list(_WORD.finditer(text))
+        found = list(_WORD.finditer(_MARK.sub(lambda m: " " * len(m[0]), text)))
         words = [m[0].lower() for m in found]
         have, spans = set(words), []
         for wording in self.wordings:

@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -415,6 +416,15 @@ def test_licenses_in_prose(spark):
     assert not license_rows("The album was released under the new license.") and not license_rows("Released under the Apache License.")
 
 
+def test_wrapped_licenses():
+    for wordings in (license_scan.TEMPLATES, license_scan.HEADERS):
+        for name, text in wordings.items():
+            for mark in ("", "# ", " * ", "// ", "REM "):
+                for width in (24, 40, 60):
+                    header = "\n".join(mark + line for line in textwrap.wrap(text, width))
+                    assert [(n, exact) for n, _, exact in license_rows(f"first line\n{header}\nlast line")] == [(name, True)], (name, mark, width)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
