@@ -164,6 +164,7 @@ class Scanner:
         """`(start, end, license, saved, absent, extra)` of the notices of a text by place, in code points.
 
         Of spans that lie within one another, and of overlapping ones of one license, the best stays: a word-for-word one, then the one that saves most.
+        A span that overlaps a better one of another license stays if it has words of its own, as in "CC BY 4.0 and CC BY-SA 4.0".
         """
         found = list(_WORD.finditer(_MARK.sub(lambda m: " " * len(m[0]), text)))
         words = [m[0].lower() for m in found]
@@ -182,9 +183,14 @@ class Scanner:
         return [(found[a].start(), found[b - 1].end(), name, -lost, absent, extra) for _, lost, name, a, b, absent, extra, _ in sorted(kept, key=lambda x: x[3:5])]
 
     def _explained(self, words: list[str], span: tuple, better: tuple) -> bool:
-        """Whether a better span holds this one, or overlaps it with the same license."""
-        (_, _, name, a, b, *_), (_, _, other, c, d, *_) = span, better
-        return c <= a and b <= d or name == other and a < d and c < b
+        """Whether a better span holds this one, overlaps it with the same license, or has enough of its words while one stray word is outside."""
+        (_, _, name, a, b, *_, wording), (_, _, other, c, d, *_) = span, better
+        if c <= a and b <= d or name == other and a < d and c < b:
+            return True
+        if a >= d or c >= b or max(wording.best(words, i, min(b, d))[0] for i in range(max(a, c), min(b, d))) < wording.least:
+            return False
+        joined = b > d and words[d] in ("or", "and")
+        return not joined and all(wording.best(words, i, stop)[0] < 2 for at, stop in ((a, c), (d, b)) for i in range(at, stop))
 
 
 def cue(templates: dict[str, str]) -> str:

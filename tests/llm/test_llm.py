@@ -425,6 +425,16 @@ def test_wrapped_licenses():
                     assert [(n, exact) for n, _, exact in license_rows(f"first line\n{header}\nlast line")] == [(name, True)], (name, mark, width)
 
 
+def test_licenses_of_one_line():
+    both = "Licensed under the Apache License, Version 2.0. Released under the MIT License."
+    assert [(n, e) for n, _, e in license_rows(both)] == [("Apache-2.0", True), ("MIT", True)]
+    assert [n for n, _, _ in license_rows("Licensed under CC BY 4.0 and CC BY-SA 4.0.")] == ["CC-BY-4.0", "CC-BY-SA-4.0"]
+    gpl = license_scan.TEMPLATES["GPL-2.0"]
+    assert [n for n, _, _ in license_rows(gpl + " or version 3.")] == ["GPL-2.0", "GPL-3.0"]
+    assert [n for n, _, _ in license_rows(gpl + ". 3 people signed.")] == ["GPL-2.0"]
+    assert [n for n, _, _ in license_rows("Released under the MIT License. " * 3)] == ["MIT"] * 3
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
