@@ -1,16 +1,22 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Documents of a source form blocks. With weight w, a source's j-th block (from 0) is released at slot floor(j / w) and due by slot
-ceil((j + 1) / w); in every slot the released block of earliest deadline goes. Each source's share of any prefix then differs from
-its weight by less than one block. Weights are rounded to whole parts of a frame of fixed length, after which the schedule repeats, so
-one frame is scheduled and every block finds its slot from its number alone. When a source has no whole
-frame left the rest go on with their weights rescaled, and the left-over blocks of fewer than a frame are scheduled last by
-the same rule.
+Documents of a source form blocks. Of sources flowing at their weights, a used-up one stopping and the others going on at weights rescaled,
+a source's j-th block (from 0) flows between two points of time. It is released at the slot where the first one falls and due by the slot where the
+second has passed: floor(j / w) and ceil((j + 1) / w) as long as no source is used up. In every slot the released block of earliest deadline goes,
+which meets all deadlines, so that each source is less than one block off the flow at any slot. All of it is exact, in whole numbers and fractions.
+
+The schedule depends on the sources' numbers of blocks alone. One task walks it slot by slot, holds two entries per source, and writes a row per
+block; rows of documents meet their block in a join.
 """
 from __future__ import annotations
 
+import bisect
 import heapq
+from collections.abc import Iterator
+from fractions import Fraction
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,10 +25,10 @@ from tablelake.session import materialise
 
 #: Documents of a block.
 BLOCK = 32
-#: Slots of a frame: weights are multiples of 1 / FRAME.
-FRAME = 1024
-#: Bound on the number of sources, and with it on the tables sent to every task.
+#: Bound on the number of sources.
 MOST_SOURCES = 512
+#: Rows of an Arrow batch of the schedule.
+BATCH = 8192
 
 
 def whole_parts(weights: dict, total: int) -> dict:
@@ -41,52 +47,64 @@ def whole_parts(weights: dict, total: int) -> dict:
     return out
 
 
-def frame(counts: dict) -> list[tuple]:
-    """`(source, j, release, deadline)` by slot: earliest deadline first among the released, as many slots as blocks."""
-    slots = sum(counts.values())
-    releases = sorted((j * slots // n, -(-(j + 1) * slots // n), str(s), s, j) for s, n in counts.items() for j in range(n))
-    out, ready, at = [], [], 0
-    for t in range(slots):
-        while at < len(releases) and releases[at][0] <= t:
-            release, deadline, name, s, j = releases[at]
-            heapq.heappush(ready, (deadline, name, j, s, release))
-            at += 1
-        deadline, _, j, s, release = heapq.heappop(ready)
-        out.append((s, j, release, deadline))
-    return out
+def walk(blocks: dict, weights: dict) -> Iterator[tuple]:
+    """`(source, j, release, deadline)` by slot: earliest deadline first among the released, as many slots as blocks.
 
+    Weights are whole numbers or fractions above 0. At slot t a source has had floor or ceil of its flow: see the module.
+    """
+    names = sorted((s for s in blocks if blocks[s]), key=str)
+    count = [blocks[s] for s in names]
+    exact = [Fraction(weights[s]) for s in names]
+    scale = lcm(*(w.denominator for w in exact))
+    weight = [int(w * scale) for w in exact]
+    # Ends of sources by time, and the flow between them: slots gone by sources used up, and the weight of the others.
+    ends = sorted(range(len(names)), key=lambda i: Fraction(count[i], weight[i]))
+    nears = [count[i] / weight[i] for i in ends]
+    gone, active = [0], [sum(weight)]
+    for i in ends:
+        gone.append(gone[-1] + count[i])
+        active.append(active[-1] - weight[i])
+
+    def at(i: int, j: int) -> tuple[int, int]:
+        """Whole slots, and the next whole slot, of the time at which `j` blocks of source `i` have flowed."""
+        k = bisect.bisect_left(nears, j / weight[i])
+        while k and j * weight[ends[k - 1]] < count[ends[k - 1]] * weight[i]:
+            k -= 1
+        while k < len(ends) and j * weight[ends[k]] > count[ends[k]] * weight[i]:
+            k += 1
+        whole, rest = divmod(active[k] * j, weight[i])
+        return gone[k] + whole, gone[k] + whole + (rest > 0)
+
+    def upcoming(i: int, j: int, release: int) -> tuple:
+        after, deadline = at(i, j + 1)
+        return release, deadline, i, j, after
+
+    future = [upcoming(i, 0, 0) for i in range(len(names))]
+    heapq.heapify(future)
+    ready: list[tuple] = []
+    for t in range(sum(count)):
+        while future and future[0][0] <= t:
+            release, deadline, i, j, after = future[0]
+            heapq.heappush(ready, (deadline, i, j, release))
+            if j + 1 < count[i]:
+                heapq.heapreplace(future, upcoming(i, j + 1, after))
+            else:
+                heapq.heappop(future)
+        deadline, i, j, release = heapq.heappop(ready)
+        yield names[i], j, release, deadline
 
-def plan(blocks: dict, weights: dict) -> tuple[list[tuple], list[tuple]]:
-    """`(phases, slots)`: `(phase, source, first block, blocks, per frame, first slot, frame slots)` and `(phase, source, j, offset, release, deadline)`.
 
-    A phase repeats one frame as often as every active source can fill it; a last phase has what is left of each.
-    There are at most twice as many phases as sources.
-    """
-    used, left = dict.fromkeys(blocks, 0), {s: n for s, n in blocks.items() if n}
-    phases, slots, at, phase = [], [], 0, 0
-
-    def put(counts: dict, times: int) -> None:
-        nonlocal at, phase
-        size = sum(counts.values())
-        for s, n in counts.items():
-            phases.append((phase, s, used[s], n * times, n, at, size))
-            used[s] += n * times
-            left[s] -= n * times
-        slots.extend((phase, s, j, t, release, deadline) for t, (s, j, release, deadline) in enumerate(frame(counts)))
-        at, phase = at + size * times, phase + 1
-
-    while left:
-        per = whole_parts({s: weights[s] for s in left}, FRAME)
-        times = min(left[s] // per[s] for s in left)
-        if times:
-            put(per, times)
-            left = {s: n for s, n in left.items() if n}
-        # Less than a frame of some source is left: go to where the first source ends, by its share of a frame.
-        if left and not min(left[s] // per[s] for s in left):
-            share = min(left[s] / per[s] for s in left)
-            put({s: n for s in left if (n := min(left[s], max(round(per[s] * share), 1 if left[s] / per[s] == share else 0)))}, 1)
-            left = {s: n for s, n in left.items() if n}
-    return phases, slots
+def frame(counts: dict) -> list[tuple]:
+    """`walk` of sources that weigh as many blocks as they have."""
+    return list(walk(counts, counts))
+
+
+def target_weights(blocks: dict, weights: dict | None) -> dict:
+    """Exact weights of all sources: see `schedule`."""
+    if weights is None:
+        return {s: Fraction(n) for s, n in blocks.items()}
+    named = {s: Fraction(w) for s, w in weights.items() if w > 0}
+    return {s: named.get(s) or min(named.values(), default=Fraction(1)) / 1000 for s in blocks}
 
 
 def _number(docs: DataFrame, source: Column, name: str) -> DataFrame:
@@ -105,15 +123,29 @@ def _number(docs: DataFrame, source: Column, name: str) -> DataFrame:
     return keyed.withColumn("__place", place).join(starts, (F.col("__s") == F.col("__s2")) & (F.col("__b") == F.col("__b2"))).withColumn(name, F.col("__start") + F.col("__place")).drop("__b", "__b2", "__s2", "__start", "__place")
 
 
-def _targets(spark, numbered_counts: dict, weights: dict | None) -> tuple[DataFrame, DataFrame]:
-    if len(numbered_counts) > MOST_SOURCES:
-        raise ValueError(f"{len(numbered_counts)} sources; mix at most {MOST_SOURCES}, or map them to groups first")
-    blocks = {s: -(-n // BLOCK) for s, n in numbered_counts.items()}
-    weights = {s: (weights or {}).get(s, 0) or (blocks[s] if weights is None else min(weights.values(), default=1) / 1000) for s in blocks}
-    phases, slots = plan(blocks, weights)
-    p = spark.createDataFrame(phases, "p_phase int, p_source string, p_first long, p_blocks long, p_per long, p_start long, p_size long")
-    s = spark.createDataFrame(slots, "s_phase int, s_source string, s_j long, s_offset long, s_release long, s_deadline long")
-    return p, s
+SLOTS = "p_source string, p_block long, p_slot long, p_release long, p_deadline long"
+
+
+def _slots(sources: DataFrame, weights: dict | None) -> DataFrame:
+    """A row per block of `sources` (`s`, `n` rows): where it comes in the mix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = {s: -(-n // BLOCK) for batch in batches for s, n in zip(*(c.to_pylist() for c in batch.columns))}
+        out: list[tuple] = []
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k else pa.string()) for k, c in enumerate(zip(*out))],
+                                              ["p_source", "p_block", "p_slot", "p_release", "p_deadline"])
+
+        for slot, (s, j, release, deadline) in enumerate(walk(blocks, target_weights(blocks, weights)) if blocks else ()):
+            out.append((s, j, slot, release, deadline))
+            if len(out) == BATCH:
+                yield packed()
+                out = []
+        if out:
+            yield packed()
+
+    return sources.coalesce(1).mapInArrow(run, SLOTS)
 
 
 def _source(docs: DataFrame) -> Column:
@@ -138,18 +170,14 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFr
 
 
 def _place(rows: DataFrame, source: Column, weights: dict[str, float] | None) -> DataFrame:
-    spark = rows.sparkSession
-    counts = {r["s"]: r["n"] for r in rows.groupBy(source.alias("s")).agg(F.count(F.lit(1)).alias("n")).limit(MOST_SOURCES + 1).collect()}
-    phases, slots = _targets(spark, counts, weights)
+    sources = materialise(rows.groupBy(source.alias("s")).agg(F.count(F.lit(1)).alias("n")), "mixing-sources")
+    if (n := sources.count()) > MOST_SOURCES:
+        raise ValueError(f"{n} sources; mix at most {MOST_SOURCES}, or map them to groups first")
+    slots = materialise(_slots(sources, weights), "mixing-slots")
     numbered = _number(rows, source, "__n").withColumn("__block", F.floor(F.col("__n") / BLOCK))
-    # Both tables are bounded by MOST_SOURCES and FRAME.
-    inside = (F.col("__s") == F.col("p_source")) & (F.col("__block") >= F.col("p_first")) & (F.col("__block") < F.col("p_first") + F.col("p_blocks"))
-    met = numbered.join(F.broadcast(phases), inside).withColumn("__k", F.col("__block") - F.col("p_first"))
-    met = met.withColumns({"__frame": F.floor(F.col("__k") / F.col("p_per")), "__j": F.col("__k") % F.col("p_per")})
-    own = (F.col("p_phase") == F.col("s_phase")) & (F.col("__s") == F.col("s_source")) & (F.col("__j") == F.col("s_j"))
-    met = met.join(F.broadcast(slots), own).withColumn("__base", F.col("p_start") + F.col("__frame") * F.col("p_size"))
-    out = met.withColumns({"__slot": F.col("__base") + F.col("s_offset"), "__release": F.col("__base") + F.col("s_release"), "__deadline": F.col("__base") + F.col("s_deadline")})
-    return out.drop(*[c for c in out.columns if c[:2] in ("p_", "s_")], "__base", "__frame", "__j", "__k", "__s")
+    met = numbered.join(slots, (F.col("__s") == F.col("p_source")) & (F.col("__block") == F.col("p_block")))
+    out = met.withColumnsRenamed({"p_slot": "__slot", "p_release": "__release", "p_deadline": "__deadline"})
+    return out.drop("p_source", "p_block", "__s")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import textwrap
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -327,6 +328,30 @@ def test_pfair_deviation():
     assert sum(mixing.whole_parts({"a": 1e-9, "b": 5, "c": 2}, 1024).values()) == 1024
 
 
+def test_pfair_deviation_from_the_target_weights():
+    cases = [({"a": 10_000, "b": 12_345}, None), ({"hot": 100_000, **{f"s{i}": 3 for i in range(200)}}, None), ({"a": 500, "b": 400, "c": 90, "d": 1}, {"a": 0.1, "b": 0.7, "c": 0.2}),
+             ({str(i): i * i % 37 + 1 for i in range(60)}, {str(i): i % 7 + 0.3 for i in range(60)})]
+    for blocks, weights in cases:
+        whole = mixing.target_weights(blocks, weights)
+        # The flow, source by source: (slot, blocks so far, share of a slot) from one end of a source to the next.
+        flow, t, left = [], Fraction(0), {s: Fraction(n) for s, n in blocks.items()}
+        while left:
+            total = sum(whole[s] for s in left)
+            step = min(left[s] * total / whole[s] for s in left)
+            flow.append((t, {s: (blocks[s] - n, whole[s] / total) for s, n in left.items()}))
+            left = {s: m for s, n in left.items() if (m := n - step * whole[s] / total)}
+            t += step
+        got, rows, k = Counter(), list(mixing.walk(blocks, whole)), 0
+        assert {(s, j) for s, j, _, _ in rows} == {(s, j) for s, n in blocks.items() for j in range(n)} and len(rows) == sum(blocks.values())
+        for t, (source, _, release, deadline) in enumerate(rows, 1):
+            got[source] += 1
+            assert release <= t - 1 < deadline
+            while k + 1 < len(flow) and flow[k + 1][0] <= t:
+                k += 1
+            looked = flow[k][1] if len(rows) < 5000 or t % 997 == 0 else {source: flow[k][1][source]} if source in flow[k][1] else {}
+            assert all(abs(got[s] - (n + (t - flow[k][0]) * w)) < 1 for s, (n, w) in looked.items())
+
+
 def unigram_library():
     """The library's own Viterbi over the same pieces: the model's type field set to unigram."""
     import sentencepiece as library
