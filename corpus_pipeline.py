@@ -10,6 +10,8 @@ from tablelake.llm import language_id, mixing, ngram_join, pii, sentencepiece
 from tablelake.session import configure, shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Column of the mixing stage that the stages after it hand on.
+POSITION = "mix_position"
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +36,9 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, written in the order in which the mix takes them: each source in proportion at any point."""
+    """All documents in the order of the mix, with their place in `mix_position`: sources at tempered shares, until used up."""
     configure(spark)
-    return mixing.mix(docs)
+    return mixing.mix(docs, mixing.TEMPER, position=POSITION)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,11 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; each result is written as Parquet to the shared folder and read again."""
+    """All stages over `documents`; each result is written as Parquet to the shared folder and read again.
+
+    Rows come in the order of the mix, equal rows side by side; the last written result holds the place itself in POSITION.
+    """
     configure(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = f"{shared_folder(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs
+    return docs.orderBy(POSITION).drop(POSITION)

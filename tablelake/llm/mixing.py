@@ -27,6 +27,8 @@ from tablelake.session import materialise
 BLOCK = 32
 #: Bound on the number of sources.
 MOST_SOURCES = 512
+#: Power of a source's blocks that it weighs in the query and in the pipeline: small sources come at more than their share, until used up.
+TEMPER = 0.5
 #: Rows of an Arrow batch of the schedule.
 BATCH = 8192
 
@@ -99,10 +101,12 @@ def frame(counts: dict) -> list[tuple]:
     return list(walk(counts, counts))
 
 
-def target_weights(blocks: dict, weights: dict | None) -> dict:
+def target_weights(blocks: dict, weights: dict | float | None) -> dict:
     """Exact weights of all sources: see `schedule`."""
     if weights is None:
         return {s: Fraction(n) for s, n in blocks.items()}
+    if not isinstance(weights, dict):
+        return {s: Fraction(max(1, round(1024 * n**weights)), 1024) for s, n in blocks.items()}
     named = {s: Fraction(w) for s, w in weights.items() if w > 0}
     return {s: named.get(s) or min(named.values(), default=Fraction(1)) / 1000 for s in blocks}
 
@@ -126,7 +130,7 @@ def _number(docs: DataFrame, source: Column, name: str) -> DataFrame:
 SLOTS = "p_source string, p_block long, p_slot long, p_release long, p_deadline long"
 
 
-def _slots(sources: DataFrame, weights: dict | None) -> DataFrame:
+def _slots(sources: DataFrame, weights: dict | float | None) -> DataFrame:
     """A row per block of `sources` (`s`, `n` rows): where it comes in the mix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,12 +156,13 @@ def _source(docs: DataFrame) -> Column:
     return F.coalesce(docs["source"].cast("string"), F.lit(""))
 
 
-def schedule(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict[str, float] | float | None = None) -> DataFrame:
     """Where every row of `docs` (`doc_id`, `text`, `source`) comes in the mix.
 
     Returns `doc_id, source, block` (number in its source), `slot` (of the block in the mix, gapless from 0), `release` and `deadline` (the slots
     between which Pfair puts it), `position` (of the row, ascending with slot). Without `weights` (source -> weight) a source weighs
-    as many blocks as it has; sources not named in `weights` weigh a thousandth of the least. Every row occurs once: when a source is
+    as many blocks as it has, so that every stretch of the mix has the table's own shares; with a number it weighs its blocks to that power, in
+    1024ths (tempered shares; 0 for equal ones). Sources not named in `weights` weigh a thousandth of the least. Every row occurs once: when a source is
     used up the others go on. A null source is the empty name. Rows of a source come in hashed order; repeated rows
     stay. At most MOST_SOURCES sources.
     """
@@ -169,7 +174,7 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFr
                          F.col("__deadline").alias("deadline"), (F.col("__slot") * BLOCK + F.col("__n") % BLOCK).alias("position"))
 
 
-def _place(rows: DataFrame, source: Column, weights: dict[str, float] | None) -> DataFrame:
+def _place(rows: DataFrame, source: Column, weights: dict[str, float] | float | None) -> DataFrame:
     sources = materialise(rows.groupBy(source.alias("s")).agg(F.count(F.lit(1)).alias("n")), "mixing-sources")
     if (n := sources.count()) > MOST_SOURCES:
         raise ValueError(f"{n} sources; mix at most {MOST_SOURCES}, or map them to groups first")
@@ -180,12 +185,16 @@ def _place(rows: DataFrame, source: Column, weights: dict[str, float] | None) ->
     return out.drop("p_source", "p_block", "__s")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """`docs` in the order of the mix: range-partitioned by position and sorted, all rows and columns as they were."""
+def mix(docs: DataFrame, weights: dict[str, float] | float | None = None, position: str | None = None) -> DataFrame:
+    """`docs` in the order of the mix: range-partitioned by position and sorted, all rows and columns as they were.
+
+    With `position` a column of that name tells the place in the mix; equal rows share theirs.
+    """
     keyed = docs.withColumns({"__h": F.xxhash64(docs["doc_id"], docs["text"]), "__src": _source(docs)})
     # Only ids go through the numbering; texts are dealt out once, by position.
     rows = materialise(keyed.select("__h", "__src").distinct(), "mixing-rows")  # equal rows share a place
     placed = _place(rows, F.col("__src"), weights).select(F.col("__h").alias("__h2"), F.col("__src").alias("__src2"), "__slot", F.col("__n").alias("__in"))
     met = keyed.join(placed, (F.col("__h") == F.col("__h2")) & (F.col("__src") == F.col("__src2")))
     ordered = met.withColumn("__position", F.col("__slot") * BLOCK + F.col("__in") % BLOCK)
-    return ordered.repartitionByRange(parts(docs.sparkSession), "__position").sortWithinPartitions("__position").select(*[f"`{c}`" for c in docs.columns])
+    ordered = ordered.repartitionByRange(parts(docs.sparkSession), "__position").sortWithinPartitions("__position")
+    return ordered.select(*[f"`{c}`" for c in docs.columns], *[F.col("__position").alias(position)] if position else [])

@@ -352,6 +352,26 @@ def test_pfair_deviation_from_the_target_weights():
             assert all(abs(got[s] - (n + (t - flow[k][0]) * w)) < 1 for s, (n, w) in looked.items())
 
 
+def test_mix_to_target_shares(spark):
+    rows = [(i, f"text {i}", "en", "big" if i % 10 else "small") for i in range(12_800)]
+    docs = table(spark, rows)
+    out = mixing.mix(docs, 0.5, position="p").select("source", "p").collect()
+    assert len({r["p"] for r in out}) == len(rows)
+    early = Counter(r["source"] for r in sorted(out, key=lambda r: r["p"])[:3200])
+    assert abs(early["small"] / 3200 - 0.25) < 0.02  # 40 blocks to 360: weights of 1 to 3, where the table's share is a tenth
+    assert mixing.target_weights({"a": 7, "b": 9}, 0) == {"a": 1, "b": 1}
+
+
+def test_pipeline_rows_come_in_the_order_of_the_mix(spark, monkeypatch):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [x for x in corpus_pipeline.STAGES if x[0] in ("pfair_mix", "sentencepiece")])
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.run(spark, SMALL).collect()]
+    place = {(r["doc_id"], r["text"]): r["p"] for r in mixing.mix(docs, mixing.TEMPER, position="p").collect()}
+    assert len(got) == docs.count() and [place[g] for g in got] == sorted(place[g] for g in got)
+
+
 def unigram_library():
     """The library's own Viterbi over the same pieces: the model's type field set to unigram."""
     import sentencepiece as library
