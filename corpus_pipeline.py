@@ -38,7 +38,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mix, with their place in `mix_position`: sources at tempered shares, until used up."""
     configure(spark)
-    return mixing.mix(docs, mixing.TEMPER, position=POSITION)
+    return mixing.mix(docs, mixing.TEMPER, position=POSITION, most_sources=None)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

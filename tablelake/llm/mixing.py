@@ -25,7 +25,7 @@ from tablelake.session import materialise
 
 #: Documents of a block.
 BLOCK = 32
-#: Bound on the number of sources.
+#: Sources that a call takes unless told otherwise: more of them are often a wrong column.
 MOST_SOURCES = 512
 #: Power of a source's blocks that it weighs in the query and in the pipeline: small sources come at more than their share, until used up.
 TEMPER = 0.5
@@ -156,7 +156,7 @@ def _source(docs: DataFrame) -> Column:
     return F.coalesce(docs["source"].cast("string"), F.lit(""))
 
 
-def schedule(docs: DataFrame, weights: dict[str, float] | float | None = None) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict[str, float] | float | None = None, most_sources: int | None = MOST_SOURCES) -> DataFrame:
     """Where every row of `docs` (`doc_id`, `text`, `source`) comes in the mix.
 
     Returns `doc_id, source, block` (number in its source), `slot` (of the block in the mix, gapless from 0), `release` and `deadline` (the slots
@@ -164,20 +164,20 @@ def schedule(docs: DataFrame, weights: dict[str, float] | float | None = None) -
     as many blocks as it has, so that every stretch of the mix has the table's own shares; with a number it weighs its blocks to that power, in
     1024ths (tempered shares; 0 for equal ones). Sources not named in `weights` weigh a thousandth of the least. Every row occurs once: when a source is
     used up the others go on. A null source is the empty name. Rows of a source come in hashed order; repeated rows
-    stay. At most MOST_SOURCES sources.
+    stay. More than `most_sources` sources are refused; None takes any number.
     """
     rows = only(docs, "doc_id", "text", "source")
     rows = rows.select("doc_id", _source(rows).alias("source"), F.xxhash64("doc_id", "text").alias("__h"))
     rows = materialise(rows, "mixing-rows")
-    placed = _place(rows, F.col("source"), weights)
+    placed = _place(rows, F.col("source"), weights, most_sources)
     return placed.select("doc_id", "source", F.col("__block").alias("block"), F.col("__slot").alias("slot"), F.col("__release").alias("release"),
                          F.col("__deadline").alias("deadline"), (F.col("__slot") * BLOCK + F.col("__n") % BLOCK).alias("position"))
 
 
-def _place(rows: DataFrame, source: Column, weights: dict[str, float] | float | None) -> DataFrame:
+def _place(rows: DataFrame, source: Column, weights: dict[str, float] | float | None, most_sources: int | None) -> DataFrame:
     sources = materialise(rows.groupBy(source.alias("s")).agg(F.count(F.lit(1)).alias("n")), "mixing-sources")
-    if (n := sources.count()) > MOST_SOURCES:
-        raise ValueError(f"{n} sources; mix at most {MOST_SOURCES}, or map them to groups first")
+    if most_sources is not None and (n := sources.count()) > most_sources:
+        raise ValueError(f"{n} sources; mix at most {most_sources}, or map them to groups first")
     slots = materialise(_slots(sources, weights), "mixing-slots")
     numbered = _number(rows, source, "__n").withColumn("__block", F.floor(F.col("__n") / BLOCK))
     met = numbered.join(slots, (F.col("__s") == F.col("p_source")) & (F.col("__block") == F.col("p_block")))
@@ -185,7 +185,7 @@ def _place(rows: DataFrame, source: Column, weights: dict[str, float] | float |
     return out.drop("p_source", "p_block", "__s")
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | float | None = None, position: str | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | float | None = None, position: str | None = None, most_sources: int | None = MOST_SOURCES) -> DataFrame:
     """`docs` in the order of the mix: range-partitioned by position and sorted, all rows and columns as they were.
 
     With `position` a column of that name tells the place in the mix; equal rows share theirs.
@@ -193,7 +193,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | float | None = None, positi
     keyed = docs.withColumns({"__h": F.xxhash64(docs["doc_id"], docs["text"]), "__src": _source(docs)})
     # Only ids go through the numbering; texts are dealt out once, by position.
     rows = materialise(keyed.select("__h", "__src").distinct(), "mixing-rows")  # equal rows share a place
-    placed = _place(rows, F.col("__src"), weights).select(F.col("__h").alias("__h2"), F.col("__src").alias("__src2"), "__slot", F.col("__n").alias("__in"))
+    placed = _place(rows, F.col("__src"), weights, most_sources).select(F.col("__h").alias("__h2"), F.col("__src").alias("__src2"), "__slot", F.col("__n").alias("__in"))
     met = keyed.join(placed, (F.col("__h") == F.col("__h2")) & (F.col("__src") == F.col("__src2")))
     ordered = met.withColumn("__position", F.col("__slot") * BLOCK + F.col("__in") % BLOCK)
     ordered = ordered.repartitionByRange(parts(docs.sparkSession), "__position").sortWithinPartitions("__position")

@@ -77,7 +77,7 @@ def op6_pii(documents: DataFrame) -> DataFrame:
 
 @_query("op9_pfair_mix", "documents")
 def op9_pfair_mix(documents: DataFrame) -> DataFrame:
-    return mixing.schedule(documents, mixing.TEMPER)
+    return mixing.schedule(documents, mixing.TEMPER, most_sources=None)
 
 
 @_query("op10_sentencepiece", "documents")

@@ -372,6 +372,16 @@ def test_pipeline_rows_come_in_the_order_of_the_mix(spark, monkeypatch):
     assert len(got) == docs.count() and [place[g] for g in got] == sorted(place[g] for g in got)
 
 
+def test_mixing_any_number_of_sources(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("source", F.col("doc_id").cast("string"))
+    import tablelake.llm.queries as registered
+
+    rows = registered.op9_pfair_mix(docs).collect()
+    assert len(rows) == docs.count() and len({r["source"] for r in rows}) > mixing.MOST_SOURCES
+    assert all(r["release"] <= r["slot"] < r["deadline"] for r in rows)
+    assert mixing.mix(docs, most_sources=None).count() == docs.count()
+
+
 def unigram_library():
     """The library's own Viterbi over the same pieces: the model's type field set to unigram."""
     import sentencepiece as library
