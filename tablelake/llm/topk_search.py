@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablelake.llm.common import only
+from tablelake.llm.common import only, parts
 from tablelake.session import materialise
 
 SLICES = 2
@@ -28,12 +28,12 @@ ROW_BLOCK = 1024
 def usable(vectors: DataFrame, id_column: str, vector_column: str, scale: int = 256) -> DataFrame:
     """`id, v`: components as floor(scale * x). Rows with a null id, a null vector, or null or non-finite components are out.
 
-    Rows of one id count once, with the least of their vectors. An empty vector takes part with score 0.
+    Rows that repeat an id all stay, each with its vector. An empty vector takes part with score 0.
     """
     rows = only(vectors, id_column, vector_column).toDF("id", "x").select("id", F.col("x").cast("array<double>").alias("x"))
     bad = F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     rows = rows.where(F.col("id").isNotNull() & F.col("x").isNotNull()).where(~bad)
-    return rows.select(F.col("id").cast("long"), F.transform("x", lambda v: F.floor(v * scale)).alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    return rows.select(F.col("id").cast("long"), F.transform("x", lambda v: F.floor(v * scale)).alias("v"))
 
 
 def _matrix(column) -> np.ndarray:
@@ -133,27 +133,31 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, slices: int = SLIC
     """`query_id, rank, vec_id, score`: each query's k highest integer inner products over all rows but its own.
 
     `vectors` and `queries` hold `id, v` with whole-number vectors (see `usable`). Ties go to the smaller id; a query with
-    fewer other rows gets all of them. Queries are worked off in blocks of QUERY_BLOCK by rising id, each a scan of the rows. Scores are
-    exact while they fit 64 bits.
+    fewer other rows gets all of them. Rows that repeat an id are ranked each, so an id can come at several ranks, and none of them is a match of a query of that id.
+    Queries that repeat an id share its k ranks, over all pairs of one of them and another row. Queries are worked off in blocks of QUERY_BLOCK, each
+    a scan of the rows. Scores are exact while they fit 64 bits.
     """
-    vectors = materialise(vectors.select("id", "v"), "topk-rows")
-    queries = materialise(queries.select(F.col("id").alias("qid"), "v"), "topk-queries")
     spark = vectors.sparkSession
+    vectors = materialise(vectors.select("id", "v").repartition(parts(spark)), "topk-rows")
+    queries = materialise(queries.select(F.monotonically_increasing_id().alias("row"), F.col("id").alias("qid"), "v"), "topk-queries")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     out, last = None, None
     while True:
-        ahead = queries if last is None else queries.where(F.col("qid") > last)
-        block = ahead.orderBy("qid").limit(QUERY_BLOCK).toArrow()  # bounded: one block of queries
+        ahead = queries if last is None else queries.where(F.col("row") > last)
+        block = ahead.orderBy("row").limit(QUERY_BLOCK).toArrow()  # bounded: one block of queries
         if not block.num_rows:
             break
         own = [block.column("qid").to_numpy(), _matrix(block.column("v"))]
-        last = int(own[0].max())
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+        last = int(block.column("row").to_numpy().max())
         gathered = vectors.mapInArrow(_phase1(own, k, slices), ENTRY).withColumn("rank", rank).where(F.col("rank") <= k)
         # One row per query of the block.
         known = {r["query_id"]: r["low"] for r in gathered.groupBy("query_id").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).collect()}
         lowest = np.iinfo(np.int64).min // (4 * slices)
         cutoffs = np.array([known.get(int(i), lowest) for i in own[0]], np.int64)
         entries = vectors.mapInArrow(_phase2(own, cutoffs, slices, own[1].shape[1]), ENTRY)
-        found = materialise(entries.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score"), "topk-found")
+        found = materialise(entries.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank"), "topk-found")
         out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if out is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    # Queries of one id may have been in several blocks.
+    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")

@@ -240,6 +240,20 @@ def test_top_k(spark):
     assert topk_search.top_k(rows.where("id < 0"), rows.where("id < 0"), 5).collect() == []
 
 
+def test_top_k_of_repeated_ids(spark, monkeypatch):
+    import duckdb
+    from tablelake.llm.queries import TOP_K_SQL, op4_top_k
+
+    rng = np.random.default_rng(5)
+    made = [(i // 2 % 120, [float(x) for x in rng.normal(size=6).round(1)], "x", 1) for i in range(300)]
+    made += made[:7]
+    embeddings = pa.table({"vec_id": [m[0] for m in made], "embedding": pa.array([m[1] for m in made], pa.list_(pa.float32()))})  # noqa: F841, read by name
+    want = sorted(duckdb.sql(TOP_K_SQL).fetchall())
+    for size in (topk_search.QUERY_BLOCK, 3):
+        monkeypatch.setattr(topk_search, "QUERY_BLOCK", size)
+        assert sorted(map(tuple, op4_top_k(spark.createDataFrame(made, VECTORS)).collect())) == want
+
+
 def test_embedding_components(spark, monkeypatch):
     rng = np.random.default_rng(4)
     made = []
