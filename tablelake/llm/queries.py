@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablelake.llm import (
-    embedding_dedup, language_id, license_scan, lm_scoring, mixing, ngram_join, pii, sentencepiece, sharding, topk_search,
+    embedding_dedup, filter_audit, language_id, license_scan, lm_scoring, mixing, ngram_join, pii, sentencepiece, sharding, topk_search,
 )
 from tablelake.session import configure
 
@@ -15,10 +15,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _query(name: str, table: str, sql: str | None = None):
-    def wrap(build: Callable[[DataFrame], DataFrame]):
+def _query(name: str, *tables: str, sql: str | None = None):
+    def wrap(build: Callable[..., DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return build(configure(spark).read.parquet(f"{folder}/{table}.parquet"))
+            return build(*[configure(spark).read.parquet(f"{folder}/{table}.parquet") for table in tables])
 
         QUERIES[name] = run
         if sql is not None:
@@ -49,7 +49,7 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
 
-@_query("op4_top_k", "embeddings", TOP_K_SQL)
+@_query("op4_top_k", "embeddings", sql=TOP_K_SQL)
 def op4_top_k(embeddings: DataFrame) -> DataFrame:
     rows = topk_search.usable(embeddings, "vec_id", "embedding")
     return topk_search.top_k(rows, rows.where(F.col("id") % 50 == 0), k=5)
@@ -88,3 +88,41 @@ def op10_sentencepiece(documents: DataFrame) -> DataFrame:
 @_query("op5_license_scan", "documents")
 def op5_license_scan(documents: DataFrame) -> DataFrame:
     return license_scan.scan(documents)
+
+
+#: Texts are grouped here by an equal-text window; the mask of a document follows, then all orders from counts of masks.
+FILTER_AUDIT_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+m AS (
+  SELECT doc_id, part, CASE WHEN len(words) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS mask FROM w),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE coalesce(good, false)) AS good, count(*) FILTER (WHERE coalesce(toxic, false)) AS toxic
+  FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, CAST(unnest([1, 2, 3, 4, 5]) AS INT) AS step FROM o),
+b AS (
+  SELECT *, CAST(pow(2, instr('ABCDE', filter_order[step]) - 1) AS INT) AS own,
+    CAST(list_sum(list_transform(range(1, step), lambda i: pow(2, instr('ABCDE', filter_order[i]) - 1))) AS INT) AS had FROM s),
+p AS (SELECT c.*, filter_order, step, own, coalesce(had, 0) AS had FROM c, b)
+SELECT part, filter_order, step,
+  CAST(coalesce(sum(n) FILTER (WHERE mask & (own | had) = 0), 0) AS BIGINT) AS kept,
+  CAST(coalesce(sum(n) FILTER (WHERE mask & own <> 0 AND mask & had = 0), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (WHERE mask & own <> 0 AND mask & had <> 0), 0) AS BIGINT) AS redundant,
+  CAST(coalesce(sum(n) FILTER (WHERE mask = own), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(good) FILTER (WHERE mask & own <> 0 AND mask & had = 0), 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(sum(toxic) FILTER (WHERE mask & own <> 0 AND mask & had = 0), 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(n * 120 // greatest(bit_count(mask), 1)) FILTER (WHERE mask & own <> 0), 0) AS BIGINT) AS shapley
+FROM p GROUP BY part, filter_order, step"""
+
+
+@_query("op12_filter_audit", "documents", "labels", sql=FILTER_AUDIT_SQL)
+def op12_filter_audit(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    return filter_audit.audit(documents, labels)
