@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablelake.llm import (
-    embedding_dedup, filter_audit, language_id, license_scan, lm_scoring, mixing, ngram_join, pii, sentencepiece, sharding, topk_search,
+    alignment, embedding_dedup, filter_audit, language_id, license_scan, lm_scoring, mixing, ngram_join, pii, sentencepiece, sharding, topk_search,
 )
 from tablelake.session import configure
 
@@ -126,3 +126,8 @@ FROM p GROUP BY part, filter_order, step"""
 @_query("op12_filter_audit", "documents", "labels", sql=FILTER_AUDIT_SQL)
 def op12_filter_audit(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return filter_audit.audit(documents, labels)
+
+
+@_query("op11_token_alignment", "documents")
+def op11_token_alignment(documents: DataFrame) -> DataFrame:
+    return alignment.align(documents)
