@@ -102,7 +102,7 @@ def gathered(batches: Iterator[pa.RecordBatch], size: int = 16 << 20) -> Iterato
 
 def planes(values: np.ndarray) -> bytes:
     """Fixed-width integers byte plane by byte plane, so that a compressor finds the high zeros together."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize).T.tobytes()
 
 
 def from_planes(data: bytes, dtype) -> np.ndarray:

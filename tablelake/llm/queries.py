@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablelake.llm import (
-    alignment, embedding_dedup, filter_audit, language_id, license_scan, lm_scoring, mixing, ngram_join, pii, sentencepiece, sharding, topk_search,
+    alignment, embedding_dedup, filter_audit, language_id, license_scan, lm_scoring, mixing, ngram_join, pii, sentencepiece, sharding, suffix_dedup, topk_search,
 )
 from tablelake.session import configure
 
@@ -131,3 +131,8 @@ def op12_filter_audit(documents: DataFrame, labels: DataFrame) -> DataFrame:
 @_query("op11_token_alignment", "documents")
 def op11_token_alignment(documents: DataFrame) -> DataFrame:
     return alignment.align(documents)
+
+
+@_query("op13_suffix_dedup", "documents")
+def op13_suffix_dedup(documents: DataFrame) -> DataFrame:
+    return suffix_dedup.deduplicate(documents)
