@@ -29,6 +29,8 @@ BLOCK = 32
 MOST_SOURCES = 512
 #: Power of a source's blocks that it weighs in the query and in the pipeline: small sources come at more than their share, until used up.
 TEMPER = 0.5
+#: Rows of a source that are numbered in one task, at most and in expectation, and the fewest buckets a source is cut into.
+BUCKET_ROWS, LEAST_BUCKETS = 1 << 16, 64
 #: Rows of an Arrow batch of the schedule.
 BATCH = 8192
 
@@ -111,14 +113,13 @@ def target_weights(blocks: dict, weights: dict | float | None) -> dict:
     return {s: named.get(s) or min(named.values(), default=Fraction(1)) / 1000 for s in blocks}
 
 
-def _number(docs: DataFrame, source: Column, name: str) -> DataFrame:
-    """`docs` with `name`: a gapless number from 0 of each row among those of its source.
+def _number(docs: DataFrame, source: Column, name: str, total: int) -> DataFrame:
+    """`docs` (`total` rows) with `name`: a gapless number from 0 of each row among those of its source.
 
     A source is cut into buckets by hash; rows are numbered within a bucket and buckets start where the ones before end,
-    so a source of any size is no task of its own.
+    so a source of any size is no task of its own. Their number follows from the rows alone: no setting changes the mix.
     """
-    spark = docs.sparkSession
-    bucket = F.pmod(F.xxhash64("__h"), F.lit(4 * parts(spark)))
+    bucket = F.pmod(F.xxhash64("__h"), F.lit(max(LEAST_BUCKETS, 1 << (total // BUCKET_ROWS).bit_length())))
     keyed = docs.withColumns({"__s": source, "__b": bucket})
     counts = materialise(keyed.groupBy("__s", "__b").agg(F.count(F.lit(1)).alias("n")), "mixing-buckets")
     before = Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
@@ -176,10 +177,11 @@ def schedule(docs: DataFrame, weights: dict[str, float] | float | None = None, m
 
 def _place(rows: DataFrame, source: Column, weights: dict[str, float] | float | None, most_sources: int | None) -> DataFrame:
     sources = materialise(rows.groupBy(source.alias("s")).agg(F.count(F.lit(1)).alias("n")), "mixing-sources")
-    if most_sources is not None and (n := sources.count()) > most_sources:
+    n, total = sources.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if most_sources is not None and n > most_sources:
         raise ValueError(f"{n} sources; mix at most {most_sources}, or map them to groups first")
     slots = materialise(_slots(sources, weights), "mixing-slots")
-    numbered = _number(rows, source, "__n").withColumn("__block", F.floor(F.col("__n") / BLOCK))
+    numbered = _number(rows, source, "__n", total).withColumn("__block", F.floor(F.col("__n") / BLOCK))
     met = numbered.join(slots, (F.col("__s") == F.col("p_source")) & (F.col("__block") == F.col("p_block")))
     out = met.withColumnsRenamed({"p_slot": "__slot", "p_release": "__release", "p_deadline": "__deadline"})
     return out.drop("p_source", "p_block", "__s")
@@ -188,13 +190,16 @@ def _place(rows: DataFrame, source: Column, weights: dict[str, float] | float |
 def mix(docs: DataFrame, weights: dict[str, float] | float | None = None, position: str | None = None, most_sources: int | None = MOST_SOURCES) -> DataFrame:
     """`docs` in the order of the mix: range-partitioned by position and sorted, all rows and columns as they were.
 
-    With `position` a column of that name tells the place in the mix; equal rows share theirs.
+    With `position` a column of that name, which `docs` must not have, tells the place in the mix; equal rows share theirs.
     """
-    keyed = docs.withColumns({"__h": F.xxhash64(docs["doc_id"], docs["text"]), "__src": _source(docs)})
+    if position in docs.columns:
+        raise ValueError(f"{position} is a column already")
+    # The user's row travels as one column, so that no name of its own meets one of these.
+    keyed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.xxhash64(docs["doc_id"], docs["text"]).alias("__h"), _source(docs).alias("__src"))
     # Only ids go through the numbering; texts are dealt out once, by position.
     rows = materialise(keyed.select("__h", "__src").distinct(), "mixing-rows")  # equal rows share a place
     placed = _place(rows, F.col("__src"), weights, most_sources).select(F.col("__h").alias("__h2"), F.col("__src").alias("__src2"), "__slot", F.col("__n").alias("__in"))
     met = keyed.join(placed, (F.col("__h") == F.col("__h2")) & (F.col("__src") == F.col("__src2")))
-    ordered = met.withColumn("__position", F.col("__slot") * BLOCK + F.col("__in") % BLOCK)
-    ordered = ordered.repartitionByRange(parts(docs.sparkSession), "__position").sortWithinPartitions("__position")
-    return ordered.select(*[f"`{c}`" for c in docs.columns], *[F.col("__position").alias(position)] if position else [])
+    ordered = met.select("row", (F.col("__slot") * BLOCK + F.col("__in") % BLOCK).alias("at"))
+    ordered = ordered.repartitionByRange(parts(docs.sparkSession), "at").sortWithinPartitions("at")
+    return ordered.select("row.*", *[F.col("at").alias(position)] if position else [])

@@ -123,7 +123,12 @@ class Encoder:
 
 
 def encode_column(docs: DataFrame, model: str = MODEL, name: str = "token_ids") -> DataFrame:
-    """`docs` with `name`, the piece ids of `text`: null for a null text, empty for an empty one. All rows and columns stay."""
+    """`docs` with `name`, the piece ids of `text`: null for a null text, empty for an empty one. All rows and columns stay.
+
+    A column of that name that is there already is an error, not overwritten.
+    """
+    if name in docs.columns:
+        raise ValueError(f"{name} is a column already")
     encoder = Encoder(Vocabulary.load(model))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

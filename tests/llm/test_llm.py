@@ -514,3 +514,24 @@ def test_pipeline(spark):
     kept = {int(d) for d, n, c in brute_components(rows) if int(d) == c}
     got = {r["doc_id"]: r["text"] for r in out.collect()}
     assert set(got) <= kept and len(got) >= 0.98 * len(kept) and not any(base_spans(t) for t in got.values())
+
+
+def test_mix_follows_from_the_data_alone(spark):
+    """No setting of the session changes the schedule or the order of the mix, and no column of the user's is touched."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    odd_names = docs.withColumns({"__h": F.lit(1), "__src": F.lit("mine"), "__slot": F.lit(2), "at": F.lit(3), "row": F.lit(4)})
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), set()
+    try:
+        for n in ("4", "7", "211"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            plan = sorted(map(tuple, mixing.schedule(docs, mixing.TEMPER, most_sources=None).collect()), key=repr)
+            order = [tuple(r) for r in mixing.mix(odd_names, mixing.TEMPER, position="p").orderBy("p").collect()]
+            seen.add(repr((plan, order)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(seen) == 1
+    assert {r[-6:-1] for r in order} == {(1, "mine", 2, 3, 4)}
+    with pytest.raises(ValueError):
+        mixing.mix(docs, position="text")
+    with pytest.raises(ValueError):
+        sentencepiece.encode_column(docs, name="text")
