@@ -14,6 +14,13 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 POSITION = "mix_position"
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """`name`, with underscores behind it for as long as documents have a column of that name."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those without a letter, or with a pooled probability under the operator's bound, go."""
     configure(spark)
@@ -36,15 +43,15 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mix, with their place in `mix_position`: sources at tempered shares, until used up."""
+    """All documents in the order of the mix, with their place in a last column, `mix_position`: sources at tempered shares, until used up."""
     configure(spark)
-    return mixing.mix(docs, mixing.TEMPER, position=POSITION, most_sources=None)
+    return mixing.mix(docs, mixing.TEMPER, position=_free(docs, POSITION), most_sources=None)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with `token_ids` besides."""
+    """All documents, with their `token_ids` in a last column."""
     configure(spark)
-    return sentencepiece.encode_column(docs)
+    return sentencepiece.encode_column(docs, name=_free(docs, "token_ids"))
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -62,8 +69,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     configure(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    position = _free(docs, POSITION)
     for name, stage in STAGES:
         path = f"{shared_folder(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    return docs.orderBy(POSITION).drop(POSITION)
+    return docs.orderBy(position).drop(position)
