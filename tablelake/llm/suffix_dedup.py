@@ -29,9 +29,9 @@ LENGTH, GRAM = 400, 160
 #: Strings that a sampled suffix can stand for: it begins at most so many bytes, less one, after them.
 REACH = LENGTH - GRAM + 1
 #: Text bytes of a block (one longer text is a block of its own), and string starts looked at in one step.
-BLOCK_BYTES, STEP = 16 << 20, 1 << 20
+BLOCK_BYTES, STEP = 4 << 20, 1 << 18
 #: Sampled suffixes of a bucket, a range of hashes, in expectation; blocks whose suffixes meet a bucket's answer in one task.
-BUCKET, RUNS = 500_000, 512
+BUCKET, RUNS = 250_000, 1024
 #: Bits of the hash of the first bytes. It only finds candidates; the surroundings' hash has 64 more.
 HASH_BITS = 48
 #: Batches that a whole table is dealt into.
@@ -39,7 +39,7 @@ BATCHES = 4
 #: Different surroundings of one hash that are compared in one task. Beyond it, strings are counted one by one in a shuffle.
 MOST = 50_000
 #: Bytes of surroundings compared in one task, in expectation.
-COMPARED = 8 << 20
+COMPARED = 4 << 20
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64))
 _BASE = np.uint64(0xD1342543DE82EF95)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -404,24 +404,34 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 RESULT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
 
 
+def _joined(spans: list[tuple[np.ndarray, np.ndarray]], edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Overlapping and touching spans as one, in order; none goes on over an edge."""
+    begin, end = (np.concatenate([s[i] for s in spans]) if spans else np.zeros(0, np.int64) for i in (0, 1))
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], np.maximum.accumulate(end[order]) if len(order) else end
+    new = np.ones(len(begin), bool)
+    new[1:] = (begin[1:] > end[:-1]) | np.isin(begin[1:], edges)
+    firsts = np.flatnonzero(new)
+    return begin[firsts], end[np.append(firsts[1:], len(begin)) - 1] if len(firsts) else end
+
+
 def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
     """Documents of a block without the bytes that any span covers."""
     rows = []
     if left.num_rows:
         data = np.frombuffer(unsqueeze(left.column("data")[0].as_py())[0], np.uint8)
         sizes = from_planes(left.column("offsets")[0].as_py(), np.int64)
-        steps = np.zeros(len(data) + 1, np.int32)
-        for packed in right.column("spans"):
-            begin, end = unpack_spans(packed.as_py())
-            np.add.at(steps, begin, 1)
-            np.add.at(steps, end, -1)
-        gone = np.cumsum(steps[:-1], dtype=np.int32) > 0
-        at = 0
-        for i, size in zip(left.column("ids")[0].as_py(), sizes.tolist()):
-            own, out = data[at : at + size], gone[at : at + size]
-            at += size
-            spans = int(np.count_nonzero(out[1:] & ~out[:-1])) + int(size > 0 and out[0])
-            rows.append((i, size, int(np.count_nonzero(out)), spans, hashlib.sha256(own[~out].tobytes() if spans else own).hexdigest()))
+        ends = np.cumsum(sizes)
+        begin, end = _joined([unpack_spans(packed.as_py()) for packed in right.column("spans")], ends)
+        # Spans lie within documents; where two documents' spans touch, each keeps its own.
+        firsts, lasts = np.searchsorted(begin, ends - sizes), np.searchsorted(begin, ends)
+        for i, size, stop, x, y in zip(left.column("ids")[0].as_py(), sizes.tolist(), ends.tolist(), firsts.tolist(), lasts.tolist()):
+            kept, at = hashlib.sha256(), stop - size
+            for a, b in zip(begin[x:y].tolist(), end[x:y].tolist()):
+                kept.update(data[at:a])
+                at = b
+            kept.update(data[at:stop])
+            rows.append((i, size, int((end[x:y] - begin[x:y]).sum()), y - x, kept.hexdigest()))
     return _table(rows, RESULT_ARROW)
 
 
