@@ -109,7 +109,8 @@ def sampled(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         place = chosen[begin]
         first, last = (place - begin).astype(np.uint64), (place - end).astype(np.uint64)
         around = mix(hashes.of(begin, end + LENGTH) + first * np.uint64(LENGTH) + last)
-        found.append(np.stack([every[place] >> np.uint64(64 - HASH_BITS), around, (place + a).astype(np.uint64), first, last], axis=1))
+        # Chosen hashes are small ones; mixed again they spread over all buckets.
+        found.append(np.stack([mix(every[place]) >> np.uint64(64 - HASH_BITS), around, (place + a).astype(np.uint64), first, last], axis=1))
     return np.concatenate(found) if found else np.zeros((0, 5), np.uint64)
 
 

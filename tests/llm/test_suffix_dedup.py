@@ -78,6 +78,14 @@ def test_hot_suffixes_are_counted_by_string(spark):
     assert len(strings) == want and len({r["begin"] for r in strings}) == want and len(hashes) < want
 
 
+def test_buckets_fill_evenly():
+    rng = np.random.default_rng(5)
+    data = rng.integers(97, 123, 400_000).astype(np.uint8)
+    hashes = sd.sampled(data, np.array([0, len(data)]))[:, 0]
+    held = np.bincount(((hashes * np.uint64(8)) >> np.uint64(sd.HASH_BITS)).astype(np.int64), minlength=8)
+    assert held.min() > 0.7 * held.mean() and held.max() < 1.3 * held.mean()
+
+
 def test_given_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
