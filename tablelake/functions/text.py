@@ -26,17 +26,6 @@ def clean_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, rf"(?U){SPACE}+", " "))
 
 
-def strip_markers(c: Column) -> Column:
-    """Markup without its `<sup>` footnote markers."""
-    return F.regexp_replace(c, r"(?is)<sup\b[^>]*>.*?</sup\s*>", "")
-
-
-def indent_level(c: Column) -> Column:
-    """Two leading spaces (plain or no-break) make one level; tabs and newlines do not count."""
-    lead = F.regexp_extract(F.translate(c, "\t\n", ""), "^[\\u00a0 ]*", 0)
-    return F.floor(F.length(lead) / 2).cast("int")
-
-
 def is_total(label: Column) -> Column:
     return label.rlike("(?iU)" + TOTAL_LABEL)
 

@@ -5,7 +5,7 @@ import importlib
 
 _MODULES = (
     "queries_sql", "queries_catalog", "queries_ingest", "queries_text", "queries_cells", "queries_questions",
-    "queries_pages",
+    "queries_pages", "queries_dataset",
 )
 
 

@@ -255,8 +255,10 @@ SELECT CAST(floor(p_partkey / 20) AS BIGINT) AS block, p_partkey, p_type ||
   CASE WHEN row_number() OVER w > 1 THEN ' (' || row_number() OVER w || ')' ELSE '' END AS column_name
 FROM part WINDOW w AS (PARTITION BY floor(p_partkey / 20), p_type ORDER BY p_partkey)""")
 def dedupe_headers(tables):
-    names = tables.part.select(F.floor(F.col("p_partkey") / 20).alias("block"), "p_partkey", F.col("p_type").alias("column_name"))
-    return reports.dedupe_names(names, keys=("block",), order="p_partkey")
+    names = tables.part.groupBy(F.floor(F.col("p_partkey") / 20).alias("block")).agg(
+        F.array_sort(F.collect_list(F.struct("p_partkey", "p_type"))).alias("parts"))
+    both = F.arrays_zip(F.col("parts.p_partkey").alias("p_partkey"), reports.dedupe_names(F.col("parts.p_type")).alias("column_name"))
+    return names.select("block", F.inline(both))
 
 
 # Every table gets two unnamed columns at the end, one of them filled in odd regions; rows of
@@ -266,7 +268,7 @@ _YEARLY = """CASE WHEN substring(table_number, 2, 1) > '2' AND row_index % 4 = 0
 
 
 def report_pages(tables):
-    """`(records, headers, titles)` of the derived report, keyed like pages."""
+    """The derived report as parsed pages: `page_key, title, columns, records`."""
     records = derived.report_records(tables).select(
         F.col("table_number").alias(reports.PAGE), "title", "row_index", "section", "indent",
         F.expr(_YEARLY).alias("row_label"), "cells")
@@ -278,21 +280,34 @@ def report_pages(tables):
                         value.alias("value"))
 
     extra = F.array(cell(15, filled), cell(16, F.lit(None).cast("double")))
-    records = records.withColumn("cells", F.concat("cells", extra))
     names = ["Item"] + [f"{u} | {y}-{(y + 1) % 100:02d}" for u in ("Urgent", "Reg- ular") for y in range(2003, 2010)]
-    headers = records.select(reports.PAGE).distinct().withColumn(
+    row = F.struct("row_index", "section", "indent", "row_label", F.concat("cells", extra).alias("cells"))
+    return records.groupBy(reports.PAGE, "title").agg(F.array_sort(F.collect_list(row)).alias("records")).withColumn(
         "columns", F.array(*[F.lit(n) for n in [*names, "col_16", "col_17"]]))
-    titles = records.groupBy(reports.PAGE).agg(F.max("title").alias("title"))
-    return records.drop("title"), headers, titles
 
 
-@query("drop_spacers", f"""
-WITH {CELLS_CTE}
-SELECT table_number AS page_key, CASE WHEN substring(table_number, 2, 1) IN ('1', '3') THEN 16 ELSE 15 END AS n_columns
-FROM report_rows GROUP BY table_number""")
+def page_cells(pages, *more):
+    """One row per cell of parsed pages, the empty ones too."""
+    rows = pages.select(reports.PAGE, *more, F.explode("records").alias("r")).select(reports.PAGE, *more, "r.row_index", "r.row_label", F.explode("r.cells").alias("c"))
+    return rows.select(reports.PAGE, *more, "row_index", "row_label", "c.column_name", "c.col_index", F.coalesce("c.value.num", F.lit(-1.0)).alias("num"))
+
+
+# All cells of the pages above, with the place they have in the year-labelled rows.
+_WIDE = f"""WITH {CELLS_CTE},
+wide AS (
+  SELECT table_number, row_index, col_index, column_name, coalesce(num, -1) AS num FROM cells
+  UNION ALL SELECT table_number, row_index, 15, 'col_16', CASE WHEN row_index = 0 AND substring(table_number, 2, 1) IN ('1', '3') THEN 1 ELSE -1 END
+  FROM report_rows)"""
+
+
+@query("drop_spacers", f"""{_WIDE}
+SELECT w.table_number AS page_key, CASE WHEN substring(w.table_number, 2, 1) IN ('1', '3') THEN 16 ELSE 15 END AS n_columns, w.row_index,
+  {_YEARLY.replace("AS STRING", "AS VARCHAR").replace("row_index", "w.row_index").replace("table_number", "w.table_number")} AS row_label, w.column_name, w.col_index, w.num
+FROM wide w JOIN report_rows r ON r.table_number = w.table_number AND r.row_index = w.row_index
+WHERE w.col_index < 15 OR substring(w.table_number, 2, 1) IN ('1', '3')""")
 def drop_spacers(tables):
-    records, headers, _ = report_pages(tables)
-    return reports.drop_spacers(records, headers)[1].select(reports.PAGE, F.size("columns").alias("n_columns"))
+    cut = reports.drop_spacers(report_pages(tables))
+    return page_cells(cut.withColumn("n_columns", F.size("columns")), "n_columns")
 
 
 _PRUNED = f"""WITH {CELLS_CTE},
@@ -304,21 +319,21 @@ marked AS (SELECT l.*, n_yearly > 3 AND y IS NOT NULL AND NOT y BETWEEN 2004 AND
 @query("year_axis", f"""{_PRUNED}
 SELECT table_number AS page_key, CASE WHEN n_yearly > 3 THEN 'both' ELSE 'columns' END AS year_axis FROM axes""")
 def year_axis(tables):
-    records, headers, titles = report_pages(tables)
-    return reports.prune_years(records, headers, titles, 2004, 2008)[1].select(reports.PAGE, "year_axis")
-
-
-@query("year_prune", f"""{_PRUNED}
-SELECT m.table_number AS page_key, m.row_index, c.column_name, CASE WHEN c.col_index < 8 THEN c.col_index - 1 ELSE c.col_index - 3 END AS col_index,
-       coalesce(c.num, -1) AS num
-FROM marked m JOIN cells c ON c.table_number = m.table_number AND c.row_index = m.row_index
-WHERE NOT m.out AND c.column_name NOT LIKE '%2003-04' AND c.column_name NOT LIKE '%2009-10'""")
+    return reports.prune_years(report_pages(tables), 2004, 2008).select(reports.PAGE, "year_axis")
+
+
+@query("year_prune", f"""{_PRUNED},
+kept AS (SELECT *, row_number() OVER (PARTITION BY table_number ORDER BY row_index) - 1 AS place FROM marked WHERE NOT out)
+SELECT m.table_number AS page_key, CAST(m.place AS INT) AS row_index, {_YEARLY.replace("AS STRING", "AS VARCHAR")} AS row_label, c.column_name,
+       CASE WHEN c.col_index < 8 THEN c.col_index - 1 ELSE c.col_index - 3 END AS col_index, coalesce(c.num, -1) AS num
+FROM kept m JOIN (SELECT table_number AS t, row_index AS i, col_index, column_name, num FROM cells) c ON c.t = m.table_number AND c.i = m.row_index
+WHERE c.column_name NOT LIKE '%2003-04' AND c.column_name NOT LIKE '%2009-10'
+UNION ALL
+SELECT m.table_number, CAST(m.place AS INT), {_YEARLY.replace("AS STRING", "AS VARCHAR")}, 'col_16', 11, CASE WHEN row_index = 0 THEN 1 ELSE -1 END
+FROM kept m WHERE substring(table_number, 2, 1) IN ('1', '3')
+  AND EXISTS (SELECT 1 FROM kept k WHERE k.table_number = m.table_number AND k.row_index = 0)""")
 def year_prune(tables):
-    records, headers, titles = report_pages(tables)
-    kept, _ = reports.prune_years(records, headers, titles, 2004, 2008)
-    return kept.select(reports.PAGE, "row_index", F.explode("cells").alias("c")).select(
-        reports.PAGE, "row_index", "c.column_name", "c.col_index", F.coalesce("c.value.num", F.lit(-1.0)).alias("num")
-    ).where("column_name not like 'col%'")
+    return page_cells(reports.prune_years(report_pages(tables), 2004, 2008))
 
 
 @query("table_years", f"""{_PRUNED}
@@ -330,7 +345,6 @@ SELECT table_number AS page_key, (SELECT string_agg(DISTINCT y, ',' ORDER BY y)
             THEN 12 ELSE 11 END AS n_columns, 1 AS kept
 FROM axes""")
 def table_years(tables):
-    records, headers, titles = report_pages(tables)
-    return reports.prune_years(records, headers, titles, 2004, 2008)[1].select(
+    return reports.prune_years(report_pages(tables), 2004, 2008).select(
         reports.PAGE, F.array_join(F.col("years").cast("array<string>"), ",").alias("years"), "dropped_rows",
         "dropped_columns", F.size("columns").alias("n_columns"), F.col("kept").cast("int").alias("kept"))

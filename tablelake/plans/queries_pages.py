@@ -15,7 +15,7 @@ from tablelake.plans import derived
 from tablelake.plans.derived import CELLS_CTE
 from tablelake.plans.registry import query
 from tablelake.session import materialise
-from tablelake.sources.html import extract_rows
+from tablelake.sources.html import extract_tables
 
 PAGE = reports.PAGE
 _YEARS = [f"{y}-{(y + 1) % 100:02d}" for y in range(2003, 2010)]
@@ -66,13 +66,12 @@ def rendered(tables, with_broken: bool = False):
     )
 
 
-def page_rows(tables):
-    return materialise(extract_rows(rendered(tables)), "page-rows")
+def split(tables):
+    return reports.split_header(reports.main_table(extract_tables(rendered(tables))))
 
 
-def split(tables):
-    rows = page_rows(tables)
-    return rows, materialise(reports.split_header(reports.largest_table(rows)), "table-rows")
+def laid_out(tables):
+    return reports.split_footnotes(reports.header_names(split(tables)))
 
 
 _WHOLE = """CAST(split_part(table_number, '.', 2) AS INT) % 7 <> 3"""
@@ -82,18 +81,36 @@ numbered AS (SELECT *, {_FIRST} + row_index + dense_rank() OVER (PARTITION BY ta
              FROM report_rows)"""
 
 
-@query("html_cells", f"""WITH {_LINES}
-SELECT table_number AS page_key, CAST(line AS INT) AS row_idx, 0 AS cell_idx, row_label AS text, indent FROM numbered
-UNION ALL
-SELECT table_number, CAST(min(line) - 1 AS INT), 0, section, 0 FROM numbered GROUP BY table_number, section
-UNION ALL
-SELECT n.table_number, CAST(n.line AS INT), c.col_index, CASE c.raw WHEN '' THEN '#' ELSE c.raw END, 0
-FROM numbered n JOIN cells c ON c.table_number = n.table_number AND c.row_index = n.row_index""")
+_SOURCE_TEXT = """'SOURCE: ' || CASE substring(table_number, 2, 1) WHEN '3' THEN 'IPEDS; Current Population Survey'
+  ELSE 'Integrated Postsecondary Data' END"""
+
+
+@query("html_cells", f"""WITH {_LINES},
+t AS (SELECT table_number, max(line) AS tail, substring(table_number, 2, 1) AS region FROM numbered GROUP BY table_number),
+headings AS (SELECT table_number, section, min(line) - 1 AS line FROM numbered GROUP BY table_number, section),
+every (table_number, table_pos, row_idx, cell_idx, tag, colspan, rowspan, full_text, text, indent) AS (
+  SELECT table_number, 0, 0, 0, 'td', 1, 1, 'Home page', 'Home page', 0 FROM t
+  UNION ALL SELECT table_number, 1, 0, i, 'th', c, r, x, x, 0 FROM t, (VALUES (0, 1, 2, 'Item'), (1, 7, 1, 'Urgent'), (2, 7, 1, 'Reg- ular'), (3, 1, 2, '')) v(i, c, r, x)
+  UNION ALL SELECT table_number, 1, 1, i, 'th', 1, 1, y || ' 1', y, 0
+    FROM t, (SELECT i, CAST(2003 + i % 7 AS VARCHAR) || '-' || lpad(CAST(4 + i % 7 AS VARCHAR), 2, '0') AS y FROM range(14) r(i))
+  UNION ALL SELECT table_number, 1, 2, i, 'td', 1, 1, x, x, 0 FROM t, (SELECT i, CASE WHEN i < 15 THEN CAST(i + 1 AS VARCHAR) ELSE '' END AS x FROM range(16) r(i)) WHERE region <> '0'
+  UNION ALL SELECT table_number, 1, line, i, 'td', 1, 1, CASE i WHEN 0 THEN section ELSE '' END, CASE i WHEN 0 THEN section ELSE '' END, 0 FROM headings, range(16) r(i)
+  UNION ALL SELECT table_number, 1, line, 0, 'td', 1, 1, row_label || ' \\2\\', row_label, indent FROM numbered
+  UNION ALL SELECT n.table_number, 1, n.line, i, 'td', 1, 1, coalesce(CASE c.raw WHEN '' THEN '#' ELSE c.raw END, ''), coalesce(CASE c.raw WHEN '' THEN '#' ELSE c.raw END, ''), 0
+    FROM numbered n CROSS JOIN range(1, 15) r(i) LEFT JOIN cells c ON c.table_number = n.table_number AND c.row_index = n.row_index AND c.col_index = i
+  UNION ALL SELECT table_number, 1, line, 15, 'td', -1, 1, '', '', 0 FROM numbered
+  UNION ALL SELECT table_number, 1, tail + 1, 0, 'td', 16, 1, 'NOTE: Sums of orders.', 'NOTE: Sums of orders.', 0 FROM t
+  UNION ALL SELECT table_number, 1, tail + 2, 0, 'td', 1, 1, '', '', 0 FROM t
+  UNION ALL SELECT table_number, 1, tail + 3, 0, 'td', 20, 1, {_SOURCE_TEXT}, {_SOURCE_TEXT}, 0 FROM t WHERE region <> '4'
+  UNION ALL SELECT table_number, 2, 0, 0, 'td', 1, 1, {_SOURCE_TEXT}, {_SOURCE_TEXT}, 0 FROM t WHERE region = '4')
+SELECT table_number AS page_key, CAST(table_pos AS INT) AS table_pos, CAST(row_idx AS INT) AS row_idx, CAST(cell_idx AS INT) AS cell_idx, tag, CAST(colspan AS INT) AS colspan,
+  CAST(rowspan AS INT) AS rowspan, full_text, text, CAST(indent AS INT) AS indent FROM every""")
 def html_cells(tables):
-    body = extract_rows(rendered(tables)).where("table_class = 'data'")
-    cells = body.select(PAGE, "row_idx", F.posexplode("cells").alias("cell_idx", "c"), F.size("cells").alias("n"))
-    return cells.where("n = 16 and c.text <> '' and c.tag = 'td' and c.full_text <> string(cell_idx + 1)").select(
-        PAGE, "row_idx", "cell_idx", "c.text", "c.indent")
+    each = extract_tables(rendered(tables)).select(PAGE, F.explode("tables").alias("t"))
+    rows = each.select(PAGE, F.col("t.pos").alias("table_pos"), F.explode("t.rows").alias("r"))
+    cells = rows.select(PAGE, "table_pos", F.col("r.idx").alias("row_idx"), F.posexplode("r.cells").alias("cell_idx", "c"))
+    return cells.select(PAGE, "table_pos", "row_idx", "cell_idx", "c.tag", F.coalesce("c.colspan", F.lit(-1)).alias("colspan"),
+                        F.coalesce("c.rowspan", F.lit(-1)).alias("rowspan"), "c.full_text", "c.text", "c.indent")
 
 
 @query("largest_table", f"""WITH {_LINES}
@@ -101,15 +118,14 @@ SELECT table_number AS page_key, 1 AS table_pos, CAST(count(*) + count(DISTINCT
   + CASE WHEN substring(table_number, 2, 1) = '4' THEN 0 ELSE 1 END AS INT) AS n_rows
 FROM numbered GROUP BY table_number""")
 def largest_table(tables):
-    return reports.largest_table(extract_rows(rendered(tables))).select(
-        PAGE, "table_pos", "n_rows").distinct()
+    found = reports.main_table(extract_tables(rendered(tables)))
+    return found.select(PAGE, F.col("main.pos").alias("table_pos"), F.size("main.rows").alias("n_rows"))
 
 
 @query("header_split", f"""WITH {_LINES}
 SELECT DISTINCT table_number AS page_key, 2 AS split_at, {_FIRST} AS body_from FROM numbered""")
 def header_split(tables):
-    return reports.split_header(reports.largest_table(extract_rows(rendered(tables)))).select(
-        PAGE, "split_at", "body_from").distinct()
+    return split(tables).select(PAGE, "split_at", "body_from")
 
 
 _COLUMN_VALUES = ", ".join(f"({i}, '{c}')" for i, c in enumerate(["Item", *_COLUMNS, "col_16"]))
@@ -119,28 +135,25 @@ _COLUMN_VALUES = ", ".join(f"({i}, '{c}')" for i, c in enumerate(["Item", *_COLU
 SELECT table_number AS page_key, col_index, column_name
 FROM (SELECT DISTINCT table_number FROM numbered), (VALUES {_COLUMN_VALUES}) v(col_index, column_name)""")
 def header_paths(tables):
-    return reports.header_paths(split(tables)[1])
-
-
-_SOURCE_TEXT = """'SOURCE: ' || CASE substring(table_number, 2, 1) WHEN '3' THEN 'IPEDS; Current Population Survey'
-  ELSE 'Integrated Postsecondary Data' END"""
+    return reports.header_names(split(tables)).select(PAGE, F.posexplode("columns").alias("col_index", "column_name"))
 
 
 @query("split_footnotes", f"""WITH {_LINES}, t AS (SELECT DISTINCT table_number FROM numbered)
-SELECT table_number AS page_key, 'NOTE: Sums of orders.' AS note FROM t
-UNION ALL SELECT table_number, {_SOURCE_TEXT} FROM t WHERE substring(table_number, 2, 1) <> '4'""")
+SELECT table_number AS page_key, 0 AS at, 'NOTE: Sums of orders.' AS text, 'note' AS half FROM t
+UNION ALL SELECT table_number, 1, {_SOURCE_TEXT}, 'note' FROM t WHERE substring(table_number, 2, 1) <> '4'
+UNION ALL SELECT table_number, CAST(line - {_FIRST} AS INT), row_label, 'data' FROM numbered
+UNION ALL SELECT table_number, CAST(min(line) - 1 - {_FIRST} AS INT), section, 'data' FROM numbered GROUP BY table_number, section""")
 def split_footnotes(tables):
-    _, table = split(tables)
-    return reports.split_footnotes(table, reports.header_columns(table))[0].select(PAGE, "note")
+    found = laid_out(tables)
+    notes = found.select(PAGE, F.posexplode("notes").alias("at", "text")).withColumn("half", F.lit("note"))
+    data = found.select(PAGE, F.posexplode("data").alias("at", "r")).select(PAGE, "at", F.col("r.cells")[0]["text"].alias("text"))
+    return notes.unionByName(data.withColumn("half", F.lit("data")))
 
 
 @query("note_tables", f"""WITH {_LINES}
 SELECT DISTINCT table_number AS page_key, 'NOTE: Sums of orders.' || ' // ' || {_SOURCE_TEXT} AS footnotes FROM numbered""")
 def note_tables(tables):
-    rows, table = split(tables)
-    inner, _ = reports.split_footnotes(table, reports.header_columns(table))
-    return reports.collect_notes(inner, reports.note_rows(rows, table)).withColumn(
-        "footnotes", F.array_join("footnotes", " // "))
+    return laid_out(tables).select(PAGE, F.array_join(F.concat("notes", "other_notes"), " // ").alias("footnotes"))
 
 
 @query("report_records", f"""WITH {_LINES}
@@ -148,10 +161,8 @@ SELECT n.table_number AS page_key, n.row_index, n.section, n.indent, n.row_label
   coalesce(c.num, -1) AS num, CASE WHEN c.raw = '' THEN '#' ELSE coalesce(c.txt, '') END AS txt
 FROM numbered n JOIN cells c ON c.table_number = n.table_number AND c.row_index = n.row_index""")
 def report_records(tables):
-    _, table = split(tables)
-    _, body = reports.split_footnotes(table, reports.header_columns(table))
-    cells = reports.build_records(body).select(
-        PAGE, "row_index", "section", "indent", "row_label", F.explode("cells").alias("c"))
+    rows = reports.build_records(laid_out(tables)).select(PAGE, F.explode("records").alias("r")).select(PAGE, "r.*")
+    cells = rows.select(PAGE, "row_index", "section", "indent", "row_label", F.explode("cells").alias("c"))
     return cells.select(
         PAGE, "row_index", "section", "indent", "row_label", "c.col_index", "c.column_name",
         F.coalesce("c.value.num", F.lit(-1.0)).alias("num"), F.coalesce("c.value.text", F.lit("")).alias("txt"),

@@ -8,6 +8,7 @@ from tablelake.functions import pages, text, values, years
 from tablelake.operators.once import computed_once
 from tablelake.operators.profile import skip_reasons
 from tablelake.plans.registry import query
+from tablelake.sources.html import extract_tables
 
 
 def _quoted(words) -> str:
@@ -29,16 +30,26 @@ def clean(tables):
         "doc_id", text.clean_text(F.col("spaced")).alias("cleaned"))
 
 
-@query("strip_markers", "SELECT doc_id, text AS stripped FROM documents")
+# Markers and indents are read where pages are read: each text is the cell of a page of its own.
+def cell_of(df, key, markup):
+    page = df.select(key, F.concat(F.lit("<table><tr><td>"), markup, F.lit("</td></tr></table>")).alias("html"))
+    return extract_tables(page).select(key, F.col("tables")[0]["rows"][0]["cells"][0].alias("cell"))
+
+
+@query("strip_markers", f"""
+SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS stripped, trim(regexp_replace(replace(text, 'e ', 'e 1 '), '\\s+', ' ', 'g')) AS whole
+FROM documents""")
 def strip_markers(tables):
-    return tables.sql(SPACED_SQL).select("doc_id", text.strip_markers(F.col("marked")).alias("stripped"))
+    markup = F.regexp_replace(F.replace(F.replace("marked", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), "&lt;(/?sup)>", "<$1>")
+    cells = cell_of(tables.sql(SPACED_SQL), "doc_id", markup)
+    return cells.select("doc_id", F.col("cell.text").alias("stripped"), F.col("cell.full_text").alias("whole"))
 
 
 @query("indent_level", """
 SELECT p_partkey, CAST(p_size AS INT) AS level FROM part""")
 def indent(tables):
-    raw = F.concat(F.lit("\t"), F.repeat(F.lit("  "), F.col("p_size")), F.lit("\n"), F.col("p_name"), F.lit("  "))
-    return tables.part.select("p_partkey", text.indent_level(raw).alias("level"))
+    raw = F.concat(F.lit("\t"), F.expr("repeat(CASE WHEN p_partkey % 2 = 0 THEN '  ' ELSE '&nbsp; ' END, p_size)"), F.lit("\n"), F.col("p_name"), F.lit("  "))
+    return cell_of(tables.part, "p_partkey", raw).select("p_partkey", F.col("cell.indent").alias("level"))
 
 
 @query("title_topic", """

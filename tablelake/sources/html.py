@@ -1,12 +1,16 @@
-"""Rows and links of HTML pages.
+"""Tables and links of HTML pages.
 
 Reading tags needs a tokeniser, so this is one of the few steps that runs in
-Python workers, batch by batch over Arrow. It only cuts a page into rows and
-anchors; what they mean is decided by DataFrame operators afterwards. Every
-output group is bounded by the page it came from.
+Python workers, batch by batch over Arrow. It only cuts a page into tables and
+anchors, one row per page; what they mean is decided by column expressions
+afterwards. Work and output of a page stay in proportion to its length: texts
+are cut out of one list of pieces, spans are kept as intervals.
 """
 from __future__ import annotations
 
+import heapq
+import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -19,93 +23,134 @@ from tablelake.session import materialise
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _UNREAD = frozenset(("script", "style", "template"))
 
-# A batch is sent back to Spark as soon as it holds this many rows.
-ROWS_PER_BATCH = 8192
-
-ROW_FIELDS = (
-    "table_pos int, table_class string, caption string, row_idx int, row_text string, "
-    "cells array<struct<tag:string,colspan:int,rowspan:int,grid_row:int,grid_col:int,"
-    "full_text:string,text:string,indent:int>>, error string"
+#: Pages go back to Spark as soon as so many characters of them have been read.
+BATCH_CHARACTERS = 4 << 20
+#: Header columns and stretches of a table, for each character of its page, beyond which the page is refused.
+GRID_SHARE = 16
+#: Characters of an anchor's text that headings are told and named by.
+LEAD = 256
+
+TABLE_FIELDS = (
+    "tables array<struct<pos:int,class:string,caption:string,rows:array<struct<idx:int,text:string,"
+    "cells:array<struct<tag:string,colspan:int,rowspan:int,full_text:string,text:string,indent:int>>,"
+    "grid:array<struct<width:int,text:string>>>>>>, error string"
 )
-ANCHOR_FIELDS = "anchor_pos int, href string, label string, item_pos int, item_text string, items array<int>"
-
-_CELL = pa.struct([
-    ("tag", pa.string()), ("colspan", pa.int32()), ("rowspan", pa.int32()),
-    ("grid_row", pa.int32()), ("grid_col", pa.int32()),
-    ("full_text", pa.string()), ("text", pa.string()), ("indent", pa.int32()),
-])
-
-
-def _squeeze(pieces: list[str]) -> str:
-    return " ".join(" ".join(pieces).split())
+ANCHOR_FIELDS = (
+    "anchors array<struct<pos:int,href:string,lead:string,item:int,label:string,item_text:string>>, "
+    "items array<struct<first:int,last:int>>"
+)
+_CELL = pa.struct([("tag", pa.string()), ("colspan", pa.int32()), ("rowspan", pa.int32()),
+                   ("full_text", pa.string()), ("text", pa.string()), ("indent", pa.int32())])
+_ROW = pa.struct([("idx", pa.int32()), ("text", pa.string()), ("cells", pa.list_(_CELL)),
+                  ("grid", pa.list_(pa.struct([("width", pa.int32()), ("text", pa.string())])))])
+_TABLE = pa.struct([("pos", pa.int32()), ("class", pa.string()), ("caption", pa.string()), ("rows", pa.list_(_ROW))])
+_ANCHOR = pa.struct([("pos", pa.int32()), ("href", pa.string()), ("lead", pa.string()), ("item", pa.int32()),
+                     ("label", pa.string()), ("item_text", pa.string())])
+_ITEM = pa.struct([("first", pa.int32()), ("last", pa.int32())])
 
 
 class _Node:
-    """An element whose text or children are wanted later."""
+    """An element whose text or children are wanted later. Its text are the pieces from `start` to `end`."""
 
-    __slots__ = ("tag", "attrs", "texts", "marks", "children", "sup", "pos", "caption")
+    __slots__ = ("tag", "attrs", "children", "sup", "pos", "caption", "start", "end", "first", "last")
 
-    def __init__(self, tag, attrs, sup, pos):
-        self.tag, self.attrs, self.sup, self.pos = tag, attrs, sup, pos
-        self.texts, self.marks, self.children, self.caption = [], [], [], None
+    def __init__(self, tag, attrs, sup, pos, start, first):
+        self.tag, self.attrs, self.sup, self.pos, self.start, self.first = tag, attrs, sup, pos, start, first
+        self.children, self.caption, self.end, self.last = [], None, None, None
 
 
 class PageReader(HTMLParser):
-    """Collects tables (rows, cells) and anchors with the list items around them."""
+    """Collects tables (rows, cells), anchors and list items; an item holds the anchors from `first` to before `last`."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, _Node | None]] = []
+        self.count: Counter = Counter()
+        self.inside: dict[str, list[_Node]] = {"table": [], "tr": [], "li": []}
+        self.pieces: list[str] = []
+        self.marks: list[int] = []
         self.tables: list[_Node] = []
-        self.anchors: list[tuple[_Node, list[_Node]]] = []
-        self.items = self.sup = 0
-
-    def _enclosing(self, *tags):
-        return [node for tag, node in self.open if tag in tags]
+        self.items: list[_Node] = []
+        self.anchors: list[tuple[_Node, _Node | None]] = []
 
     def handle_starttag(self, tag, attrs):
         if tag in _VOID:
             return
-        node = None
+        node, inside = None, self.inside
         if tag in ("table", "tr", "td", "th", "caption", "a", "li"):
-            pos = len(self.tables) if tag == "table" else self.items
-            node = _Node(tag, dict(attrs), self.sup, pos)
+            pos = len(self.tables) if tag == "table" else len(self.items)
+            node = _Node(tag, dict(attrs), self.count["sup"], pos, len(self.pieces), len(self.anchors))
         if tag == "table":
             self.tables.append(node)
         elif tag == "tr":
-            for table in self._enclosing("table"):
+            for table in inside["table"]:
                 table.children.append(node)
         elif tag in ("td", "th"):
-            for row in self._enclosing("tr"):
+            for row in inside["tr"]:
                 row.children.append(node)
         elif tag == "caption":
-            for table in self._enclosing("table"):
+            for table in inside["table"]:
                 table.caption = table.caption or node
         elif tag == "li":
-            self.items += 1
+            self.items.append(node)
         elif tag == "a":
-            self.anchors.append((node, self._enclosing("li")))
-        elif tag == "sup":
-            self.sup += 1
+            self.anchors.append((node, inside["li"][-1] if inside["li"] else None))
+        if tag in inside:
+            inside[tag].append(node)
+        self.count[tag] += 1
         self.open.append((tag, node))
 
+    def _close_last(self) -> str:
+        tag, node = self.open.pop()
+        self.count[tag] -= 1
+        if tag in self.inside:
+            self.inside[tag].pop()
+        if node is not None:
+            node.end, node.last = len(self.pieces), len(self.anchors)
+        return tag
+
     def handle_endtag(self, tag):
-        if all(tag != name for name, _ in self.open):
-            return
-        while True:
-            name, _ = self.open.pop()
-            if name == "sup":
-                self.sup -= 1
-            if name == tag:
-                return
+        if self.count[tag]:
+            while self._close_last() != tag:
+                pass
 
     def handle_data(self, data):
-        if self.open and self.open[-1][0] in _UNREAD:
-            return
-        for _, node in self.open:
-            if node is not None:
-                node.texts.append(data)
-                node.marks.append(self.sup > node.sup)
+        if not (self.open and self.open[-1][0] in _UNREAD):
+            self.pieces.append(data)
+            self.marks.append(self.count["sup"])
+
+    def close(self):
+        super().close()
+        while self.open:
+            self._close_last()
+
+    def text(self, node: _Node) -> str:
+        return _squeeze(self.pieces[node.start : node.end])
+
+    def unmarked(self, node: _Node) -> str:
+        """Text without footnote marks: pieces inside more `<sup>` than the element itself."""
+        marks = self.marks[node.start : node.end]
+        return _squeeze([t for t, mark in zip(self.pieces[node.start : node.end], marks) if mark <= node.sup])
+
+    def indent(self, node: _Node) -> int:
+        """Two leading spaces (plain or no-break) make one level; tabs and newlines do not count."""
+        raw = "".join(self.pieces[node.start : node.end]).replace("\t", "").replace("\n", "")
+        return (len(raw) - len(raw.lstrip("\xa0 "))) // 2
+
+    def lead(self, node: _Node) -> str:
+        """The first LEAD characters of the text, without reading the rest of it."""
+        size, out = 8, ""
+        while node.start < node.end:
+            pieces = self.pieces[node.start : min(node.end, node.start + size)]
+            out = _squeeze([p[: 16 * LEAD] for p in pieces]) or _squeeze(pieces)
+            if len(out) >= LEAD or node.start + size >= node.end:
+                break
+            size *= 4
+        return out[:LEAD]
+
+
+def _squeeze(pieces: list[str]) -> str:
+    return " ".join(" ".join(pieces).split())
 
 
 def _read(html: str) -> PageReader:
@@ -123,92 +168,126 @@ def _span(cell: _Node, name: str) -> int | None:
         return None
 
 
-def _cells(row: _Node, grid_row: int, taken: dict[int, int] | None) -> list[dict]:
-    """Cells of one row; while `taken` is given, each is placed left to right past
-    the columns that rowspans above hold."""
-    out, col = [], 0
-    for cell in row.children:
-        colspan, rowspan = _span(cell, "colspan"), _span(cell, "rowspan")
-        if taken is not None:
-            while taken.get(col, 0) > grid_row:
-                col += 1
-            for c in range(col, col + (1 if colspan is None else colspan)):
-                taken[c] = max(taken.get(c, 0), grid_row + (rowspan or 1))
-        raw = "".join(cell.texts).replace("\t", "").replace("\n", "")
-        out.append({
-            "tag": cell.tag, "colspan": colspan, "rowspan": rowspan,
-            "grid_row": grid_row, "grid_col": col,
-            "full_text": _squeeze(cell.texts),
-            "text": _squeeze([t for t, mark in zip(cell.texts, cell.marks) if not mark]),
-            "indent": (len(raw) - len(raw.lstrip("\xa0 "))) // 2,
-        })
-        col += 1 if colspan is None else colspan
+def _stretches(painted: list[tuple[int, int, str]], width: int) -> list[dict]:
+    """Columns 0 to `width` as stretches with one text, of intervals `from, to, text` the last one over a column: a sweep over their ends."""
+    cuts = sorted({0, width, *(x for start, end, _ in painted for x in (start, end))})
+    coming = sorted(range(len(painted)), key=lambda i: painted[i][0])
+    over, out, k = [], [], 0
+    for a, b in zip(cuts, cuts[1:]):
+        while k < len(coming) and painted[coming[k]][0] <= a:
+            heapq.heappush(over, -coming[k])
+            k += 1
+        while over and painted[-over[0]][1] <= a:
+            heapq.heappop(over)
+        out.append({"width": b - a, "text": painted[-over[0]][2] if over else ""})
     return out
 
 
-def page_rows(html: str):
-    """Tuples in the order of `ROW_FIELDS`; a page that cannot be read yields its error."""
+class _Grid:
+    """Places the cells of header rows left to right past the columns that spans from above hold."""
+
+    def __init__(self, most: int):
+        self.held: list[tuple[int, int, int, str]] = []
+        self.row = self.size = 0
+        self.most = most
+
+    def place(self, cells: list[dict]) -> list[dict]:
+        """The next row as stretches of columns. Spans may overlap; the later cell is seen."""
+        self.held = [h for h in self.held if h[2] > self.row]
+        taken = sorted((start, end) for start, end, _, _ in self.held)
+        own, col, width, k = [], 0, 0, 0
+        for cell in cells:
+            while k < len(taken) and taken[k][0] <= col:
+                col = max(col, taken[k][1])
+                k += 1
+            across = 1 if cell["colspan"] is None else cell["colspan"]
+            down = 1 if cell["rowspan"] is None else cell["rowspan"]
+            if across > 0 and down > 0:
+                own.append((col, col + across, self.row + down, cell["text"]))
+            if across < 0:
+                k = 0
+            col += across
+            width = max(width, col)
+        self.held += own
+        width = max([width, *(end for _, end, _, _ in self.held)])
+        out = _stretches([(start, end, text) for start, end, _, text in self.held], width) if width else []
+        self.row += 1
+        self.size += width + len(out)
+        if self.size > self.most:
+            raise ValueError(f"a header of {self.size} columns and cells")
+        return out
+
+
+def _cells(page: PageReader, row: _Node) -> list[dict]:
+    return [{"tag": cell.tag, "colspan": _span(cell, "colspan"), "rowspan": _span(cell, "rowspan"), "full_text": page.text(cell),
+             "text": page.unmarked(cell), "indent": page.indent(cell)} for cell in row.children]
+
+
+def page_tables(html: str) -> tuple[list[dict] | None, str | None]:
+    """`(tables, error)`; a page that cannot be read has the error alone. A table's rows include those of tables inside it."""
     try:
-        out = []
-        for table in _read(html).tables:
-            caption = _squeeze(table.caption.texts) if table.caption else None
-            head = (table.pos, table.attrs.get("class"), caption)
-            taken, grid_row, heading = {}, 0, True
-            for row_idx, row in enumerate(table.children):
+        page, out = _read(html), []
+        for table in page.tables:
+            grid, heading, rows = _Grid(GRID_SHARE * len(html) + 64), True, []
+            for idx, row in enumerate(table.children):
+                cells = _cells(page, row)
                 # Only rows that may belong to the header need their grid place.
-                heading = heading and bool(row.children) and all(c.tag == "th" for c in row.children)
-                placing = heading or row_idx < HEADER_SCAN_ROWS
-                cells = _cells(row, grid_row, taken if placing else None)
-                grid_row += bool(cells)
-                out.append((*head, row_idx, _squeeze(row.texts), cells, None))
-        return out
+                heading = heading and bool(cells) and all(c["tag"] == "th" for c in cells)
+                placed = grid.place(cells) if cells and (heading or idx < HEADER_SCAN_ROWS) else None
+                rows.append({"idx": idx, "text": page.text(row), "cells": cells, "grid": placed})
+            caption = page.text(table.caption) if table.caption else None
+            out.append({"pos": table.pos, "class": table.attrs.get("class"), "caption": caption, "rows": rows})
+        return out, None
     except (AssertionError, ValueError) as problem:
-        return [(None, None, None, None, None, None, f"unreadable page: {problem}")]
+        return None, f"unreadable page: {problem}"
 
 
-def page_anchors(html: str):
-    """Tuples in the order of `ANCHOR_FIELDS`."""
-    for pos, (node, items) in enumerate(_read(html).anchors):
-        inner = items[-1] if items else None
-        yield (pos, node.attrs.get("href"), _squeeze(node.texts),
-               inner.pos if inner else None, _squeeze(inner.texts) if inner else None,
-               [item.pos for item in items])
+def page_anchors(html: str, wanted: str = "") -> tuple[list[dict], list[dict]]:
+    """`(anchors, items)`: anchors in order with the number of their innermost list item, items with the anchors they hold.
 
-
-def _to_batch(records: list[tuple], names: list[str], types: list) -> pa.RecordBatch:
-    columns = zip(*records) if records else [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=names)
+    Only anchors whose href has `wanted` carry their texts and their item's, so nested anchors do not repeat them.
+    """
+    page, has = _read(html), re.compile(wanted, re.IGNORECASE | re.ASCII).search
+    anchors = []
+    for pos, (node, item) in enumerate(page.anchors):
+        href = node.attrs.get("href")
+        named = href is not None and has(href)
+        anchors.append({"pos": pos, "href": href, "lead": page.lead(node), "item": item.pos if item else None,
+                        "label": page.text(node) if named else None, "item_text": page.text(item) if named and item else None})
+    return anchors, [{"first": item.first, "last": item.last} for item in page.items]
 
 
-def _map_pages(pages: DataFrame, key: str, html: str, fields: str, types: list, read) -> DataFrame:
-    names = [field.strip().split(" ")[0] for field in fields.replace("<", " ").split(", ")]
+def _map_pages(pages: DataFrame, html: str, fields: str, types: list, read) -> DataFrame:
+    """`pages` with `html` replaced by what `read` makes of it, in batches of bounded text."""
+    kept = [c for c in pages.columns if c != html]
+    names = [*kept, *re.findall(r"(?:^|, )(\w+) (?=array|string)", fields)]
 
     def run(batches):
         for batch in batches:
-            key_type = batch.column(0).type
-            records: list[tuple] = []
-            for page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                records.extend((page, *record) for record in read(text))
-                if len(records) >= ROWS_PER_BATCH:
-                    yield _to_batch(records, [key, *names], [key_type, *types])
-                    records = []
-            yield _to_batch(records, [key, *names], [key_type, *types])
-
-    chosen = pages.select(F.col(key), F.col(html))
-    key_type = chosen.schema[key].dataType.simpleString()
-    return chosen.mapInArrow(run, f"{key} {key_type}, {fields}")
-
-
-def extract_rows(pages: DataFrame, key: str = "page_key", html: str = "html") -> DataFrame:
-    """One row per `<tr>` of each table, nested rows included, with its cells."""
-    types = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(_CELL), pa.string()]
-    return _map_pages(pages, key, html, ROW_FIELDS, types, page_rows)
-
-
-def extract_anchors(pages: DataFrame, key: str = "page_key", html: str = "html") -> DataFrame:
-    """One row per `<a>`: its text, its list item, and all list items around it."""
-    types = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.int32())]
-    return _map_pages(pages, key, html, ANCHOR_FIELDS, types, page_anchors)
+            rest = [batch.column(i) for i in range(len(kept))]
+            texts, first, size, held = batch.column(len(kept)), 0, 0, []
+            for at in range(batch.num_rows):
+                text = texts[at].as_py()
+                held.append(read(text))
+                size += len(text or "")
+                if size >= BATCH_CHARACTERS or at == batch.num_rows - 1:
+                    made = [pa.array(c, t) for c, t in zip(zip(*held), types)]
+                    yield pa.RecordBatch.from_arrays([*(c.slice(first, at + 1 - first) for c in rest), *made], names)
+                    first, size, held = at + 1, 0, []
+
+    chosen = pages.select(*[pages[f"`{c}`"] for c in kept], pages[f"`{html}`"])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
+    return chosen.mapInArrow(run, ", ".join(filter(None, (schema, fields))))
+
+
+def extract_tables(pages: DataFrame, html: str = "html") -> DataFrame:
+    """`pages` with `tables` and `error` in place of `html`: one row per page, every table with its rows and cells."""
+    return _map_pages(pages, html, TABLE_FIELDS, [pa.list_(_TABLE), pa.string()], page_tables)
+
+
+def extract_anchors(pages: DataFrame, wanted: str, html: str = "html") -> DataFrame:
+    """`pages` with `anchors` and `items` in place of `html`, one row per page."""
+    return _map_pages(pages, html, ANCHOR_FIELDS, [pa.list_(_ANCHOR), pa.list_(_ITEM)], lambda text: page_anchors(text, wanted))
 
 
 def one_per_key(pages: DataFrame, key: str = "page_key") -> DataFrame:

@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from tablelake.operators import links, reports
+from tablelake.operators import dataset, links, reports
 
 NUMBERED = """<table class=small><tr><td>menu</td></tr></table>
 <table><caption>Table 1.&nbsp; Costs: 2003-04 and 2010-11</caption>
@@ -76,9 +77,9 @@ def test_everything_kept_on_request(pages):
 
 
 def test_repeated_column_names(spark):
-    heads = spark.createDataFrame([("p", i, n) for i, n in enumerate("abaa")], "page_key string, col_index int, column_name string")
-    got = reports.dedupe_names(heads).orderBy("col_index").collect()
-    assert [r["column_name"] for r in got] == ["a", "b", "a (2)", "a (3)"]
+    heads = spark.createDataFrame([(list("abaa"),), ([],)], "names array<string>")
+    got = [r["names"] for r in heads.select(reports.dedupe_names(F.col("names")).alias("names")).collect()]
+    assert got == [["a", "b", "a (2)", "a (3)"], []]
 
 
 def test_links(spark):
@@ -96,6 +97,49 @@ def test_links(spark):
          "2021", "Chapter 3. Schools")]
 
 
+def test_absent_chapter(spark):
+    df = spark.createDataFrame([("p", "<ul><li><a>Chapter 30. No</a></li></ul>"), ("q", "<a>Chapter 3</a>"), ("r", None)], "page_key string, html string")
+    for key in "pqr":
+        with pytest.raises(Exception, match=f"chapter 3 not found on {key}"):
+            links.link_index(df.where(F.col("page_key") == key), "https://x.org/").collect()
+    assert links.link_index(df, "https://x.org/", absent="skip").collect() == []
+
+
+INDEX = """<ul><li><a>Chapter 3. Schools</a><ul>
+  <li><a href="d20/tables/dt20_1.1.asp">Table 1.1.</a> First: 2021</li><li><a href="d20/tables/dt20_2.2.asp">Table 2.2.</a> Gone</li>
+  <li><a href="d20/tables/dt20_3.3.asp">Table 3.3.</a> Old: 1990</li><li><a href="d20/tables/dt20_4.4.asp">Table 4.4.</a> Mixed: 2021</li></ul></li></ul>"""
+
+
+def test_dataset(spark):
+    """Links meet pages; titles fall back to the link's, and years are judged by them; a lost page fails alone."""
+    url = lambda n: f"https://x.org/d20/tables/dt20_{n}.asp"
+    bare = SNAPSHOT.replace("<caption>Kinds: Fall 2021 and 1990</caption>", "")
+    pages = [(url("1.1"), bare.format("IPEDS")), (url("1.1"), bare.format("IPEDS")), (url("3.3"), bare.format("IPEDS")),
+             (url("4.4"), bare.format("IPEDS, HSLS")), ("https://x.org/unlinked", "<table>")]
+    index = spark.createDataFrame([("i", "https://x.org/i", INDEX), ("j", "https://x.org/j", INDEX)], "page_key string, url string, html string")
+    table = spark.createDataFrame(pages, "url string, html string")
+    built = dataset.build_dataset(index, table, "https://x.org/")
+    rows = built.entries.collect()
+    assert len(rows) == 2 and {r["source"]["index_url"] for r in rows} == {"https://x.org/i", "https://x.org/j"}
+    r = rows[0]
+    assert (r["eval_id"], r["title"], r["chapter"], r["edition_year"], r["years"], r["year_axis"], r["row_count"], tuple(r["dropped"])) == (
+        "digest_1.1", "First: 2021", "Chapter 3. Schools", "2020", [2021], "table", 2, (0, 0))
+    assert r["source"]["xlsx_url"] == "https://x.org/d20/tables/xls/tabn1.1.xls" and r["footnotes"] == ["SOURCE: IPEDS"]
+    assert {(r["table_number"], r["status"], r["detail"]) for r in built.outcomes.collect()} == {
+        ("1.1", "written", "IPEDS"), ("2.2", "failed", "page not found"), ("3.3", "no data in range", "IPEDS"), ("4.4", "other source", "IPEDS+HSLS")}
+    first = dataset.build_dataset(index, table, "https://x.org/", limit=2, max_rows=1)
+    assert {(r["page_key"], r["table_number"]) for r in first.outcomes.collect()} == {(p, n) for p in "ij" for n in ("1.1", "2.2")}
+    assert [(r["row_count"], len(r["records"])) for r in first.entries.collect()] == [(2, 1)] * 2
+    assert {r["status"]: r["n"] for r in dataset.outcome_counts(built.outcomes).collect()} == {"written": 2, "failed": 2, "no data in range": 2, "other source": 2}
+
+
+def test_wide_header_fails_alone(spark, pages):
+    wide = "<table>" + "<tr><th colspan=3000000>x</th></tr>" * 3 + "</table>"
+    both = pages.where("page_key = 'snapshot'").unionByName(spark.createDataFrame([("wide", wide, "t")], pages.schema))
+    built = reports.build_reports(both).outcomes.collect()
+    assert {(r["page_key"], r["status"]) for r in built} == {("snapshot", "written"), ("wide", "failed")}
+
+
 def test_copies_of_a_page_count_once(spark, pages):
     copies = pages.where("page_key = 'plain'")
     for _ in range(4):

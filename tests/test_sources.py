@@ -1,9 +1,11 @@
+import random
+import time
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelake.sources import export, jsonl, sink
-from tablelake.sources.html import page_anchors, page_rows
+from tablelake.sources.html import page_anchors, page_tables
 from tablelake.operators.panel import schema_drift, year_panel
 
 LISTING = """CREATE TABLE [X]
@@ -118,38 +120,86 @@ def test_panel(spark):
     assert schema_drift(spark, {2021: a, 2023: c}).collect()[0]["types"] == ["int", "string"]
 
 
-def test_page_rows():
+def read_tables(html):
+    tables, error = page_tables(html)
+    assert error is None
+    return tables
+
+
+def test_page_tables():
     html = """<table class="a b"><caption>T <sup>1</sup></caption>
       <tr><th rowspan=2>A<th colspan="2">B</th></tr><tr><td>c<td>d</tr>
       <tr><td>&nbsp;&nbsp;\n x<sup>2</sup></td><td><b>1</b>2<script>no</script></td><td colspan=bad>3</td></tr><tr></tr></table>"""
-    rows = page_rows(html)
-    assert [(r[0], r[1], r[2], r[3], len(r[5])) for r in rows] == [
-        (0, "a b", "T 1", 0, 2), (0, "a b", "T 1", 1, 2), (0, "a b", "T 1", 2, 3), (0, "a b", "T 1", 3, 0)]
+    [table] = read_tables(html)
+    assert (table["pos"], table["class"], table["caption"], [(r["idx"], len(r["cells"])) for r in table["rows"]]) == (
+        0, "a b", "T 1", [(0, 2), (1, 2), (2, 3), (3, 0)])
     # Unclosed cells nest, as the tree of tags has it.
-    assert [c["full_text"] for c in rows[0][5]] == ["A B", "B"]
-    last = rows[2][5]
-    assert [(c["text"], c["full_text"], c["indent"], c["colspan"]) for c in last] == [
+    assert [c["full_text"] for c in table["rows"][0]["cells"]] == ["A B", "B"]
+    assert [(c["text"], c["full_text"], c["indent"], c["colspan"]) for c in table["rows"][2]["cells"]] == [
         ("x", "x 2", 1, 1), ("1 2", "1 2", 0, 1), ("3", "3", 0, None)]
+    indents = [c["indent"] for c in read_tables("<table><tr><td>    x<td>\t\n  x<td>x<td> x<td></table>")[0]["rows"][0]["cells"]]
+    assert indents == [2, 1, 0, 0, 0]
+
+
+def over(html):
+    """The texts over each column, row by row."""
+    return [[g["text"] for g in r["grid"] for _ in range(g["width"])] for r in read_tables(html)[0]["rows"]]
 
 
 def test_spans_place_cells():
-    html = ("<table><tr><th rowspan=2>a</th><th colspan=2>b</th><th rowspan='2'>c</th></tr>"
-            "<tr><th>d</th><th>e</th></tr></table>")
-    places = [[(c["grid_row"], c["grid_col"]) for c in r[5]] for r in page_rows(html)]
-    assert places == [[(0, 0), (0, 1), (0, 3)], [(1, 1), (1, 2)]]
+    assert over("<table><tr><th rowspan=2>a</th><th colspan=2>b</th><th rowspan='2'>c</th></tr><tr><th>d</th><th>e</th></tr></table>") == [
+        list("abbc"), list("adec")]
+    # A wide cell runs over a column held from above and is seen there; spans of 0 take no place; a gap stays blank.
+    assert over("<table><tr><th>a</th><th rowspan=3>b</th></tr><tr><th colspan=3>c</th></tr><tr><th colspan=0>x</th><th>d</th></tr></table>") == [
+        ["a", "b"], ["c", "c", "c"], ["d", "b"]]
+    assert over("<table><tr><th rowspan=2>a</th><th>b</th><th rowspan=2>c</th></tr><tr></tr><tr><th rowspan=0>d</th></tr></table>".replace("<tr></tr>", "")) == [
+        ["a", "b", "c"], ["a", "", "c"]]
+
+
+def test_grids_against_a_cell_by_cell_layout():
+    rng = random.Random(8)
+    for _ in range(60):
+        rows = [[(rng.choice([0, 1, 1, 2, 3, 7]), rng.choice([0, 1, 1, 2, 3]), f"{r}.{k}") for k in range(rng.randrange(1, 6))] for r in range(4)]
+        html = "<table>" + "".join("<tr>" + "".join(f"<th colspan={c} rowspan={d}>{t}</th>" for c, d, t in row) + "</tr>" for row in rows) + "</table>"
+        grid, width = {}, [0] * 4
+        for r, row in enumerate(rows):
+            col = 0
+            for c, d, t in row:
+                while (r, col) in grid:
+                    col += 1
+                for y in range(r, r + d):
+                    for x in range(col, col + c):
+                        grid[y, x] = t
+                col += c
+                width[r] = max(width[r], col)
+        got = over(html)
+        for r in range(4):
+            full = max([width[r], *(x + 1 for y, x in grid if y == r)])
+            assert got[r] == [grid.get((r, x), "") for x in range(full)]
+
+
+def test_work_stays_in_proportion_to_the_page():
+    """Spans far beyond the page fail alone and at once; nested anchors and cells are read in one pass."""
+    start = time.perf_counter()
+    assert page_tables("<table>" + "<tr><th colspan=3000000>x</th></tr>" * 3 + "</table>")[1].startswith("unreadable page: a header of")
+    assert page_tables("<table><tr>" + "<th rowspan=900000>x</th>" * 2000 + "</tr></table>")[0]
+    assert page_tables("<table><tr>" + "<th rowspan=9000>x</th>" * 2000 + "</tr>" + "<tr><th>x</th></tr>" * 4000 + "</table>")[1].startswith("unreadable page: a header of")
+    anchors, items = page_anchors("<ul><li>" + "<a>x" * 100_000)
+    assert len(anchors) == 100_000 and items == [{"first": 0, "last": 100_000}]
+    assert time.perf_counter() - start < 30
 
 
 def test_nested_tables_count_for_both():
     html = "<table><tr><td><table><tr><td>in</td></tr></table></td></tr></table>"
-    rows = page_rows(html)
-    assert [(r[0], r[3], [c["full_text"] for c in r[5]]) for r in rows] == [
-        (0, 0, ["in", "in"]), (0, 1, ["in"]), (1, 0, ["in"])]
+    assert [[[c["full_text"] for c in r["cells"]] for r in t["rows"]] for t in read_tables(html)] == [[["in", "in"], ["in"]], [["in"]]]
 
 
 def test_anchors():
     html = "<ul><li><a href=x>Chapter 3</a><ul><li>see <a href='y'>Y</a> more</li></ul></li></ul><a>z</a>"
-    assert list(page_anchors(html)) == [
-        (0, "x", "Chapter 3", 0, "Chapter 3 see Y more", [0]), (1, "y", "Y", 1, "see Y more", [0, 1]), (2, None, "z", None, None, [])]
+    anchors, items = page_anchors(html, "Y")
+    assert [(a["pos"], a["href"], a["lead"], a["item"], a["label"], a["item_text"]) for a in anchors] == [
+        (0, "x", "Chapter 3", 0, None, None), (1, "y", "Y", 1, "Y", "see Y more"), (2, None, "z", None, None, None)]
+    assert items == [{"first": 0, "last": 2}, {"first": 1, "last": 2}]
 
 
 def test_appended_runs_win(spark, tmp_path):

@@ -79,10 +79,6 @@ def test_titles_and_hyphens(spark):
         "Non-profit and For- Profit", "é-a", ""]
 
 
-def test_indent(spark):
-    assert column(spark, ["    x", "\t\n  x", "x", " x", ""], text.indent_level) == [2, 1, 0, 0, 0]
-
-
 def test_leaks(spark):
     df = spark.createDataFrame([
         ("was it 1,234.0?", 1234.0, [2021]), ("in 2021?", 2021.0, [2021]), ("in 2021?", 0.0, [2021]), ("-5 or so", -5.0, []),
