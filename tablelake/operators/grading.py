@@ -60,6 +60,8 @@ def accuracy(graded: DataFrame) -> DataFrame:
 
 
 def failures(graded: DataFrame, n: int, order: str = "id") -> DataFrame:
-    """First `n` failures in question order, as report lines."""
+    """First `n` failures in question order, as report lines, with the number of all failures in `total`."""
     line = F.concat(F.lit("["), F.col("question_type"), F.lit("] "), F.col("id"), F.lit(": "), F.col("reason"))
-    return graded.where(~F.col("correct")).orderBy(order).limit(n).select("id", line.alias("line"))
+    failed = graded.where(~F.col("correct")).select("id", F.col(order).alias("_order"), line.alias("line"))
+    return failed.sparkSession.sql(
+        f"SELECT id, line, (SELECT count(*) FROM {{failed}}) AS total FROM {{failed}} ORDER BY _order LIMIT {int(n)}", failed=failed)

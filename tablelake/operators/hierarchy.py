@@ -3,10 +3,66 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelake.operators.blocked import BLOCK, running_last
+from tablelake.session import materialise
+
+
+# ---- ancestors ------------------------------------------------------------------
+# A stretch of rows leaves a stack of open rows (level, label), levels rising. Stretches merge associatively: of the stack
+# before, only rows shallower than everything in the next stretch stay open. So stretches are summed up in blocks, the
+# sums are scanned in blocks of their own, and no task sees more than a block.
+_OPEN = pa.list_(pa.struct([("level", pa.int32()), ("label", pa.string())]))
+_OPEN_SQL = "array<struct<level:int,label:string>>"
+
+
+def _merged(stack: list, least: int, more: list) -> list:
+    """The stack after rows whose shallowest level is `least` and that leave `more` open. `stack` is changed."""
+    while stack and stack[-1]["level"] >= least:
+        stack.pop()
+    stack.extend(more)
+    return stack
+
+
+def _sum_up(keys: Sequence[str], at: str):
+    """One row per block: what its stretches, in order, leave open, and their shallowest level."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_order")
+        stack: list = []
+        for least, more in zip(table.column("_least").to_pylist(), table.column("_open").to_pylist()):
+            _merged(stack, least, more)
+        first = table.slice(0, 1).select([*keys, at])
+        return first.append_column("_least", pa.array([pc.min(table.column("_least")).as_py()], pa.int32())).append_column("_open", pa.array([stack], _OPEN))
+
+    return run
+
+
+def _carried(sums: DataFrame, keys: Sequence[str], block: int, depth: int) -> DataFrame:
+    """What is open before each block, of the sums of all blocks (`_at`): scanned in blocks of blocks while `depth` lasts."""
+    groups = sums.withColumn("_order", F.col("_at")).withColumn("_above", F.floor(F.col("_at") / block) if depth else F.lit(0).cast("bigint"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.select(*keys).schema)
+
+    def before(table: pa.Table, above: pa.Table) -> pa.Table:
+        table = table.sort_by("_order")
+        stack = list(above.column("_open")[0].as_py()) if above.num_rows else []
+        opened = []
+        for least, more in zip(table.column("_least").to_pylist(), table.column("_open").to_pylist()):
+            opened.append(list(stack))
+            _merged(stack, least, more)
+        return table.select([*keys, "_at"]).append_column("_open", pa.array(opened, _OPEN))
+
+    by = [*keys, "_above"]
+    if depth:
+        upper = groups.groupBy(*by).applyInArrow(_sum_up(keys, "_above"), f"{schema}, _above bigint, _least int, _open {_OPEN_SQL}")
+        upper = _carried(upper.withColumnRenamed("_above", "_at"), keys, block, depth - 1).withColumnRenamed("_at", "_above")
+    else:
+        upper = groups.select(*by, "_open").where(F.lit(False))
+    return groups.groupBy(*by).cogroup(upper.groupBy(*by)).applyInArrow(before, f"{schema}, _at bigint, _open {_OPEN_SQL}")
 
 
 def with_ancestors(rows: DataFrame, keys: Sequence[str] = ("table_number",), index: str = "row_index",
@@ -16,26 +72,37 @@ def with_ancestors(rows: DataFrame, keys: Sequence[str] = ("table_number",), ind
 
     Per depth below the row's own, the nearest earlier row of that depth is an
     ancestor unless a shallower row came in between. Sections do not reset the
-    chain. The number of levels is the largest indent in the data.
+    chain. Levels may be any whole numbers: a chain is one array, whatever the deepest indent. Tables of any length are
+    scanned in blocks of `block` index values; None takes each table as one block.
     """
-    level = F.coalesce(F.col(indent), F.lit(0))
-    depth = rows.agg(F.max(level)).head()[0] or 0
-    if depth == 0:
-        return rows.withColumn("ancestors", F.array().cast("array<string>"))
-
-    text = F.coalesce(F.col(label), F.lit(""))
-    seen = {
-        f"_depth{k}": F.when(level == k, F.struct(F.col(index).alias("at"), text.alias("label")))
-        for k in range(depth)
-    }
-    out = running_last(rows, keys, index, seen, inclusive=False, block=block)
-    chain, barrier = [], F.lit(None).cast("bigint")
-    for k, name in enumerate(seen):
-        at = F.col(name)["at"].cast("bigint")
-        kept = (level > k) & (barrier.isNull() | (at > barrier))
-        chain.append(F.when(kept, F.col(name)["label"]))
-        barrier = F.greatest(barrier, at)
-    return out.withColumn("ancestors", F.array_compact(F.array(*chain))).drop(*seen)
+    level = F.coalesce(F.col(indent), F.lit(0)).cast("int")
+    marked = rows.withColumns({
+        "_at": F.floor(F.col(index) / block).cast("bigint") if block else F.lit(0).cast("bigint"),
+        "_order": F.col(index).cast("bigint"), "_least": level, "_label": F.coalesce(F.col(label), F.lit(""))})
+    own = F.array(F.struct(F.col("_least").alias("level"), F.col("_label").alias("label")))
+    by = [*keys, "_at"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+    if block:
+        sums = marked.select(*by, "_order", "_least", own.alias("_open")).groupBy(*by).applyInArrow(
+            _sum_up(keys, "_at"), f"{key_schema}, _at bigint, _least int, _open {_OPEN_SQL}")
+        before = _carried(materialise(sums, "open-rows"), keys, block, 1)
+    else:
+        before = marked.select(*by, own.alias("_open")).where(F.lit(False))
+    names = rows.columns
+
+    def climb(table: pa.Table, opened: pa.Table) -> pa.Table:
+        table = table.sort_by("_order")
+        stack = list(opened.column("_open")[0].as_py()) if opened.num_rows else []
+        chains = []
+        for own_level, own_label in zip(table.column("_least").to_pylist(), table.column("_label").to_pylist()):
+            while stack and stack[-1]["level"] >= own_level:
+                stack.pop()
+            chains.append([x["label"] for x in stack])
+            stack.append({"level": own_level, "label": own_label})
+        return table.select(names).append_column("ancestors", pa.array(chains, pa.list_(pa.string())))
+
+    return marked.groupBy(*by).cogroup(before.groupBy(*by)).applyInArrow(climb, f"{schema}, ancestors array<string>")
 
 
 def carry_section(rows: DataFrame, keys: Sequence[str] = ("table_number",), index: str = "row_index",

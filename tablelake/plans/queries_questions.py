@@ -153,63 +153,76 @@ def check_questions(tables):
 
 
 # ---- grading -----------------------------------------------------------------------------
+# Predictions for lookups (numbers and words) and rank questions: right, near, wrong, blank, absent.
 _GUESS = f"""
-SELECT id, CASE WHEN num IS NULL THEN CASE WHEN k < 5 THEN ' With-held!' WHEN k = 5 THEN NULL ELSE 'With held' END ELSE CASE k
+SELECT id, CASE WHEN num IS NULL THEN CASE WHEN k < 5 THEN '  ' || upper(label) || '!' WHEN k = 5 THEN NULL ELSE 'no ' || label END ELSE CASE k
     WHEN 0 THEN CAST(d AS STRING) WHEN 1 THEN CAST(d * 1.005 AS STRING) WHEN 2 THEN CAST(d * 1.03 AS STRING)
     WHEN 3 THEN '$' || CAST(d AS STRING) WHEN 4 THEN CAST(d AS STRING) || ' %' WHEN 5 THEN 'unknown' WHEN 6 THEN NULL
     WHEN 8 THEN CAST(d * 1.01 AS STRING) WHEN 9 THEN CAST(d * 0.99 AS STRING) ELSE '-' || CAST(d AS STRING) END END AS answer
-FROM (SELECT id, {_K} AS k, num, CAST(num AS DECIMAL(18,2)) AS d FROM {{source}}) g WHERE k <> 7"""
+FROM (SELECT id, {_K} AS k, num, label, CAST(num AS DECIMAL(18,2)) AS d FROM {{source}}) g WHERE k <> 7"""
+
+
+def _six(x: str) -> str:
+    """Six significant digits of a double as text in DuckDB, with thousands set apart; over a million as a power of ten."""
+    d = f"CAST(CAST({x} AS VARCHAR) AS DECIMAL(30,8))"
+    power = f"(length(CAST(CAST(trunc(abs({d})) AS BIGINT) AS VARCHAR)) - 1)"
+    cut = lambda t: f"regexp_replace(regexp_replace(CAST({t} AS VARCHAR), '(\\.\\d*?)0+$', '\\1'), '\\.$', '')"
+    plain = " ".join(f"WHEN abs({d}) < 1{'0' * n} THEN {cut(f'round({d}, {6 - n})')}" for n in range(1, 7))
+    apart = f"regexp_replace(CASE {plain} END, '^(-?\\d{{1,3}})(\\d{{3}})(\\.|$)', '\\1,\\2\\3')"
+    mantissa = cut(f"round(CAST(CAST({d} AS VARCHAR) AS DECIMAL(38,14)) / CAST(pow(10, {power}) AS BIGINT), 5)")
+    return f"CASE WHEN abs({d}) < 999999.5 THEN {apart} ELSE {mantissa} || 'e+' || lpad(CAST({power} AS VARCHAR), 2, '0') END"
+
+
 _GRADED = f"""WITH {_MEMBERS},
-q AS (SELECT *, {_K} AS k FROM ({_LOOKUPS})), p AS ({_GUESS.format(source="q")}),
-j AS (SELECT q.id, q.num, q.k, q.table_number, p.answer, p.id IS NOT NULL AS present,
-        TRY_CAST(regexp_replace(p.answer, '[,$%\\s]', '', 'g') AS DOUBLE) AS got FROM q LEFT JOIN p ON p.id = q.id),
+q AS (SELECT id, 'lookup' AS question_type, num, CASE WHEN num IS NULL THEN 'withheld' END AS label FROM ({_LOOKUPS})
+      UNION ALL SELECT id, 'rank', NULL, answer_label FROM ({_RANKS})),
+p AS ({_GUESS.format(source="q")}),
+j AS (SELECT q.*, p.answer, p.id IS NOT NULL AS present, TRY_CAST(regexp_replace(p.answer, '[,$%\\s]', '', 'g') AS DOUBLE) AS got FROM q LEFT JOIN p ON p.id = q.id),
+c AS (
+  SELECT *, CASE WHEN NOT present THEN false WHEN num IS NULL THEN coalesce(trim(regexp_replace(regexp_replace(lower(answer), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), 'none')
+       = trim(regexp_replace(regexp_replace(lower(label), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))
+     ELSE coalesce(abs(got - num) <= abs(num) * CAST(0.01 AS DOUBLE), false) END AS correct FROM j),
 graded AS (
-  SELECT *, CASE WHEN NOT present THEN false WHEN num IS NULL THEN coalesce(trim(regexp_replace(regexp_replace(lower(answer), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), 'none') = 'withheld'
-     ELSE coalesce(abs(got - num) <= abs(num) * CAST(0.01 AS DOUBLE), false) END AS correct FROM j)"""
+  SELECT *, CASE WHEN correct THEN '' WHEN NOT present THEN 'no prediction'
+      WHEN num IS NULL THEN coalesce('''' || answer || '''', 'None') || ' vs ''' || label || ''''
+      WHEN got IS NULL THEN 'not a number: ' || coalesce('''' || answer || '''', 'None')
+      ELSE {_six("got")} || ' vs ' || {_six("num")} || ' (' || printf('%+.2f', (got - num) / num * 100) || '%)' END AS reason FROM c)"""
 
 
 def _graded(tables):
-    cells = indexed(tables)
-    q = materialise(questions.lookup_candidates(cells).withColumns({
-        "tolerance": F.when(F.col("answer_type") == "number", 0.01).otherwise(0.0)}).select(
-        "id", "question_type", "table_number", "answer_num", "answer_label", "answer_type", "tolerance"), "questions")
-    given = tables.spark.sql(_GUESS.format(source="{source}"), source=q.withColumnRenamed("answer_num", "num"))
+    """Every lookup and every rank question of the derived report, graded."""
+    cells = materialise(indexed(tables), "cells")
+    asked = questions.lookup_candidates(cells).unionByName(questions.rank_candidates(cells), allowMissingColumns=True)
+    q = materialise(asked.select("id", "question_type", "answer_num", "answer_label", "answer_type", F.when(
+        F.col("answer_type") == "number", 0.01).otherwise(0.0).alias("tolerance")), "questions")
+    given = tables.spark.sql(_GUESS.format(source="{source}"), source=q.withColumnsRenamed({"answer_num": "num", "answer_label": "label"}))
     return grading.grade(q, given)
 
 
-@query("grade_answers", f"""{_GRADED}
-SELECT id, correct, CASE WHEN correct THEN '' WHEN NOT present THEN 'no prediction' WHEN num IS NULL THEN coalesce('''' || answer || '''', 'None') || ' vs ''withheld'''
-  WHEN got IS NULL THEN 'not a number: ' || coalesce('''' || answer || '''', 'None') ELSE 'off' END AS reason FROM graded""")
+@query("grade_answers", f"{_GRADED} SELECT id, question_type, correct, reason FROM graded")
 def grade_answers(tables):
-    numeric = F.col("reason").rlike(r" vs [0-9.,e+-]+ \(")
-    return _graded(tables).select("id", "correct", F.when(numeric, "off").otherwise(F.col("reason")).alias("reason"))
+    return _graded(tables).select("id", "question_type", "correct", "reason")
 
 
-@query("grade_join", f"{_GRADED} SELECT id, present, coalesce(answer, '') AS predicted FROM graded")
+@query("grade_join", f"{_GRADED} SELECT id, question_type, present, coalesce(answer, '') AS predicted FROM graded")
 def grade_join(tables):
-    return _graded(tables).select("id", "present", F.coalesce("predicted", F.lit("")).alias("predicted"))
+    return _graded(tables).select("id", "question_type", "present", F.coalesce("predicted", F.lit("")).alias("predicted"))
 
 
 @query("accuracy_rollup", f"""{_GRADED}
 SELECT coalesce(question_type, 'all') AS question_type, count(*) AS n_questions, count(*) FILTER (WHERE correct) AS n_correct,
   count(*) FILTER (WHERE NOT present) AS n_missing, round(count(*) FILTER (WHERE correct) / count(*), 6) AS accuracy
-FROM (SELECT *, substring(table_number, 1, 2) AS question_type FROM graded) GROUP BY ROLLUP (question_type)""")
+FROM graded GROUP BY ROLLUP (question_type)""")
 def accuracy_rollup(tables):
-    """Accuracy by group of tables here, to have several types."""
-    graded = _graded(tables).withColumn("question_type", F.substring("table_number", 1, 2))
-    return grading.accuracy(graded).withColumns({
+    return grading.accuracy(_graded(tables)).withColumns({
         "question_type": F.coalesce("question_type", F.lit("all")), "accuracy": F.round("accuracy", 6)})
 
 
 @query("top_failures", f"""{_GRADED}
-SELECT id, '[lookup] ' || id || ': ' || CASE WHEN NOT present THEN 'no prediction' WHEN num IS NULL THEN coalesce('''' || answer || '''', 'None') || ' vs ''withheld'''
-  WHEN got IS NULL THEN 'not a number: ' || coalesce('''' || answer || '''', 'None') ELSE 'off' END AS line
+SELECT id, '[' || question_type || '] ' || id || ': ' || reason AS line, (SELECT count(*) FROM graded WHERE NOT correct) AS total
 FROM graded WHERE NOT correct ORDER BY id LIMIT 25""")
 def top_failures(tables):
-    """The first failures of all kinds; the figures of wrong numbers are left to the function's tests."""
-    numeric = F.col("reason").rlike(r" vs [0-9.,e+-]+ \(")
-    graded = _graded(tables).withColumn("reason", F.when(numeric, "off").otherwise(F.col("reason")))
-    return grading.failures(graded, 25)
+    return grading.failures(materialise(_graded(tables), "graded"), 25)
 
 
 @query("run_totals", """

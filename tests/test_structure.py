@@ -40,6 +40,17 @@ def test_ancestors_across_blocks(spark, block):
     assert len(got) == len(want)
 
 
+def test_deep_indents_cost_no_more(spark):
+    """Chains are arrays: levels in the thousands, negative ones and blocks of blocks."""
+    random.seed(4)
+    for levels in ([0, 5_000, 9_999], [-3, 0, 2_000_000_000], [1, 2, 3, 4, 5, 6, 7]):
+        indents = [random.choice(levels) for _ in range(60)]
+        rows = spark.createDataFrame([("t", i, d, f"r{i}", i * 2) for i, d in enumerate(indents)], ROWS + ", `odd name` int")
+        got = hierarchy.with_ancestors(rows, block=2).orderBy("row_index").collect()
+        assert [r["ancestors"] for r in got] == walk(indents) and [r["odd name"] for r in got] == [2 * i for i in range(60)]
+    assert hierarchy.with_ancestors(rows.limit(0)).collect() == []
+
+
 @pytest.mark.parametrize("block", [2, None])
 def test_sections_across_blocks(spark, block):
     random.seed(1)
