@@ -1,6 +1,7 @@
 """Question candidates over cells, their records, wording, and resuming a set."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -14,9 +15,11 @@ from tablelake.functions.text import (column_path, describe, distinctive_tokens,
                                       topic, unhyphenate, year_label)
 from tablelake.functions.values import leaks_answer, qualifiers_kept
 from tablelake.functions.years import cell_years
+from tablelake.operators.enrich import answered
 from tablelake.operators.ranking import rank_eligible, rank_members
 from tablelake.operators.sampling import seeded
-from tablelake.session import materialise
+from tablelake.session import materialise, shared_folder
+from tablelake.sources import runs
 
 TABLE_COLUMNS = ("title", "table_years", "edition_year", "page_url")
 
@@ -122,43 +125,54 @@ def rank_candidates(cells: DataFrame, seed: int = 0) -> DataFrame:
     ).drop("_mark", "_n")
 
 
+QUEUE = "id string, attempt int, question string, verdict string"
+
+
 def word_questions(candidates: DataFrame, fn: Callable[[pd.DataFrame], pd.Series] | None = None,
-                   attempts: int = PARAPHRASE_ATTEMPTS) -> DataFrame:
+                   attempts: int = PARAPHRASE_ATTEMPTS, queue: str | None = None) -> DataFrame:
     """Adds `question` and `phrasing`.
 
-    `fn` words a batch from its descriptors (it never sees answers). Empty,
-    leaking or lossy wordings are tried again, then the template stands in; an
-    error in `fn` fails the job. Each attempt is written out before it is
-    judged, so wordings are paid for once however often the result is read.
+    `fn` words a batch from its ids and descriptors (it never sees answers) and is told the attempt. Empty,
+    leaking or lossy wordings are tried again, then the template stands in.
+
+    Attempts are runs of a queue (`id, attempt, question, verdict`), judged as they are written, so wordings are paid for once however
+    often the result is read. An error in `fn` fails the call, but not before the wordings of other rows are in the queue; with a `queue` folder given,
+    a later call goes on from there.
     """
     if fn is None:
         return candidates.withColumn("question", F.col("template")).withColumn("phrasing", F.lit(PHRASED_BY_TEMPLATE))
-
-    def run(batches):
-        for batch in batches:
-            batch["question"] = fn(batch[["id", "descriptor"]])
-            yield batch
-
-    spark_schema = candidates.select("id", "descriptor").schema.simpleString()[7:-1].replace(":", " ")
+    spark = candidates.sparkSession
+    queue = queue or f"{shared_folder(spark)}/wording-{uuid.uuid4().hex}"
     answer = F.col("answer_num") if "answer_num" in candidates.columns else F.lit(None).cast("double")
-    pending, accepted = candidates, None
-    for attempt in range(attempts):
-        worded = materialise(
-            pending.select("id", "descriptor").mapInPandas(run, f"{spark_schema}, question string").select(
-                "id", F.regexp_replace(F.trim("question"), '^"+|"+$', "").alias("question")),
-            f"wording-{attempt}")
-        tried = pending.join(worded, "id", "left")
-        fine = (
-            (F.coalesce("question", F.lit("")) != "")
-            & ~leaks_answer(F.col("question"), answer, F.col("years"))
-            & qualifiers_kept(F.col("question"), F.col("required_tokens"), F.col("years"))
-        )
-        fine = F.coalesce(fine, F.lit(False))
-        kept = tried.where(fine).withColumn("phrasing", F.lit(PHRASED_BY_FUNCTION))
-        accepted = kept if accepted is None else accepted.unionByName(kept)
-        pending = tried.where(~fine).drop("question")
-    rest = pending.withColumn("question", F.col("template")).withColumn("phrasing", F.lit(PHRASED_BY_TEMPLATE))
-    return rest if accepted is None else accepted.unionByName(rest)
+    asked = materialise(candidates.select(F.col("id").cast("string").alias("id"), "descriptor", answer.alias("answer"), "required_tokens", "years"), "wording-candidates")
+    state = lambda: runs.read(spark, queue, schema=QUEUE).groupBy("id").agg(
+        F.max("attempt").alias("tried"), F.max(F.when(F.col("verdict") == ACCEPTED, F.col("question"))).alias("question"))
+    for attempt in range(1, attempts + 1):
+        todo = asked.join(state(), "id", "left").where((F.coalesce("tried", F.lit(0)) < attempt) & F.col("question").isNull())
+        batch = todo.select("id", "descriptor", F.lit(attempt).alias("attempt"), F.col("id").alias("_id"))
+        told = materialise(answered(batch, fn, ["_id"]), "wording")
+        problem = told.agg(F.min("problem")).first()[0]
+        wording = told.where("problem IS NULL").select(F.col("_id").alias("id"), F.regexp_replace(F.trim("value"), '^"+|"+$', "").alias("question"))
+        judged = asked.join(wording, "id").select("id", F.lit(attempt).alias("attempt"), "question", verdict(
+            F.col("question"), F.col("answer"), F.col("required_tokens"), F.col("years")).alias("verdict"))
+        runs.commit(judged, queue)
+        if problem is not None:
+            raise RuntimeError(f"wording failed: {problem}")
+    found = state().where("question IS NOT NULL").select(F.col("id").alias("_id"), F.col("question").alias("_question"))
+    met = candidates.join(found, F.col("id").cast("string") == F.col("_id"), "left")
+    return met.withColumns({
+        "question": F.coalesce("_question", "template"),
+        "phrasing": F.when(F.col("_question").isNotNull(), PHRASED_BY_FUNCTION).otherwise(PHRASED_BY_TEMPLATE)}).drop("_id", "_question")
+
+
+ACCEPTED = "accepted"
+
+
+def verdict(question: Column, answer: Column, tokens: Column, years: Column) -> Column:
+    """What is wrong with a wording, if anything."""
+    leaks = F.coalesce(leaks_answer(question, answer, years), F.lit(False))
+    kept = F.coalesce(qualifiers_kept(question, tokens, years), F.lit(False))
+    return F.when(F.coalesce(question, F.lit("")) == "", "empty").when(leaks, "leaks").when(~kept, "lossy").otherwise(ACCEPTED)
 
 
 def to_records(worded: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Table selection, catalogs and code lists."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tablelake.functions.text import context_text
@@ -8,7 +10,7 @@ from tablelake.functions.years import two_digit_year
 from tablelake.operators import catalog, enrich, selection
 from tablelake.plans import derived
 from tablelake.plans.registry import query
-from tablelake.session import materialise
+from tablelake.session import materialise, shared_folder
 from tablelake.sources import sink
 
 _SELECTED = f"""
@@ -203,6 +205,36 @@ def enrich_resume(tables):
                          F.coalesce("description_summary", F.lit("")).alias("description_summary"))
 
 
+@query("enrich_ledger", f"""
+SELECT *, (SELECT count(*) FROM ({derived.TABLES_META_SQL}) WHERE description_summary IS NULL AND trim(description) <> ''
+           AND length(upper(split_part(description, ' ', -1))) > 4) AS n_updated FROM ({_SUMMARISED})""")
+def enrich_ledger(tables):
+    """A run that fails half-way, and one that asks for the rest."""
+    rows = materialise(enrich.with_row_key(tables.sql(derived.TABLES_META_SQL)), "catalog")
+    ledger, inputs = f"{shared_folder(tables.spark)}/ledger-{uuid.uuid4().hex}", ["tabletitle", "yearcoverage", "description"]
+
+    def tiring(batch):
+        if batch["description"].str.contains("BRASS").any():
+            raise RuntimeError("no answer")
+        return summarise(batch)
+
+    first = enrich.fill_durably(rows, "row_key", "description_summary", inputs, tiring, "description", ledger)
+    second = enrich.fill_durably(rows, "row_key", "description_summary", inputs, summarise, "description", ledger)
+    return second.table.select(
+        "year", "tablename", F.coalesce("tabletitle", F.lit("")).alias("tabletitle"), "description",
+        F.coalesce("description_summary", F.lit("")).alias("description_summary"), F.lit(first.updated + second.updated).cast("bigint").alias("n_updated"))
+
+
+@query("enrich_add_column", f"""
+SELECT year, tablename, description, CASE WHEN trim(description) <> '' AND length(upper(split_part(description, ' ', -1))) > 4
+  THEN upper(split_part(description, ' ', -1)) ELSE '' END AS description_summary FROM ({derived.TABLES_META_SQL})""")
+def enrich_add_column(tables):
+    """A table that has no such column yet."""
+    bare = tables.sql(derived.TABLES_META_SQL).drop("description_summary")
+    filled = enrich.fill_missing(bare, "description_summary", ["description"], summarise, "description")
+    return filled.select("year", "tablename", "description", F.coalesce("description_summary", F.lit("")).alias("description_summary"))
+
+
 @query("surrogate_key", """
 SELECT sha256('{"event_type":"' || event_type || '","user_id":' || coalesce(CAST(user_id AS VARCHAR), 'null') ||
          ',"day":"' || CAST(day AS VARCHAR) || '","mark":' || coalesce('"' || mark || '"', 'null') || '}') || '-' ||

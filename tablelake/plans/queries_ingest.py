@@ -8,7 +8,9 @@ from pyspark.sql import types as T
 
 from tablelake.functions.pages import decode_body, page_key
 from tablelake.functions.years import academic_year_label
+from tablelake.operators import ingest
 from tablelake.operators.panel import year_panel
+from tablelake.plans import derived
 from tablelake.plans.registry import query
 from tablelake.session import shared_folder
 from tablelake.sources import export, jsonl, sink
@@ -140,13 +142,70 @@ def schema_type_map(tables):
 # ---- sinks ------------------------------------------------------------------
 @query("sink_replace_roundtrip", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P'")
 def sink_replace(tables):
+    """Created, replaced, and read after a replacement that failed."""
     root = scratch(tables, "sink")
     first = tables.orders.select("o_orderkey", "o_orderstatus")
     sink.write_table(first.where("o_orderstatus = 'P'"), root, "orders")
     sink.write_table(first.where("o_orderstatus <> 'P'"), root, "orders", replace=True)
+    fails(lambda: sink.write_table(broken(first, "o_orderkey"), root, "orders", replace=True))
     return sink.read_table(tables.spark, root, "orders")
 
 
+def broken(df, key):
+    """Rows whose last one cannot be computed."""
+    last = F.col(key) == df.agg(F.max(key)).first()[0]
+    return df.withColumn(key, F.when(last, F.raise_error(F.lit("broken")).cast("bigint")).otherwise(F.col(key)))
+
+
+def fails(write):
+    try:
+        write()
+    except Exception as problem:  # noqa: BLE001 - the job's own error, whatever Spark wraps it in
+        if "broken" not in str(problem):
+            raise
+    else:
+        raise AssertionError("the write should have failed")
+
+
+@query("jsonl_append_last_wins", """
+SELECT CAST(o_custkey AS VARCHAR) AS id, CASE WHEN max(o_orderkey) FILTER (WHERE o_orderkey % 2 = 1) IS NULL
+  THEN 'first ' || max(o_orderkey) ELSE 'second ' || max(o_orderkey) FILTER (WHERE o_orderkey % 2 = 1) END AS answer FROM orders GROUP BY o_custkey""")
+def jsonl_append(tables):
+    """A run, one that fails half-way, and one whose lines replace those of the first."""
+    path = scratch(tables, "runs")
+    latest = lambda rows, word: rows.groupBy(F.col("o_custkey").cast("string").alias("id")).agg(
+        F.concat(F.lit(word), F.max("o_orderkey").cast("string")).alias("answer"))
+    jsonl.write_jsonl(latest(tables.orders, "first "), path, "append")
+    fails(lambda: jsonl.write_jsonl(broken(tables.orders.select("o_orderkey", F.lit("half").alias("answer")), "o_orderkey"), path, "append"))
+    jsonl.write_jsonl(latest(tables.orders.where("o_orderkey % 2 = 1"), "second "), path, "append")
+    return jsonl.read_jsonl(tables.spark, path, "id string, answer string", key="id")
+
+
+@query("ingest_catalog", f"""
+SELECT 'tables23_meta' AS table_name, count(*) AS n_rows, count(DISTINCT coalesce(tablename, '')) AS n_names FROM ({derived.TABLES_META_SQL})
+  WHERE tablename IS NULL OR NOT (upper(tablename) LIKE 'DRV%' OR upper(tablename) LIKE 'DFR%')
+UNION ALL SELECT 'vartable23_meta', count(*), count(DISTINCT lower(varname)) FROM ({derived.VARTABLE_META_SQL})
+UNION ALL SELECT 'HD2023', count(*), count(DISTINCT s_name) FROM supplier
+UNION ALL SELECT 'registry', 3, 2""")
+def ingest_catalog(tables):
+    """A load, a second one that is refused, and one that replaces it; rollups and revised catalogs stay out."""
+    root, sql = scratch(tables, "loaded"), tables.sql
+    sources = {"Tables23": sql(derived.TABLES_META_SQL), "vartable23": sql(derived.VARTABLE_META_SQL),
+               "HD2023": tables.supplier.selectExpr("s_suppkey AS UNITID", "s_name AS INSTNM"), "DRVX2023": None, "Tables23_RV": None, " ": None}
+    listing = tables.spark.createDataFrame([("2023.accdb", name) for name in sources], "file_name string, source_table string")
+    read = lambda _, name: sources[name]
+    ingest.ingest(listing, read, root)
+    try:
+        ingest.ingest(listing, read, root)
+    except RuntimeError:
+        ingest.ingest(listing, read, root, replace=True)
+    names = {"tables23_meta": F.coalesce("tablename", F.lit("")), "vartable23_meta": F.col("varname"), "HD2023": F.col("instnm"),
+             "registry": F.col("is_meta")}
+    out = [sink.read_table(tables.spark, root, t).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(c).alias("n_names")).select(
+        F.lit(t).alias("table_name"), "n_rows", "n_names") for t, c in names.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
 @query("jsonl_roundtrip", """
 SELECT doc_id, text, lang, coalesce(quality, -1) AS quality, CASE WHEN quality = 1 THEN 'kept,' || lang ELSE 'kept' END AS tags
 FROM documents LEFT JOIN labels USING (doc_id)""")

@@ -1,13 +1,17 @@
 """Question sets: records, wording, resuming, re-derivation and grading."""
 from __future__ import annotations
 
+import hashlib
+import uuid
+
 from pyspark.sql import functions as F
 
 from tablelake.fixed_values import QUOTAS
 from tablelake.operators import checking, grading, profile, questions, sampling
 from tablelake.plans.queries_cells import _LOOKUPS, _MEMBERS, _RANKS, indexed
 from tablelake.plans.registry import query
-from tablelake.session import materialise
+from tablelake.session import materialise, shared_folder
+from tablelake.sources import runs
 
 # A digit per id that decides how its prediction or record is altered.
 _K = "(instr('0123456789abcdef', substring(md5(id), 1, 1)) - 1)"
@@ -74,6 +78,43 @@ def word_questions(tables):
     return questions.word_questions(questions.rank_candidates(indexed(tables))).select("id", "question", "phrasing")
 
 
+_SAID = "'Tell me: ' || replace(descriptor, chr(10), ' ')"
+
+
+def stand_in(batch):
+    """Wordings of a deterministic function: good ones, empty, leaking and lossy ones, some only at the first attempt."""
+    digit = batch["id"].map(lambda i: int(hashlib.md5(i.encode()).hexdigest()[0], 16))
+    hint = batch["descriptor"].str.rsplit("\n", n=1)
+    good = "Tell me: " + hint.str[0].str.replace("\n", " ")
+    first = batch["attempt"] == 1
+    out = good.mask(first & digit.isin([3, 4]), "").mask(digit.isin([5, 6]), good + " " + hint.str[1])
+    return ('"' + out.mask((first & digit.isin([7, 8])) | (digit == 9), "What is it?") + '"').mask(first & digit.isin([3]), None)
+
+
+@query("word_questions_fn", f"""WITH {_MEMBERS},
+every AS (
+  SELECT *, {_K} AS k, {_SAID} AS said FROM (
+    SELECT id, 'lookup' AS question_type, descriptor, template, num FROM ({_LOOKUPS})
+    UNION ALL SELECT id, 'rank', descriptor, template, NULL FROM ({_RANKS}))),
+judged AS (
+  SELECT id, template, CASE WHEN k IN (5, 6) THEN said || ' ' || coalesce(CAST(CAST(num AS DECIMAL(18,2)) AS VARCHAR), 'words') ELSE said END AS said,
+    CASE WHEN k = 9 OR (k IN (5, 6) AND num IS NOT NULL) THEN NULL WHEN k IN (3, 4, 7, 8) THEN 2 ELSE 1 END AS attempt,
+    CASE WHEN k IN (3, 4) THEN 'empty' WHEN k IN (5, 6) AND num IS NOT NULL THEN 'leaks' WHEN k IN (7, 8, 9) THEN 'lossy' ELSE 'accepted' END AS first_verdict FROM every)
+SELECT id, CASE WHEN attempt IS NULL THEN template ELSE said END AS question, CASE WHEN attempt IS NULL THEN 'template' ELSE 'llm' END AS phrasing,
+  coalesce(attempt, 0) AS attempt, first_verdict FROM judged""")
+def word_questions_fn(tables):
+    """All candidates worded by a function, with the attempt that was accepted (0: none) and what became of the first."""
+    cells = materialise(indexed(tables), "cells")
+    every = questions.lookup_candidates(cells).unionByName(questions.rank_candidates(cells), allowMissingColumns=True)
+    hint = F.coalesce(F.col("answer_num").cast("decimal(18,2)").cast("string"), F.lit("words"))
+    every = materialise(every.withColumn("descriptor", F.concat("descriptor", F.lit("\n"), hint)), "candidates")
+    queue = f"{shared_folder(tables.spark)}/queue-{uuid.uuid4().hex}"
+    worded = questions.word_questions(every, stand_in, queue=queue)
+    log = runs.read(tables.spark, queue).groupBy("id").agg(
+        F.max(F.when(F.col("verdict") == questions.ACCEPTED, F.col("attempt"))).alias("attempt"), F.min_by("verdict", "attempt").alias("first_verdict"))
+    return worded.join(log, "id").select("id", "question", "phrasing", F.coalesce("attempt", F.lit(0)).alias("attempt"), "first_verdict")
+
+
 @query("resume_anti_join", """
 SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'kept ' || o_orderpriority ELSE 'new' END AS question
 FROM orders WHERE o_orderstatus <> 'P'""")

@@ -1,24 +1,25 @@
 """JSON Lines: one object per line, last duplicate key wins."""
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablelake.sources import runs
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, key: str | None = None) -> DataFrame:
     """Typed objects; blank lines are skipped. With `key`, later lines replace earlier ones.
 
-    Later is a later appended run, then a higher part number, then a place further down the file.
+    Later is a later appended run, then a higher part number, then a place further down the file. Of a set written by `write_jsonl` the finished
+    runs are read, of any other folder all files.
     """
     file = F.col("_metadata.file_path")
-    number = lambda pattern: F.coalesce(F.regexp_extract(file, pattern, 1).try_cast("long"), F.lit(-1))
-    lines = spark.read.option("recursiveFileLookup", "true").text(path).select(
+    part = F.coalesce(F.regexp_extract(file, r"/part-(\d+)[^/]*$", 1).try_cast("long"), F.lit(-1))
+    lines = spark.read.option("recursiveFileLookup", "true").text(runs.folders(spark, path) or path).select(
         "value",
         F.struct(
-            number(r"/run-(\d+)/[^/]*$"), number(r"/part-(\d+)[^/]*$"), file, F.col("_metadata.file_block_start"),
+            runs.run_number().alias("run"), part.alias("part"), file.alias("file"), F.col("_metadata.file_block_start"),
             F.monotonically_increasing_id(),
         ).alias("line_order"),
     )
@@ -42,8 +43,13 @@ def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
     )
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """`overwrite` for data sets, `append` for sets that grow run by run, each in a folder named by its time."""
-    if mode == "append":
-        path = f"{path.rstrip('/')}/run-{time.time_ns():020d}"
-    df.write.mode(mode).json(path)
+def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> int:
+    """Writes a numbered run and returns its number: `overwrite` for data sets, `append` for sets that grow run by run.
+
+    A run is read once it is whole. With `errorifexists` there must be none yet.
+    """
+    if mode not in ("append", "overwrite", "errorifexists"):
+        raise ValueError(f"unknown mode {mode}")
+    if mode == "errorifexists" and runs.committed(df.sparkSession, path):
+        raise FileExistsError(f"{path} is there already")
+    return runs.commit(df, path, replace=mode == "overwrite", form="json")

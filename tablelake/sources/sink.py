@@ -1,30 +1,31 @@
 """Loaded tables on storage: refuse, create, replace."""
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablelake.sources import runs
+
 
 def write_table(df: DataFrame, root: str, name: str, replace: bool = False,
                 partition_by: tuple[str, ...] = ()) -> str:
-    """Write one table folder; an existing one is an error unless `replace`."""
+    """Write one table; an existing one is an error unless `replace`.
+
+    A replaced table is read as it was until the new one is whole, also by the job that writes it; a failed replacement leaves it so.
+    """
     path = f"{root.rstrip('/')}/{name}"
-    mode = "overwrite" if replace else "errorifexists"
-    df.write.mode(mode).partitionBy(*partition_by).parquet(path)
+    if not replace and table_exists(df.sparkSession, root, name):
+        raise FileExistsError(f"{path} is there already")
+    runs.commit(df, path, replace=True, partition_by=partition_by)
     return path
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root.rstrip('/')}/{name}")
+    return runs.read(spark, f"{root.rstrip('/')}/{name}")
 
 
 def table_exists(spark: SparkSession, root: str, name: str) -> bool:
-    try:
-        read_table(spark, root, name).schema
-        return True
-    except AnalysisException:
-        return False
+    return bool(runs.committed(spark, f"{root.rstrip('/')}/{name}"))
 
 
 def count_meta(registry: DataFrame) -> DataFrame:

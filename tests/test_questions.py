@@ -56,7 +56,7 @@ def test_wording_is_checked_retried_and_replaced(spark):
     said = {"good": '"public men in 2021?"', "leak": "public men in 2021, 7.0?", "lossy": "men in 2021", "yearless": "public men", "empty": "  "}
 
     def fn(batch):
-        assert list(batch.columns) == ["id", "descriptor"]
+        assert list(batch.columns) == ["id", "descriptor", "attempt"]
         return batch["id"].map(said).fillna("men and public, 2021")
 
     got = {r["id"]: (r["question"], r["phrasing"]) for r in questions.word_questions(df, fn).collect()}
@@ -97,7 +97,7 @@ def test_grading(spark):
         "e": (False, "None vs 'X'"), "f": (False, "no prediction"), "g": (False, "4.90691e+06 vs 3.90691e+06 (+25.60%)")}
     assert sorted((r["question_type"] or "all", r["n_correct"], r["n_questions"], r["n_missing"]) for r in grading.accuracy(graded).collect()) == [
         ("all", 2, 7, 1), ("lookup", 1, 4, 0), ("rank", 1, 3, 1)]
-    assert [r["line"] for r in grading.failures(graded, 2).collect()] == ["[lookup] b: not a number: 'many'", "[lookup] c: 0.5 vs 0 (+inf%)"]
+    assert [(r["line"], r["total"]) for r in grading.failures(graded, 2).collect()] == [("[lookup] b: not a number: 'many'", 5), ("[lookup] c: 0.5 vs 0 (+inf%)", 5)]
 
 
 def test_resuming(spark):
@@ -105,3 +105,29 @@ def test_resuming(spark):
     existing = spark.createDataFrame([("b", "old"), ("z", "gone")], "id string, question string")
     done, todo = questions.resume(chosen, existing)
     assert [tuple(r) for r in done.collect()] == [("b", "old")] and [r["id"] for r in todo.collect()] == ["a"]
+
+
+def test_wording_goes_on_where_it_stopped(spark, tmp_path):
+    """Wordings of a call that failed half-way are not asked for again."""
+    df = spark.createDataFrame([(f"q{i}", f"d{i}", "t", None, [], []) for i in range(40)], "id string, descriptor string, template string, "
+                               "answer_num double, years array<int>, required_tokens array<string>").repartition(8)
+    log = tmp_path / "asked"
+
+    def wording(most):
+        def fn(batch):
+            if most and log.exists() and len(log.read_text().split()) >= most:
+                raise RuntimeError("no backend")
+            with open(log, "a") as file:
+                file.write("".join(f"{i}\n" for i in batch["id"]))
+            return "say " + batch["id"]
+        return fn
+
+    rows_per_batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    with pytest.raises(RuntimeError, match="no backend"):
+        questions.word_questions(df, wording(8), queue=f"{tmp_path}/queue")
+    assert 0 < len(log.read_text().split()) < 40
+    got = questions.word_questions(df, wording(None), queue=f"{tmp_path}/queue").collect()
+    assert {(r["id"], r["question"], r["phrasing"]) for r in got} == {(f"q{i}", f"say q{i}", "llm") for i in range(40)}
+    assert sorted(log.read_text().split()) == sorted(f"q{i}" for i in range(40))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_per_batch)

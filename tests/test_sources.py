@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablelake.sources import export, jsonl, sink
+from tablelake.operators import ingest
+from tablelake.sources import export, jsonl, runs, sink
 from tablelake.sources.html import page_anchors, page_tables
 from tablelake.operators.panel import schema_drift, year_panel
 
@@ -220,3 +221,49 @@ def test_one_page_per_key(spark):
     got = one_per_key(spark.createDataFrame(rows, "page_key string, html string"))
     assert {tuple(r) for r in got.collect()} == {("a", "x"), ("b", "y"), (None, "u")} and got.count() == 3
     assert one_per_key(spark.createDataFrame([], "page_key string, html string")).count() == 0
+
+
+def failing(df):
+    return df.select(F.when(F.col("id") == 3, F.raise_error(F.lit("broken")).cast("bigint")).otherwise(F.col("id")).alias("id"))
+
+
+def test_a_failed_replacement_leaves_the_table(spark, tmp_path):
+    root = str(tmp_path)
+    sink.write_table(spark.range(3), root, "t")
+    with pytest.raises(Exception, match="broken"):
+        sink.write_table(failing(spark.range(9)), root, "t", replace=True)
+    assert sink.read_table(spark, root, "t").count() == 3
+    # A replacement may read the table that it replaces.
+    sink.write_table(sink.read_table(spark, root, "t").unionByName(spark.range(10, 12)), root, "t", replace=True)
+    assert sink.read_table(spark, root, "t").count() == 5
+    with pytest.raises(FileNotFoundError):
+        sink.read_table(spark, root, "u")
+
+
+def test_runs_are_numbered_and_failed_ones_unread(spark, tmp_path):
+    path = f"{tmp_path}/r"
+    assert runs.read(spark, path, schema="id long").count() == 0 and runs.committed(spark, path) == []
+    assert runs.commit(spark.range(2), path) == 1
+    with pytest.raises(Exception, match="broken"):
+        runs.commit(failing(spark.range(9)), path)
+    assert runs.committed(spark, path) == [1] and runs.commit(spark.range(5, 8), path) == 2
+    assert sorted((r["id"], r["run"]) for r in runs.read(spark, path).select("id", runs.run_number().alias("run")).collect()) == [
+        (0, 1), (1, 1), (5, 2), (6, 2), (7, 2)]
+    assert runs.commit(spark.range(1), path, replace=True) == 3 and runs.read(spark, path).count() == 1
+    assert runs.commit(spark.range(1), path) == 4 and runs.committed(spark, path) == [3, 4]
+
+
+def test_ingest_guards(spark, tmp_path):
+    tables = {"Tables23": spark.createDataFrame([("HD", "X"), ("drv1", "Y")], "TableName string, VarName string"), "HD2023": spark.range(2).toDF("UNITID")}
+    listing = spark.createDataFrame([("a.accdb", n) for n in tables], "file_name string, source_table string")
+    loaded = ingest.ingest(listing, lambda _, n: tables[n], str(tmp_path))
+    assert {r["table_name"] for r in loaded.collect()} == {"tables23_meta", "HD2023"}
+    assert [tuple(r) for r in sink.read_table(spark, str(tmp_path), "tables23_meta").collect()] == [("HD", "x")]
+    with pytest.raises(RuntimeError, match="already loaded"):
+        ingest.ingest(listing, lambda _, n: tables[n], str(tmp_path))
+    twice = listing.unionByName(spark.createDataFrame([("b.accdb", "hd2023")], listing.schema))
+    with pytest.raises(ValueError, match="claimed by"):
+        ingest.ingest(twice, lambda _, n: tables[n], str(tmp_path), replace=True)
+    with pytest.raises(Exception, match="broken"):
+        ingest.ingest(listing, lambda _, n: failing(spark.range(9)), str(tmp_path), replace=True)
+    assert sink.read_table(spark, str(tmp_path), "HD2023").count() == 2

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablelake.operators import cells, hierarchy, ranking, sampling
-from tablelake.operators.enrich import fill_missing, with_row_key
+from tablelake.operators.enrich import fill_durably, fill_missing, with_row_key
 
 ROWS = "table_number string, row_index int, indent int, row_label string"
 
@@ -183,3 +183,32 @@ def test_accuracy_of_no_questions(spark):
 
     none = spark.createDataFrame([], "question_type string, correct boolean, present boolean")
     assert [(r["n_questions"], r["accuracy"]) for r in accuracy(none).collect()] == [(0, None)]
+
+
+def test_values_paid_for_are_kept(spark, tmp_path):
+    """A function that fails in the middle, twice; the last call asks for the rest only."""
+    rows = [(f"k{i}", f"text {i}", None if i % 5 else "known") for i in range(60)] + [("blank", "  ", None), ("null", None, None)]
+    df = spark.createDataFrame(rows, "key string, body string, summary string").repartition(6)
+    ledger, log = f"{tmp_path}/ledger", tmp_path / "asked"
+
+    def tiring(stop):
+        def fn(batch):
+            assert list(batch.columns) == ["body"]
+            if stop and batch["body"].str.contains(stop).any():
+                raise RuntimeError("tired")
+            with open(log, "a") as file:
+                file.write("".join(f"{b}\n" for b in batch["body"]))
+            return batch["body"].str.upper()
+        return fn
+
+    first = fill_durably(df, "key", "summary", ["body"], tiring("text 7"), "body", ledger, per_round=20)
+    assert first.problem == "RuntimeError: tired" and 0 < first.updated < 48
+    assert first.table.where("summary IS NOT NULL").count() == first.updated + 12
+    second = fill_durably(df, "key", "summary", ["body"], tiring(None), "body", ledger, per_round=20)
+    assert second.problem is None and first.updated + second.updated == 48
+    asked = log.read_text().split("\n")[:-1]
+    assert len(asked) == len(set(asked)) == 48
+    got = {r["key"]: r["summary"] for r in second.table.collect()}
+    assert got == {k: s or (b.upper() if b and b.strip() else None) for k, b, s in rows}
+    again = fill_durably(df.drop("summary"), "key", "summary", ["body"], tiring("never"), "body", f"{tmp_path}/other")
+    assert again.updated == 60 and again.table.columns == df.columns
