@@ -54,21 +54,16 @@ def read_only(spark: SparkSession, text: str) -> DataFrame:
     """The query as a DataFrame, or `StatementRejected`.
 
     Spark runs commands while building a DataFrame, so the parsed plan is
-    checked first. Reading files by path is switched off during analysis.
+    checked first. Reading files by path is off where the statement is analysed.
     """
     if not text.strip().lower().startswith(("select", "with")):
         raise StatementRejected("only SELECT or WITH queries are allowed")
-    session = spark._jsparkSession.sessionState()
-    _check(session.sqlParser().parsePlan(text))
-    conf = "spark.sql.runSQLOnFiles"
-    before = spark.conf.get(conf, "true")
-    spark.conf.set(conf, "false")
-    try:
-        df = spark.sql(text)
-    finally:
-        spark.conf.set(conf, before)
-    _check(df._jdf.queryExecution().analyzed())
-    return df
+    _check(spark._jsparkSession.sessionState().sqlParser().parsePlan(text))
+    # A copy of the session, views and settings included, analyses the statement first: no setting of the shared one changes.
+    copy = spark._jsparkSession.cloneSession()
+    copy.conf().set("spark.sql.runSQLOnFiles", "false")
+    _check(copy.sql(text).queryExecution().analyzed())
+    return spark.sql(text)
 
 
 def last_of_repeated_names(df: DataFrame) -> DataFrame:

@@ -61,3 +61,14 @@ def test_value_set_text(spark):
     assert valueset_text(values, 2023, " hd2023 ", "control") == (
         "Value set for hd2023.control (year 2023):\n  z — label z\n  9 — label 9\n  10 — label 10\n  x — label x")
     assert valueset_text(values, 2022, "HD2023", "control").startswith("No value set found for column 'control' in table 'HD2023'")
+
+
+def test_gates_do_not_open_each_other(spark):
+    """Statements judged at the same time, and a caller who allows paths in its own session."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    texts = ["select * from parquet.`/tmp/x`", "select count(*) from hd2023"] * 8
+    with ThreadPoolExecutor(8) as pool:
+        shown = list(pool.map(lambda t: render(spark, t), texts))
+    assert all(s.startswith("SQL Error: ") for s in shown[::2]) and all("1000" in s for s in shown[1::2])
+    assert spark.conf.get("spark.sql.runSQLOnFiles", "true") == "true"
