@@ -31,3 +31,12 @@ def year_panel(yearly: Mapping[int, DataFrame]) -> DataFrame:
         raise ValueError(f"types differ between years: {', '.join(clash)}")
     stamped = [df.withColumn("year", F.lit(year)) for year, df in sorted(yearly.items())]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stamped)
+
+
+def read_year_panel(spark: SparkSession, root: str) -> DataFrame:
+    """The panel of tables stored as `<root>/year=<year>`: one scan of all years, pruned by year.
+
+    Columns a year lacks are NULL, and types that differ between years are an error, as in `year_panel`. Schemas come from
+    the files' own footers, read as a Spark job.
+    """
+    return spark.read.option("mergeSchema", "true").option("basePath", root).parquet(root)

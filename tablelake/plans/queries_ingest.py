@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from tablelake.functions.pages import decode_body, page_key
 from tablelake.functions.years import academic_year_label
 from tablelake.operators import ingest
-from tablelake.operators.panel import year_panel
+from tablelake.operators.panel import read_year_panel
 from tablelake.plans import derived
 from tablelake.plans.registry import query
 from tablelake.session import shared_folder
@@ -262,12 +262,9 @@ SELECT CAST(year(o_orderdate) AS INT) AS year, o_orderkey, o_totalprice,
        CASE WHEN year(o_orderdate) >= 1998 THEN o_orderpriority ELSE 'none' END AS o_orderpriority
 FROM orders""")
 def panel(tables):
-    """One table per year, read from year folders; the early ones lack a column."""
+    """Year folders, of which the early ones lack a column, read in one scan."""
     root = scratch(tables, "years")
-    yearly = tables.orders.withColumn("y", F.year("o_orderdate"))
-    yearly.select("o_orderkey", "o_totalprice", "o_orderpriority", "y").write.partitionBy("y").parquet(root)
-    frames = {}
-    for y in sorted(r["y"] for r in yearly.select("y").distinct().collect()):  # one entry per yearly edition
-        df = tables.spark.read.parquet(f"{root}/y={y}")
-        frames[y] = df if y >= 1998 else df.drop("o_orderpriority")
-    return year_panel(frames).withColumn("o_orderpriority", F.coalesce("o_orderpriority", F.lit("none")))
+    yearly = tables.orders.select("o_orderkey", "o_totalprice", "o_orderpriority", F.year("o_orderdate").alias("year"))
+    yearly.where("year >= 1998").write.partitionBy("year").parquet(root)
+    yearly.where("year < 1998").drop("o_orderpriority").write.mode("append").partitionBy("year").parquet(root)
+    return read_year_panel(tables.spark, root).withColumn("o_orderpriority", F.coalesce("o_orderpriority", F.lit("none")))

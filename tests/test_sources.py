@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 from tablelake.operators import ingest
 from tablelake.sources import export, jsonl, runs, sink
 from tablelake.sources.html import page_anchors, page_tables
-from tablelake.operators.panel import schema_drift, year_panel
+from tablelake.operators.panel import read_year_panel, schema_drift, year_panel
 
 LISTING = """CREATE TABLE [X]
  (
@@ -267,3 +267,15 @@ def test_ingest_guards(spark, tmp_path):
     with pytest.raises(Exception, match="broken"):
         ingest.ingest(listing, lambda _, n: failing(spark.range(9)), str(tmp_path), replace=True)
     assert sink.read_table(spark, str(tmp_path), "HD2023").count() == 2
+
+
+def test_year_folders_in_one_scan(spark, tmp_path):
+    root = f"{tmp_path}/p"
+    spark.createDataFrame([(1, "a")], "id int, late string").write.parquet(f"{root}/year=2023")
+    spark.createDataFrame([(2,), (3,)], "id int").write.parquet(f"{root}/year=2021")
+    panel = read_year_panel(spark, root)
+    assert sorted((r["id"], r["late"], r["year"]) for r in panel.collect()) == [(1, "a", 2023), (2, None, 2021), (3, None, 2021)]
+    assert panel._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    spark.createDataFrame([("x",)], "id string").write.parquet(f"{root}/year=2022")
+    with pytest.raises(Exception, match="(?i)merge"):
+        read_year_panel(spark, root).collect()
