@@ -240,6 +240,8 @@ def redact(docs: DataFrame, model: Trees | None = None) -> DataFrame:
     if model is None:
         texts = only(docs, "text")
         model = fit(materialise(with_candidates(texts.withColumn("held", held_back(texts))).select("held", "__pii"), "pii-candidates"))
+    names = docs.columns  # the other columns go by their place meanwhile, so that none clashes with a working column
+    docs = docs.toDF(*[c if c in ("text", "n_chars") else f"c{i}" for i, c in enumerate(names)])
     found = with_candidates(docs)
     found = found.withColumn("__pii", _chosen(found, model))
     kind = "array<struct<start:int,kind:int,end:int>>"
@@ -260,4 +262,4 @@ def redact(docs: DataFrame, model: Trees | None = None) -> DataFrame:
     out = merged.withColumn("text", new).drop("__pii")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(text.isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+    return out.select(*docs.columns).toDF(*names)

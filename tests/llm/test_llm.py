@@ -310,6 +310,8 @@ def test_pii(spark, odd, empty):
     untouched = [i for i, t in rows if not got[i]["spans"]]
     assert all(clean[i] == dict(rows)[i] for i in untouched)
     assert pii.find(empty).collect() == [] and pii.redact(odd).columns == odd.columns and pii.redact(odd).count() == odd.count()
+    clash = spark.createDataFrame([(1, "mail a@b.cd", 7, "x")], "`__pii` long, text string, c0 long, `__t_email` string")
+    assert [tuple(r) for r in pii.redact(clash).collect()] == [(1, "mail <EMAIL>", 7, "x")]
 
 
 def test_pii_trees_add_loose_formats(spark):
