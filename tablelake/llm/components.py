@@ -31,22 +31,41 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids[moved], pa.int64()), pa.array(ids[label[moved]], pa.int64())], ["a", "b"])
 
 
+#: A key with more rows than this, and more than one in HUBS of all, is a hub.
+HUB_ROWS, HUBS = 1000, 256
+
+
+def beside(many: DataFrame, one: DataFrame, key: str, count: str) -> DataFrame:
+    """`many` joined by `key` with `one`, a written table with a row for each key that counts the key's rows in `many` as `count`.
+
+    Fewer than HUBS keys can hold more than one row in HUBS: their rows of `one` are broadcast, so that the rows of a
+    hub stay where they are; all other rows meet in a shuffle.
+    """
+    total, most = one.agg(F.sum(count), F.max(count)).first()
+    if not total or most <= (least := max(HUB_ROWS, total // HUBS)):
+        return many.join(one, key)
+    hubs = F.broadcast(one.where(F.col(count) > least))
+    others = many.join(hubs.select(key), key, "left_anti").join(one.where(F.col(count) <= least), key)
+    return many.join(hubs, key).unionByName(others)
+
+
 def _star(pairs: DataFrame, small: bool) -> DataFrame:
     """Links each node's neighbours to the least id around it.
 
     Large star: of both directions, neighbours above the node move to the least. Small star: the node and its lesser
-    neighbours move to the least. The least per node is a partial aggregate, so a hub shrinks before it is shuffled;
-    its edges then meet one row in a join that AQE may split.
+    neighbours move to the least. The least per node is a partial aggregate, so a hub shrinks before it is shuffled,
+    and its edges meet a broadcast row.
     """
     if small:
         # (u, v) with v < u
         links = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     else:
         links = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select(F.col("b"), F.col("a")))
-    least = links.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("m"))
-    met = links.join(least, links["u"] == least["node"])
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("held")).withColumn("m", F.least("u", "m"))
+    least = materialise(least, "component-least")
+    met = beside(links, least, "u", "held")
     if small:
-        out = met.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("node"), F.col("m")))
+        out = met.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select("u", "m"))
     else:
         out = met.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     return out.where("a <> b").distinct()

@@ -21,11 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablelake.llm.common import byte_size, from_planes, gathered, mix, only, pack_sorted, parts, planes, unpack_sorted, word_hashes
-from tablelake.llm.components import components
+from tablelake.llm.components import beside, components
 from tablelake.session import materialise
 
 WORDS = 5
@@ -33,8 +34,12 @@ WORDS = 5
 FEW = 8
 #: Sets and text bytes of a block when many sets are compared with each other.
 BLOCK, BLOCK_BYTES = 512, 16 << 20
-#: Text bytes per index shard.
-SHARD_BYTES = 4 << 20
+#: Text bytes per index shard, and ranges of signatures that it is settled in, one after the other.
+SHARD_BYTES, RANGES = 16 << 20, 4
+#: Most partitions of the index; beyond them a partition holds several shards.
+PARTITIONS = 20_000
+#: Bits of a signature beyond those that number the bytes of all texts.
+SPARE_BITS = 18
 #: Weight of a one-shingle segment (as frequent as its shingle) against one more signature.
 HEAT = 4.0
 #: Bands up to this size index every shingle.
@@ -139,6 +144,11 @@ def signatures(shingles: np.ndarray, band: int, segments: int, near: int) -> tup
     return np.concatenate(out), len(heads) + int(wide.sum())
 
 
+def signature_bits(total: int) -> int:
+    """Bits that signatures of `total` text bytes are cut to: few meet by chance, and sorted ones lie close together."""
+    return min(64, max(40, total.bit_length() + SPARE_BITS))
+
+
 def _meta(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, key = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
@@ -157,10 +167,11 @@ def _rows(kind: str, n: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, NAMES)
 
 
-def _index(batches: Iterator[pa.RecordBatch], shards: int, heat: float, by_shingle: frozenset) -> Iterator[pa.RecordBatch]:
+def _index(batches: Iterator[pa.RecordBatch], shards: int, bits: int, heat: float, by_shingle: frozenset) -> Iterator[pa.RecordBatch]:
     """Signature postings of texts, packed by index shard, a batch of texts at a time.
 
     Of a signature that more than FEW sets of a batch hold, only the least goes on; the others are linked to it here.
+    Signatures are cut to `bits`: those that meet by chance add candidates, and in one set they cost it their points.
     """
     for batch in gathered(batches):
         sigs, owner, short = [], [], set()
@@ -176,7 +187,9 @@ def _index(batches: Iterator[pa.RecordBatch], shards: int, heat: float, by_shing
                     continue
                 segments, near = (0, 0) if by_shingle else allocate(band, heat)
                 found, points = signatures(shingles, band, segments, near)
-                spare = points - need(size)
+                whole = len(found)
+                found = np.unique(found >> np.uint64(64 - bits))
+                spare = points - 2 * (whole - len(found)) - need(size)
                 if band == own and spare < 0:
                     short.add(band)
                 sigs.append(found)
@@ -187,7 +200,7 @@ def _index(batches: Iterator[pa.RecordBatch], shards: int, heat: float, by_shing
         if not sigs:
             continue
         sigs, owner, held = np.concatenate(sigs), np.concatenate(owner), np.array(held, np.int64)
-        yield from _meet(sigs, held[owner], shards)
+        yield from _meet(sigs, held[owner], shards, bits)
 
 
 def _runs(sigs: np.ndarray, held: np.ndarray):
@@ -208,37 +221,50 @@ def _members(sigs, held, inside) -> Iterator[pa.RecordBatch]:
         yield _rows("member", len(held), sig=sigs[inside].view(np.int64), a=held[:, 0], na=held[:, 1].astype(np.int32), nb=held[:, 2].astype(np.int32))
 
 
-def _meet(sigs, held, shards: int) -> Iterator[pa.RecordBatch]:
-    """Map side: of a signature that many hold only one posting goes on, marked; the rest is packed by shard."""
+def _meet(sigs, held, shards: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Map side: of a signature that many hold only one posting goes on, marked; the rest is packed by shard, a range of signatures."""
     sigs, held, heads, lengths = _runs(sigs, held)
     many = np.repeat(lengths > FEW, lengths)
     yield from _members(sigs, held, many)
     keep = ~many
     keep[heads] = True
     sigs, held, many = sigs[keep], held[keep], many[keep]
-    shard = (sigs >> np.uint64(32)).astype(np.int64) % shards
-    order = np.argsort(shard, kind="stable")  # signatures stay ascending in each shard
-    cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
-    for part in np.split(order, cuts[1:]):
-        who, at = np.unique(held[part], axis=0, return_inverse=True)
-        head = np.array([len(part), len(who)], np.int64).tobytes()
-        body = pack_sorted(sigs[part]) + planes(at.ravel().astype(np.uint32)) + np.packbits(many[part]).tobytes() + planes(who.ravel())
-        yield _rows("index", 1, shard=[int(shard[part[0]])], payload=[head + body])
+    shard = ((sigs >> np.uint64(bits - 32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    cuts = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for low, high in zip(cuts[:-1], cuts[1:]):
+        who, at = np.unique(held[low:high], axis=0, return_inverse=True)
+        head = np.array([high - low, len(who)], np.int64).tobytes()
+        body = pack_sorted(sigs[low:high]) + planes(at.ravel().astype(np.uint32)) + np.packbits(many[low:high]).tobytes() + planes(who.ravel())
+        yield _rows("index", 1, shard=[int(shard[low])], payload=[head + pack(body)])
 
 
 def _unpack(payload: bytes):
+    """`(signatures, which set holds each, marks, sets)`."""
     n, m = map(int, np.frombuffer(payload, np.int64, 2))
-    at, cut = 16, []
+    body = zstandard.ZstdDecompressor().decompress(payload[16:])
+    at, cut = 0, []
     for width in (8 * n, 4 * n, (n + 7) // 8, 24 * m):
-        cut.append(payload[at : at + width])
+        cut.append(body[at : at + width])
         at += width
-    held = from_planes(cut[3], np.int64).reshape(m, 3)[from_planes(cut[1], np.uint32)]
-    return unpack_sorted(cut[0]), held, np.unpackbits(np.frombuffer(cut[2], np.uint8), count=n).astype(bool)
+    marks = np.unpackbits(np.frombuffer(cut[2], np.uint8), count=n).astype(bool)
+    return unpack_sorted(cut[0]), from_planes(cut[1], np.uint32), marks, from_planes(cut[3], np.int64).reshape(m, 3)
 
 
 def _shard(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """One index shard: all pairs of signatures that few hold, the postings of the others."""
-    sigs, held, already = map(np.concatenate, zip(*map(_unpack, payloads)))
+    """One index shard: all pairs of signatures that few hold, the postings of the others; a range of signatures at a time."""
+    posted = [_unpack(p) for p in payloads]
+    low, high = min(int(p[0][0]) for p in posted), max(int(p[0][-1]) for p in posted)
+    ends = np.array([low + (high - low) * i // RANGES for i in range(1, RANGES)], np.uint64)
+    cuts = [[0, *np.searchsorted(p[0], ends, "right"), len(p[0])] for p in posted]
+    for i in range(RANGES):
+        own = [(s[c[i] : c[i + 1]], sets[who[c[i] : c[i + 1]]], marks[c[i] : c[i + 1]]) for (s, who, marks, sets), c in zip(posted, cuts)]
+        sigs, held, already = map(np.concatenate, zip(*own))
+        if len(sigs):
+            yield from _settle(sigs, held, already)
+
+
+def _settle(sigs, held, already) -> Iterator[pa.RecordBatch]:
     hot = np.unique(sigs[already])
     sigs, held, heads, lengths = _runs(sigs, held)
     many = (lengths > FEW) | np.isin(sigs[heads], hot)
@@ -308,14 +334,15 @@ def link_sets(docs: DataFrame, heat: float = HEAT) -> tuple[DataFrame, DataFrame
     sets = materialise(keyed.mapInArrow(_meta, "doc_id long, n_shingles long, k long, h long"), "ngram-sets")
     classes = sets.where("n_shingles > 0").groupBy("k").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
     total = docs.agg(F.sum(byte_size(F.col("text")))).first()[0] or 0
-    shards = max(parts(spark), -(-total // SHARD_BYTES))
+    shards, bits = max(parts(spark), -(-total // SHARD_BYTES)), signature_bits(total)
+    dealt_to = max(parts(spark), min(shards, PARTITIONS))
     texts = docs.select("text")
 
     def found(by_shingle: frozenset = frozenset()) -> DataFrame:
-        posted = texts.mapInArrow(lambda b: _index(b, shards, heat, by_shingle), PAIR)
+        posted = texts.mapInArrow(lambda b: _index(b, shards, bits, heat, by_shingle), PAIR)
         # Pairs and members made on the map side pass through the same exchange, dealt out by their own keys.
         dealt = posted.withColumn("shard", F.coalesce("shard", F.pmod(F.xxhash64("sig", "a", "b"), F.lit(shards)).cast("int")))
-        return materialise(dealt.repartition(shards, "shard").groupBy("shard").applyInArrow(_shard_rows, PAIR), "ngram-candidates")
+        return materialise(dealt.repartition(dealt_to, "shard").groupBy("shard").applyInArrow(_shard_rows, PAIR), "ngram-candidates")
 
     candidates = found()
     short = frozenset(r["na"] for r in candidates.where("kind = 'short'").select("na").distinct().collect())  # bands, some forty
@@ -345,22 +372,23 @@ def _probed(members: DataFrame) -> DataFrame:
     A set that holds more signatures of many than it has points to spare probes the least held ones of them, as many as
     it lacks. The window runs over one set's signatures.
     """
-    held = members.groupBy("sig").agg(F.count(F.lit(1)).alias("held"))
+    held = materialise(members.groupBy("sig").agg(F.count(F.lit(1)).alias("held")), "ngram-held")
     own = Window.partitionBy("k")
-    ranked = members.join(held, "sig").withColumns({
+    ranked = beside(members, held, "sig", "held").withColumns({
         "rank": F.row_number().over(own.orderBy(F.col("spare") < 0, "held", "sig")),
         "lacks": F.count_if(F.col("spare") >= 0).over(own) - F.col("spare"),
     })
     ranked = materialise(ranked.select("sig", "k", "n", ((F.col("spare") >= 0) & (F.col("rank") <= F.col("lacks"))).alias("prober")), "ngram-probes")
-    return ranked.join(ranked.where("prober").select("sig").distinct(), "sig", "left_semi")
+    probed = materialise(held.join(ranked.where("prober").select("sig").distinct(), "sig", "left_semi"), "ngram-probed")
+    return beside(ranked, probed, "sig", "held").drop("held")
 
 
 def _torn(members: DataFrame, label: DataFrame) -> DataFrame:
     """`sig, k, n, prober, centre` of the signatures whose members are in several components; centre: the least prober."""
-    placed = members.join(label, members["k"] == label["id"], "left").select("sig", "k", "n", "prober", F.coalesce("component", "k").alias("c"))
-    torn = placed.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.when(F.col("prober"), F.col("k"))).alias("centre"))
-    torn = torn.where("lo <> hi AND centre IS NOT NULL").select("sig", "centre")
-    return materialise(placed.drop("c").join(torn, "sig"), "ngram-torn")
+    placed = materialise(members.join(label, members["k"] == label["id"], "left").select("sig", "k", "n", "prober", F.coalesce("component", "k").alias("c")), "ngram-placed")
+    torn = placed.groupBy("sig").agg(F.count(F.lit(1)).alias("held"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.when(F.col("prober"), F.col("k"))).alias("centre"))
+    torn = materialise(torn.where("lo <> hi AND centre IS NOT NULL").select("sig", "centre", "held"), "ngram-centres")
+    return materialise(beside(placed.drop("c"), torn, "sig", "held").drop("held"), "ngram-torn")
 
 
 def _rounds(members: DataFrame, tested: DataFrame, texts: DataFrame) -> DataFrame:
@@ -380,8 +408,10 @@ def _rounds(members: DataFrame, tested: DataFrame, texts: DataFrame) -> DataFram
     # The components so far stand for the links that made them.
     label = components(_forest(label).union(asked.where(linked).select("a", "b")))
     seen = star.join(tested.unionByName(asked).select("a", "b", (F.lit(1) - F.col("common") / F.col("total")).alias("d")), ["a", "b"])
-    between = seen.groupBy("sig").agg(F.max((F.col("d") > 0.2) & (F.col("d") < 0.4001)).alias("between"))
-    rest = materialise(seen.join(between, "sig").where("d > 0.2 OR between").select("sig", "k", "n", "prober"), "ngram-members")
+    seen = materialise(seen.select("sig", "k", "n", "prober", "d"), "ngram-seen")
+    between = seen.groupBy("sig").agg(F.count(F.lit(1)).alias("held"), F.max((F.col("d") > 0.2) & (F.col("d") < 0.4001)).alias("between"))
+    between = materialise(between, "ngram-between")
+    rest = materialise(beside(seen, between, "sig", "held").where("d > 0.2 OR between").select("sig", "k", "n", "prober"), "ngram-members")
     left = _torn(rest, label)
     return _forest(label).union(_in_blocks(left, texts))
 

@@ -96,6 +96,7 @@ def test_ngram_join(spark, odd, empty, heat, monkeypatch):
         assert kept.columns == odd.columns
         assert sorted(repr(r["doc_id"]) for r in kept.collect()) == sorted(map(repr, [1, 3, 4, None, None, 5, 6, 8, 10, 2]))
         monkeypatch.setattr(ngram_join, "BLOCK", 4)
+        monkeypatch.setattr(components, "HUB_ROWS", 3)
         again = ngram_join.ngram_components(docs, heat).collect()
         assert sorted(map(tuple, again), key=repr) == sorted(map(tuple, got), key=repr)
 
@@ -125,7 +126,9 @@ def test_contracted_blocks():
             assert sorted(got) == sorted((x, c) for x, c in least.items() if c != x)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [components.HUB_ROWS, 5])
+def test_components(spark, hub, monkeypatch):
+    monkeypatch.setattr(components, "HUB_ROWS", hub)
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
