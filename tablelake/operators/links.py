@@ -10,15 +10,17 @@ from tablelake.sources.html import extract_anchors, one_per_key
 
 
 def link_index(pages: DataFrame, base_url: str, chapter: int = 3, pattern: str = TABLE_LINK,
-               path_prefix: str = LINK_PATH_PREFIX, key: str = "page_key", absent: str = "error") -> DataFrame:
+               path_prefix: str = LINK_PATH_PREFIX, key: str = "page_key", absent: str = "error",
+               first: str | None = None) -> DataFrame:
     """Links under the first list item headed `Chapter <n>`, one row per page URL.
 
     Query strings and hosts are dropped and the path is put on `base_url`; the
     title is the list item's text behind the link text. The first link to a
     URL wins, kept by an aggregate so a much-repeated link stays small.
     An index page without the chapter stops the job; with `absent="skip"` it gives no rows.
+    Of pages with one key the one with the least value in the column `first` counts (None: any one of them, the same in every run).
     """
-    read = extract_anchors(one_per_key(pages, key).select(key, "html"), pattern)
+    read = extract_anchors(one_per_key(pages, key, first).select(key, "html"), pattern)
     # The anchors of an item are those from its first to its last, whatever lists are inside it.
     headed = F.filter("anchors", lambda a: a["lead"].rlike(rf"(?U)^Chapter\s+{chapter}\b"))
     found = computed_once(read, "head", F.get(headed, F.lit(0)))

@@ -217,7 +217,7 @@ def index_pages(tables):
     far = F.concat(F.lit('<li>See <a href="http://10.0.0.1/programs/digest/d19/tables/dt19_20'), number,
                    F.lit('.15.asp?current=yes">Table 20</a></li>'))
     return tables.pages.select(
-        page_key(F.col("url")).alias(PAGE),
+        page_key(F.col("url")).alias(PAGE), "page_id",
         F.concat(
             F.lit("<ul><li><a href='#'>Chapter 1. Other</a><ul>"), link(22, F.lit("1.10")), F.lit("</ul></li>"),
             F.lit("<li><a href='#'>Chapter 3.  Level of <i>schools</i>.</a><ul>"), link(22, F.concat(number, F.lit(".10")), "?current=yes"),
@@ -234,4 +234,5 @@ SELECT substring(sha256(url), 1, 16) || '.html', '20' || page_id || '.15', 'See
   '{BASE_URL}d19/tables/dt19_20' || page_id || '.15.asp', '{BASE_URL}d19/tables/xls/tabn20' || page_id || '.15.xls',
   '2019', 'Chapter 3. Level of schools ' FROM (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url) p""")
 def link_index(tables):
-    return links.link_index(index_pages(tables), BASE_URL).drop("anchor_pos")
+    """Of pages with one URL the first counts."""
+    return links.link_index(index_pages(tables), BASE_URL, first="page_id").drop("anchor_pos")

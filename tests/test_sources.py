@@ -223,6 +223,15 @@ def test_one_page_per_key(spark):
     assert one_per_key(spark.createDataFrame([], "page_key string, html string")).count() == 0
 
 
+def test_the_first_copy_of_a_page_counts(spark):
+    from tablelake.operators.links import link_index
+
+    html = """<ul><li><a>Chapter 3</a><ul><li><a href="d22/tables/dt22_{0}.asp">T</a></li></ul></li></ul>"""
+    pages = spark.createDataFrame([("p", n, html.format(n)) for n in (10, 9, 11)] + [("q", 10, html.format(8))], "page_key string, page_id bigint, html string")
+    got = link_index(pages, "https://x.org/", first="page_id")
+    assert {(r["page_key"], r["table_number"]) for r in got.collect()} == {("p", "9"), ("q", "8")}
+
+
 def failing(df):
     return df.select(F.when(F.col("id") == 3, F.raise_error(F.lit("broken")).cast("bigint")).otherwise(F.col("id")).alias("id"))
 
