@@ -31,7 +31,7 @@ def is_total(label: Column) -> Column:
 
 
 def is_year_label(label: Column) -> Column:
-    return label.rlike("(?U)" + YEAR_LABEL)
+    return (label.contains("19") | label.contains("20")) & label.rlike("(?U)" + YEAR_LABEL)
 
 
 def topic(title: Column) -> Column:
@@ -41,8 +41,8 @@ def topic(title: Column) -> Column:
 
 
 def unhyphenate(c: Column) -> Column:
-    """`Non- profit` -> `Non-profit`."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)(\w)-\s+(?=[a-z])", "$1-")
+    """`Non- profit` -> `Non-profit`. A text without a dash is not searched."""
+    return F.when(c.contains("-"), F.regexp_replace(c, r"(?U)(\w)-\s+(?=[a-z])", "$1-")).otherwise(F.coalesce(c, F.lit("")))
 
 
 def header_parts(column: Column) -> Column:
@@ -53,8 +53,9 @@ def header_parts(column: Column) -> Column:
 def column_path(column: Column, drop_years: Column | bool = False) -> Column:
     """Levels of a `a | b` header, optionally without those that are only a year."""
     parts = F.transform(header_parts(column), unhyphenate)
-    drop = F.lit(drop_years) if isinstance(drop_years, bool) else drop_years
-    return F.filter(parts, lambda p: ~(drop & is_year_label(p)))
+    if isinstance(drop_years, bool):
+        return F.filter(parts, lambda p: ~is_year_label(p)) if drop_years else parts
+    return let(drop_years, lambda drop: F.filter(parts, lambda p: ~(drop & is_year_label(p))))
 
 
 def year_label(column: Column, years: Column) -> Column:
@@ -73,8 +74,8 @@ def row_path(ancestors: Column, label: Column) -> Column:
 def infer_unit(column: Column, title: Column) -> Column:
     text = F.lower(F.concat_ws(" ", column, title))
     return (
-        F.when(text.rlike("percent|%"), "percent")
-        .when(text.rlike("dollar|salary|tuition"), "dollars")
+        F.when(text.contains("percent") | text.contains("%"), "percent")
+        .when(text.contains("dollar") | text.contains("salary") | text.contains("tuition"), "dollars")
         .when(text.contains("ratio"), "ratio")
         .otherwise("count")
     )
@@ -88,8 +89,8 @@ def describe(*pairs: tuple[str, Column]) -> Column:
 
 def distinctive_tokens(c: Column) -> Column:
     """Lower-case words of three letters or more that are not stopwords, in order."""
-    words = F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^A-Za-z0-9\-]+")
-    return F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*STOPWORDS))
+    words = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[A-Za-z0-9\-]{3,}"), F.lit(0))
+    return F.filter(words, lambda w: ~w.isin(*STOPWORDS))
 
 
 def normalize_label(c: Column) -> Column:

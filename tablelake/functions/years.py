@@ -5,12 +5,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tablelake.fixed_values import MAX_CATALOG_YEAR, MIN_CATALOG_YEAR, YEAR_PATTERN
+from tablelake.functions.text import let
 
 
 def parse_years(c: Column) -> Column:
-    """Start years named in a text, in order, repeats kept (`1999-2000` -> 1999)."""
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("(?U)" + YEAR_PATTERN), 1)
-    return F.transform(found, lambda y: y.cast("int"))
+    """Start years named in a text, in order, repeats kept (`1999-2000` -> 1999). A text without their centuries is not searched."""
+    found = F.regexp_extract_all(c, F.lit("(?U)" + YEAR_PATTERN), 1)
+    return F.when(c.contains("19") | c.contains("20"), F.transform(found, lambda y: y.cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
 def years_all_in(years: Column, lo: int, hi: int) -> Column:
@@ -30,10 +31,12 @@ def years_within(years: Column, lo: int, hi: int) -> Column:
 def cell_years(column: Column, label: Column, section: Column, ancestors: Column,
                table_years: Column) -> Column:
     """Years of a cell from the most specific text that names any."""
+    def or_else(years: Column, less: Column) -> Column:
+        return let(years, lambda y: F.when(F.size(y) > 0, y).otherwise(less))
+
     found = F.coalesce(table_years, F.array().cast("array<int>"))
     for text in (F.array_join(ancestors, " "), section, label, column):
-        years = parse_years(text)
-        found = F.when(F.size(years) > 0, years).otherwise(found)
+        found = or_else(parse_years(text), found)
     return F.array_sort(F.array_distinct(found))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tablelake.fixed_values import (ID_PREFIX, MAX_RANK_OPTIONS, PARAPHRASE_ATTEMPTS, PHRASED_BY_FUNCTION,
                                     PHRASED_BY_TEMPLATE, QUESTION_LEAD,
                                     RANK_QUESTION_TYPE, SLUG_LENGTH, TOLERANCE)
-from tablelake.functions.text import (column_path, describe, distinctive_tokens, infer_unit, row_path, slug,
+from tablelake.functions.text import (column_path, describe, distinctive_tokens, infer_unit, let, row_path, slug,
                                       topic, unhyphenate, year_label)
 from tablelake.functions.values import leaks_answer, qualifiers_kept
 from tablelake.functions.years import cell_years
@@ -27,11 +27,12 @@ TABLE_COLUMNS = ("title", "table_years", "edition_year", "page_url")
 def _context(cells: DataFrame, label: Column) -> DataFrame:
     """Topic, unit, years, year wording and column clause of each cell or group."""
     years = cell_years(F.col("column_name"), label, F.col("section"), F.col("ancestors"), F.col("table_years"))
+    # The wordings of a column come in one value, so that neither is worked out again for each place it is used in.
+    wordings = let(year_label(F.col("column_name"), F.col("years")), lambda said: F.struct(
+        said.alias("year_text"), F.array_join(column_path(F.col("column_name"), said != ""), " > ").alias("col_text")))
     return (
-        cells.withColumn("years", years)
-        .withColumn("year_text", year_label(F.col("column_name"), F.col("years")))
-        .withColumn("col_text", F.array_join(
-            column_path(F.col("column_name"), F.col("year_text") != ""), " > "))
+        cells.withColumn("years", years).withColumn("_column", wordings)
+        .withColumns({"year_text": F.col("_column")["year_text"], "col_text": F.col("_column")["col_text"]}).drop("_column")
         .withColumn("topic", topic(F.col("title")))
         .withColumn("unit", infer_unit(F.col("column_name"), F.col("title")))
         .withColumn("section", F.coalesce("section", F.lit("")))

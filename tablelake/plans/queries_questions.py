@@ -107,7 +107,7 @@ def word_questions_fn(tables):
     cells = materialise(indexed(tables), "cells")
     every = questions.lookup_candidates(cells).unionByName(questions.rank_candidates(cells), allowMissingColumns=True)
     hint = F.coalesce(F.col("answer_num").cast("decimal(18,2)").cast("string"), F.lit("words"))
-    every = materialise(every.withColumn("descriptor", F.concat("descriptor", F.lit("\n"), hint)), "candidates")
+    every = materialise(every.select("id", F.concat("descriptor", F.lit("\n"), hint).alias("descriptor"), "template", "answer_num", "required_tokens", "years"), "candidates")
     queue = f"{shared_folder(tables.spark)}/queue-{uuid.uuid4().hex}"
     worded = questions.word_questions(every, stand_in, queue=queue)
     log = runs.read(tables.spark, queue).groupBy("id").agg(
