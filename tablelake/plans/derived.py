@@ -1,14 +1,17 @@
 """Test inputs derived from the given tables.
 
-The SQL here is read by both engines, so it is limited to what both accept.
+The SQL here is read by both engines, so it is limited to what both accept. Report tables, which are the largest, have a Spark form of their own.
 Everything grows with the tables it is derived from. A report table covers
 300 customers of one region, and its cells are sums over fixed breakdowns, so
 each table stays small while their number grows.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tablelake.functions.values import parse_value
 from tablelake.session import materialise
@@ -52,18 +55,57 @@ SELECT table_number,
 FROM named"""
 
 
-def report_cells(tables) -> DataFrame:
-    """Long cells: `table_number, title, row_index, section, row_label, indent, col_index, column_name, raw`."""
-    return tables.sql(REPORT_SQL)
+# The same rows for Spark, put together by table: orders go through one shuffle, by table, and rows are numbered instead of cells.
+_ORDERS_SQL = """
+SELECT r.r_regionkey, r.r_name, n.n_name, c.c_mktsegment, CAST(floor(c.c_custkey / 300) AS BIGINT) AS block,
+       CASE o.o_orderstatus WHEN 'O' THEN 'Open' WHEN 'F' THEN 'Filled' ELSE 'Pending' END AS section,
+       CASE WHEN o.o_orderpriority < '3' THEN 'Urgent' ELSE 'Reg- ular' END AS urgency,
+       CAST(year(o.o_orderdate) AS INT) + 8 AS y, CAST(CAST(o.o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS cents
+FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey
+JOIN nation n ON n.n_nationkey = c.c_nationkey
+JOIN region r ON r.r_regionkey = n.n_regionkey"""
+_TABLE = ("r_regionkey", "block")
+_NUMBER_SQL = "'3' || CAST(r_regionkey AS STRING) || '.' || CAST(block AS STRING)"
+_TITLE_SQL = """'Table ' || table_number || '. ' || CASE r_regionkey WHEN 0 THEN 'Number' WHEN 1 THEN 'Percent change' WHEN 2
+  THEN 'Dollars' WHEN 3 THEN 'Ratio' ELSE 'Value' END || ' of orders, by nation and mar- ket: Fall 2003 and 2004-05'"""
+_COLUMN_SQL = "urgency || ' | ' || CAST(y AS STRING) || '-' || lpad(CAST((y + 1) % 100 AS STRING), 2, '0')"
+_RAW_SQL = """CASE WHEN cents % 23 = 0 THEN '†' WHEN cents % 29 = 0 THEN '—' WHEN cents % 31 = 0 THEN ''
+  WHEN cents % 37 = 0 THEN 'withheld' ELSE CAST(CAST(CAST(cents AS DECIMAL(20,0)) / 100 AS DECIMAL(18,2)) AS STRING) END"""
+
+
+def report_lines(tables, cell: Callable[[Column], Column] = lambda raw: raw.alias("raw")) -> DataFrame:
+    """One row per report row: `r_regionkey, block, table_number, title, row_index, section, row_label, indent, cells`.
+
+    `cells` holds `col_index, column_name` and what `cell` makes of the raw value. Rows stay partitioned by the first two columns.
+    """
+    names = ("r_name", "n_name", "c_mktsegment")
+    none = F.lit(None).cast("string")
+    level = lambda lvl: F.struct(F.lit(lvl).alias("lvl"), *[(F.col(c) if i < 3 - lvl else none).alias(c) for i, c in enumerate(names)])
+    orders = tables.sql(_ORDERS_SQL).repartition(*_TABLE)
+    by = [*_TABLE, "section", "lvl", *names]
+    sums = orders.select(*_TABLE, "section", "urgency", "y", "cents", F.explode(F.array(*map(level, range(4)))).alias("l")).select(
+        *_TABLE, "section", "urgency", "y", "cents", "l.*").groupBy(*by, "urgency", "y").agg(F.sum("cents").alias("cents"))
+    at = F.expr("CAST(CASE urgency WHEN 'Urgent' THEN 1 ELSE 8 END + y - 2003 AS INT)").alias("col_index")
+    told = sums.select(*by, F.struct(at, F.expr(_COLUMN_SQL).alias("column_name"), cell(F.expr(_RAW_SQL))).alias("cell"))
+    lines = told.groupBy(*by).agg(F.collect_list("cell").alias("cells"))
+    order = Window.partitionBy(*_TABLE).orderBy("section", F.concat_ws("/", *[F.coalesce(c, F.lit("")) for c in names]))
+    return lines.select(
+        *_TABLE, F.expr(_NUMBER_SQL).alias("table_number"), (F.dense_rank().over(order) - 1).alias("row_index"), "section",
+        F.expr("CASE lvl WHEN 3 THEN 'Total' WHEN 2 THEN r_name WHEN 1 THEN n_name ELSE c_mktsegment END").alias("row_label"),
+        F.expr("CASE lvl WHEN 3 THEN 2 WHEN 2 THEN 0 WHEN 1 THEN 1 ELSE 2 END").alias("indent"), "cells",
+    ).withColumn("title", F.expr(_TITLE_SQL))
+
+
+def table_numbers(tables) -> DataFrame:
+    """The `table_number` of every report table."""
+    return tables.sql(_ORDERS_SQL).select(*_TABLE).distinct().select(F.expr(_NUMBER_SQL).alias("table_number"))
 
 
 def report_records(tables) -> DataFrame:
     """One record per report row with its cells in an array (at most 14 of them), written once."""
-    cell = F.struct("col_index", "column_name", parse_value(F.col("raw")).alias("value"))
     records = (
-        report_cells(tables)
-        .groupBy("table_number", "title", "row_index", "section", "indent", "row_label")
-        .agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+        report_lines(tables, lambda raw: parse_value(raw).alias("value")).drop(*_TABLE)
+        .withColumn("cells", F.array_sort("cells"))
         .withColumn("table_years", F.array(F.lit(2003), F.lit(2004)))
         .withColumn("edition_year", F.lit("2022"))
         .withColumn("page_url", F.concat(F.lit("https://tables.example.org/d22/tables/dt22_"),
@@ -74,7 +116,7 @@ def report_records(tables) -> DataFrame:
 
 def report_rows(tables) -> DataFrame:
     """`table_number, row_index, section, indent, row_label`, written once."""
-    rows = report_cells(tables).select("table_number", "row_index", "section", "indent", "row_label").distinct()
+    rows = report_lines(tables).select("table_number", "row_index", "section", "indent", "row_label").distinct()
     return materialise(rows, "report-rows")
 
 

@@ -17,7 +17,7 @@ INDEX_URL = "https://tables.example.org/index/"
 
 def index_pages(tables):
     """One index page for 50 report tables of a region, with a chapter of theirs, one of others, and a link without a page."""
-    number = derived.report_cells(tables).select("table_number").distinct()
+    number = derived.table_numbers(tables)
     block = F.substring_index("table_number", ".", -1).cast("int")
     key = F.concat(F.substring("table_number", 2, 1), F.lit("-"), F.floor(block / 50).cast("string"))
     link = F.concat(F.lit('<li><a href="d22/tables/dt22_'), "table_number", F.lit('.asp?current=yes">Table '), "table_number", F.lit("</a> Linked title</li>"))

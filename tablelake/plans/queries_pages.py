@@ -32,19 +32,17 @@ _HEADING_TAIL = "<td></td>" * 15 + "</tr>"
 
 def rendered(tables, with_broken: bool = False):
     """`(page_key, html, fallback_title)`, one page per derived report table."""
-    cells = derived.report_cells(tables)
-    raw = F.when(F.col("raw") == "", "#").otherwise(F.col("raw"))
-    rows = cells.groupBy("table_number", "title", "section", "row_index", "row_label", "indent").agg(
-        F.map_from_entries(F.collect_list(F.struct("col_index", raw))).alias("by_column"))
+    rows = derived.report_lines(tables, lambda raw: F.when(raw == "", "#").otherwise(raw).alias("raw")).withColumn(
+        "by_column", F.map_from_entries(F.transform("cells", lambda c: F.struct(c["col_index"], c["raw"]))))
     values = F.transform(F.sequence(F.lit(1), F.lit(14)), lambda i: F.concat(
         F.lit("<td>"), F.coalesce(F.try_element_at("by_column", i), F.lit("")), F.lit("</td>")))
     line = F.concat(F.lit("<tr>\n<td>\t"), F.repeat(F.lit("&nbsp;"), F.col("indent") * 2), F.col("row_label"),
                     F.lit("<sup>\\2\\</sup></td>"), F.array_join(values, ""), F.lit("<td colspan=wide></td></tr>"))
     first = F.col("row_index") == F.min("row_index").over(
-        Window.partitionBy("table_number", "section"))
+        Window.partitionBy("r_regionkey", "block", "section"))
     head = F.when(first, F.concat(F.lit("<tr><td><b>"), F.col("section"), F.lit("</b></td>"), F.lit(_HEADING_TAIL))).otherwise("")
-    pages = rows.select("table_number", "title", "row_index", F.concat(head, line).alias("line")).groupBy(
-        "table_number", "title").agg(F.array_join(F.transform(
+    pages = rows.select("r_regionkey", "block", "table_number", "title", "row_index", F.concat(head, line).alias("line")).groupBy(
+        "r_regionkey", "block", "table_number", "title").agg(F.array_join(F.transform(
             F.array_sort(F.collect_list(F.struct("row_index", "line"))), lambda s: s["line"]), "").alias("body"))
     region = F.substring("table_number", 2, 1)
     cited = F.when(region == "3", "IPEDS; Current Population Survey").otherwise("Integrated Postsecondary Data")
@@ -144,10 +142,11 @@ UNION ALL SELECT table_number, 1, {_SOURCE_TEXT}, 'note' FROM t WHERE substring(
 UNION ALL SELECT table_number, CAST(line - {_FIRST} AS INT), row_label, 'data' FROM numbered
 UNION ALL SELECT table_number, CAST(min(line) - 1 - {_FIRST} AS INT), section, 'data' FROM numbered GROUP BY table_number, section""")
 def split_footnotes(tables):
-    found = laid_out(tables)
-    notes = found.select(PAGE, F.posexplode("notes").alias("at", "text")).withColumn("half", F.lit("note"))
-    data = found.select(PAGE, F.posexplode("data").alias("at", "r")).select(PAGE, "at", F.col("r.cells")[0]["text"].alias("text"))
-    return notes.unionByName(data.withColumn("half", F.lit("data")))
+    """Both halves of a page in one array, so that no page is read twice."""
+    line = lambda at, text, half: F.struct(at.alias("at"), text.alias("text"), F.lit(half).alias("half"))
+    notes = F.transform("notes", lambda text, i: line(i, text, "note"))
+    data = F.transform("data", lambda r, i: line(i, r["cells"][0]["text"], "data"))
+    return laid_out(tables).select(PAGE, F.inline(F.concat(notes, data)))
 
 
 @query("note_tables", f"""WITH {_LINES}
