@@ -60,27 +60,45 @@ def column_path(column: Column, drop_years: Column | bool = False) -> Column:
 
 def year_label(column: Column, years: Column) -> Column:
     """The column's own year wording, else its first two years joined by a dash."""
-    own = F.filter(header_parts(F.coalesce(column, F.lit(""))), is_year_label)
-    return F.coalesce(
-        F.try_element_at(own, F.lit(-1)),
-        F.array_join(F.slice(years.cast("array<string>"), 1, 2), "-"),
-    )
+    return F.coalesce(own_year_label(column), F.array_join(F.slice(years.cast("array<string>"), 1, 2), "-"))
+
+
+def own_year_label(column: Column) -> Column:
+    """The last level of a header that is only a year; NULL without any."""
+    return F.try_element_at(F.filter(header_parts(F.coalesce(column, F.lit(""))), is_year_label), F.lit(-1))
+
+
+def padded(number: Column, width: int) -> Column:
+    """`%0<width>d` of a number; the slow general format is left to those that it does not fit."""
+    return F.when(number.between(0, 10 ** width - 1), F.lpad(number.cast("string"), width, "0")).otherwise(F.format_string(f"%0{width}d", number))
 
 
 def row_path(ancestors: Column, label: Column) -> Column:
     return F.array_join(F.concat(ancestors, F.array(label)), " > ")
 
 
-def infer_unit(column: Column, title: Column) -> Column:
-    text = F.lower(F.concat_ws(" ", column, title))
+UNITS = ("percent", "dollars", "ratio", "count")
+
+
+def unit_rank(text: Column) -> Column:
+    """Place in UNITS of the first unit that a text names."""
+    text = F.lower(F.coalesce(text, F.lit("")))
     return (
-        F.when(text.contains("percent") | text.contains("%"), "percent")
-        .when(text.contains("dollar") | text.contains("salary") | text.contains("tuition"), "dollars")
-        .when(text.contains("ratio"), "ratio")
-        .otherwise("count")
+        F.when(text.contains("percent") | text.contains("%"), 0)
+        .when(text.contains("dollar") | text.contains("salary") | text.contains("tuition"), 1)
+        .when(text.contains("ratio"), 2)
+        .otherwise(3)
     )
 
 
+def unit_at(rank: Column) -> Column:
+    return F.get(F.array(*map(F.lit, UNITS)), rank)
+
+
+def infer_unit(column: Column, title: Column) -> Column:
+    return unit_at(F.least(unit_rank(column), unit_rank(title)))
+
+
 def describe(*pairs: tuple[str, Column]) -> Column:
     """`key: value` lines; NULL and empty values leave no line."""
     lines = [F.when(value != "", F.concat(F.lit(f"{key}: "), value)) for key, value in pairs]

@@ -31,7 +31,7 @@ def parse_value(raw: Column) -> Column:
     """`struct(num, text, is_int)`: a number, or the marker/text; all NULL when blank.
 
     Parentheses mark standard errors and are only unwrapped, never negated.
-    The pattern that finds the number runs once per cell, and not at all on plain digits.
+    The pattern that finds the number runs once per cell, and not at all on plain digits, which are a number as they are.
     """
     def judged(number: Column) -> Column:
         return let(_as_double(number), lambda num: F.struct(
@@ -40,8 +40,9 @@ def parse_value(raw: Column) -> Column:
             (num.isNotNull() & number.rlike("^-?[0-9]+$")).alias("is_int"),
         ))
 
-    found = F.when(raw.rlike(_PLAIN), raw).otherwise(F.regexp_extract(F.translate(raw, ",$", ""), "(?U)" + _CELL, 1))
-    return let(F.coalesce(found, F.lit("")), judged)
+    plain = F.struct(raw.try_cast("double").alias("num"), F.lit(None).cast("string").alias("text"), (~raw.contains(".")).alias("is_int"))
+    found = F.regexp_extract(F.translate(raw, ",$", ""), "(?U)" + _CELL, 1)
+    return F.when(raw.rlike(_PLAIN), plain).otherwise(let(F.coalesce(found, F.lit("")), judged))
 
 
 def is_number(value: Column) -> Column:

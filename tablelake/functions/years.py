@@ -31,13 +31,28 @@ def years_within(years: Column, lo: int, hi: int) -> Column:
 def cell_years(column: Column, label: Column, section: Column, ancestors: Column,
                table_years: Column) -> Column:
     """Years of a cell from the most specific text that names any."""
+    return F.coalesce(years_of_column(column), years_of_row(label, section, ancestors, table_years))
+
+
+def _in_order(years: Column) -> Column:
+    """Each year once, in order."""
+    return let(years, lambda y: F.when(F.size(y) > 1, F.array_sort(F.array_distinct(y))).otherwise(y))
+
+
+def years_of_row(label: Column, section: Column, ancestors: Column, table_years: Column) -> Column:
+    """Years of a row's cells whose columns name none."""
     def or_else(years: Column, less: Column) -> Column:
         return let(years, lambda y: F.when(F.size(y) > 0, y).otherwise(less))
 
     found = F.coalesce(table_years, F.array().cast("array<int>"))
-    for text in (F.array_join(ancestors, " "), section, label, column):
+    for text in (F.array_join(ancestors, " "), section, label):
         found = or_else(parse_years(text), found)
-    return F.array_sort(F.array_distinct(found))
+    return _in_order(found)
+
+
+def years_of_column(column: Column) -> Column:
+    """Years that a column names; NULL when it names none."""
+    return let(_in_order(parse_years(column)), lambda y: F.when(F.size(y) > 0, y))
 
 
 def two_digit_year(year: Column) -> Column:

@@ -1,6 +1,8 @@
 """Addressable cells: rows with a unique key, one row per usable value."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,11 +37,13 @@ def unpivot_cells(rows: DataFrame) -> DataFrame:
     )
 
 
-def index_cells(records: DataFrame, block: int | None = BLOCK) -> DataFrame:
+def index_cells(records: DataFrame, block: int | None = BLOCK,
+                per_row: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Report records -> every answerable cell of every uniquely addressed row.
 
     Keys are worked out on row coordinates alone, so the cells themselves are
-    shuffled once, to meet the keys of their rows.
+    shuffled once, to meet the keys of their rows. `per_row` adds columns to
+    rows before their cells are taken apart, once for all cells of a row.
     """
     named = records.withColumns({
         "section": F.coalesce("section", F.lit("")),
@@ -48,4 +52,5 @@ def index_cells(records: DataFrame, block: int | None = BLOCK) -> DataFrame:
     narrow = named.select("table_number", "row_index", "section", "indent", "row_label")
     keys = unique_rows(with_ancestors(narrow, block=block).drop("indent"))
     wide = named.drop("section", "row_label")
-    return unpivot_cells(wide.join(keys, ["table_number", "row_index"]))
+    rows = wide.join(keys, ["table_number", "row_index"])
+    return unpivot_cells(per_row(rows) if per_row else rows)

@@ -2,6 +2,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -74,35 +76,56 @@ def with_ancestors(rows: DataFrame, keys: Sequence[str] = ("table_number",), ind
     ancestor unless a shallower row came in between. Sections do not reset the
     chain. Levels may be any whole numbers: a chain is one array, whatever the deepest indent. Tables of any length are
     scanned in blocks of `block` index values; None takes each table as one block.
+    A task reads its rows in order, whatever the number of tables; only tables of several blocks are summed up before.
     """
     level = F.coalesce(F.col(indent), F.lit(0)).cast("int")
     marked = rows.withColumns({
         "_at": F.floor(F.col(index) / block).cast("bigint") if block else F.lit(0).cast("bigint"),
         "_order": F.col(index).cast("bigint"), "_least": level, "_label": F.coalesce(F.col(label), F.lit(""))})
-    own = F.array(F.struct(F.col("_least").alias("level"), F.col("_label").alias("label")))
-    by = [*keys, "_at"]
+    by, names = [*keys, "_at"], rows.columns
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+    placed = marked.withColumn("_open", F.lit(None).cast(_OPEN_SQL))
     if block:
-        sums = marked.select(*by, "_order", "_least", own.alias("_open")).groupBy(*by).applyInArrow(
-            _sum_up(keys, "_at"), f"{key_schema}, _at bigint, _least int, _open {_OPEN_SQL}")
-        before = _carried(materialise(sums, "open-rows"), keys, block, 1)
-    else:
-        before = marked.select(*by, own.alias("_open")).where(F.lit(False))
-    names = rows.columns
-
-    def climb(table: pa.Table, opened: pa.Table) -> pa.Table:
-        table = table.sort_by("_order")
-        stack = list(opened.column("_open")[0].as_py()) if opened.num_rows else []
-        chains = []
-        for own_level, own_label in zip(table.column("_least").to_pylist(), table.column("_label").to_pylist()):
-            while stack and stack[-1]["level"] >= own_level:
-                stack.pop()
-            chains.append([x["label"] for x in stack])
-            stack.append({"level": own_level, "label": own_label})
-        return table.select(names).append_column("ancestors", pa.array(chains, pa.list_(pa.string())))
-
-    return marked.groupBy(*by).cogroup(before.groupBy(*by)).applyInArrow(climb, f"{schema}, ancestors array<string>")
+        before = _open_before(marked, keys, block)
+        # What is open before a block is a line of its own ahead of the block's rows.
+        placed = placed if before is None else placed.unionByName(before, allowMissingColumns=True)
+
+    def climb(batches):
+        place, stack = None, []
+        for batch in batches:
+            held, chains = [], []
+            places = zip(*[batch.column(c).to_pylist() for c in by])
+            for here, opened, own_level, own_label in zip(places, *[batch.column(c).to_pylist() for c in ("_open", "_least", "_label")]):
+                if here != place:
+                    place, stack = here, []
+                held.append(opened is None)
+                if opened is not None:
+                    stack = [(x["level"], x["label"]) for x in opened]
+                    continue
+                while stack and stack[-1][0] >= own_level:
+                    stack.pop()
+                chains.append([x[1] for x in stack])
+                stack.append((own_level, own_label))
+            own = batch.select(names) if all(held) else batch.select(names).filter(pa.array(held))
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(chains, pa.list_(pa.string()))], names=[*names, "ancestors"])
+
+    ordered = placed.repartition(*by).sortWithinPartitions(*by, F.col("_open").isNull(), "_order")
+    return ordered.mapInArrow(climb, f"{schema}, ancestors array<string>")
+
+
+def _open_before(marked: DataFrame, keys: Sequence[str], block: int) -> DataFrame | None:
+    """What is open before each block of the tables that have several; None where there are no such tables."""
+    spans = marked.groupBy(*keys).agg(F.min("_at").alias("_first"), F.max("_at").alias("_last")).where("_first < _last")
+    tables = materialise(spans.drop("_first"), "long-tables")
+    if tables.isEmpty():
+        return None
+    named = tables.withColumnsRenamed({c: f"_table_{c}" for c in keys})
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_table_{c}")) for c in keys])
+    key_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.select(*keys).schema)
+    own = F.array(F.struct(F.col("_least").alias("level"), F.col("_label").alias("label")))
+    rows = marked.join(named, same, "left_semi").select(*keys, "_at", "_order", "_least", own.alias("_open"))
+    sums = rows.groupBy(*keys, "_at").applyInArrow(_sum_up(keys, "_at"), f"{key_schema}, _at bigint, _least int, _open {_OPEN_SQL}")
+    return _carried(materialise(sums, "open-rows"), keys, block, 1)
 
 
 def carry_section(rows: DataFrame, keys: Sequence[str] = ("table_number",), index: str = "row_index",

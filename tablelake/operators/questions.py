@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from tablelake.fixed_values import (ID_PREFIX, MAX_RANK_OPTIONS, PARAPHRASE_ATTEMPTS, PHRASED_BY_FUNCTION,
                                     PHRASED_BY_TEMPLATE, QUESTION_LEAD,
                                     RANK_QUESTION_TYPE, SLUG_LENGTH, TOLERANCE)
-from tablelake.functions.text import (column_path, describe, distinctive_tokens, infer_unit, let, row_path, slug,
-                                      topic, unhyphenate, year_label)
+from tablelake.functions.text import (column_path, describe, distinctive_tokens, own_year_label, padded, row_path, slug, topic,
+                                      unhyphenate, unit_at, unit_rank)
 from tablelake.functions.values import leaks_answer, qualifiers_kept
-from tablelake.functions.years import cell_years
+from tablelake.functions.years import years_of_column, years_of_row
 from tablelake.operators.enrich import answered
 from tablelake.operators.ranking import rank_eligible, rank_members
 from tablelake.operators.sampling import seeded
@@ -24,19 +24,48 @@ from tablelake.sources import runs
 TABLE_COLUMNS = ("title", "table_years", "edition_year", "page_url")
 
 
-def _context(cells: DataFrame, label: Column) -> DataFrame:
-    """Topic, unit, years, year wording and column clause of each cell or group."""
-    years = cell_years(F.col("column_name"), label, F.col("section"), F.col("ancestors"), F.col("table_years"))
-    # The wordings of a column come in one value, so that neither is worked out again for each place it is used in.
-    wordings = let(year_label(F.col("column_name"), F.col("years")), lambda said: F.struct(
-        said.alias("year_text"), F.array_join(column_path(F.col("column_name"), said != ""), " > ").alias("col_text")))
-    return (
-        cells.withColumn("years", years).withColumn("_column", wordings)
-        .withColumns({"year_text": F.col("_column")["year_text"], "col_text": F.col("_column")["col_text"]}).drop("_column")
-        .withColumn("topic", topic(F.col("title")))
-        .withColumn("unit", infer_unit(F.col("column_name"), F.col("title")))
-        .withColumn("section", F.coalesce("section", F.lit("")))
-    )
+def row_context(rows: DataFrame, label: Column | None = None) -> DataFrame:
+    """What the cells of a row share of their wording: topic, unit of the title, years unless the column names any, path and its tokens.
+
+    Given to `index_cells` as `per_row` it is worked out once per row; cells without it get it one by one.
+    """
+    label = F.col("row_label") if label is None else label
+    return rows.withColumns({
+        "row_years": years_of_row(label, F.col("section"), F.col("ancestors"), F.col("table_years")),
+        "section": F.coalesce("section", F.lit("")),
+        "topic": topic(F.col("title")), "title_unit": unit_rank(F.col("title")),
+        "row_text": unhyphenate(row_path(F.col("ancestors"), label)),
+    }).withColumn("row_tokens", distinctive_tokens(F.col("row_text")))
+
+
+def column_context(cells: DataFrame) -> DataFrame:
+    """What the cells of a column name share of their wording: its years and year label, its clause with and without years, its unit."""
+    column = F.col("column_name")
+    return cells.withColumns({
+        "column_years": years_of_column(column), "column_said": own_year_label(column), "column_unit": unit_rank(column),
+        "plain_text": F.array_join(column_path(column), " > "), "undated_text": F.array_join(column_path(column, True), " > "),
+    }).withColumns({"plain_tokens": distinctive_tokens(F.col("plain_text")), "undated_tokens": distinctive_tokens(F.col("undated_text"))})
+
+
+def column_wordings(names: DataFrame) -> DataFrame:
+    """The `column_context` of each distinct `column_name`, written once: names are few, cells many."""
+    return materialise(column_context(names.select("column_name").distinct()), "column-wordings")
+
+
+def _context(cells: DataFrame, label: Column | None = None, columns: DataFrame | None = None) -> DataFrame:
+    """Topic, unit, years, year wording, column clause and its tokens of each cell or group."""
+    known = cells if "row_years" in cells.columns else row_context(cells, label)
+    if columns is None:
+        known = column_context(known)
+    else:
+        worded = columns.withColumnRenamed("column_name", "_name")
+        known = known.join(worded, F.col("column_name").eqNullSafe(F.col("_name")), "left").drop("_name")
+    years = F.coalesce("column_years", "row_years")
+    said = F.coalesce("column_said", F.array_join(F.slice(years.cast("array<string>"), 1, 2), "-"))
+    dated = F.col("year_text") != ""
+    return known.withColumns({"years": years, "year_text": said, "unit": unit_at(F.least("title_unit", "column_unit"))}).withColumns({
+        "col_text": F.when(dated, F.col("undated_text")).otherwise(F.col("plain_text")),
+        "col_tokens": F.when(dated, F.col("undated_tokens")).otherwise(F.col("plain_tokens"))})
 
 
 def _phrase(before: str, text: Column, after: str = "") -> Column:
@@ -44,14 +73,17 @@ def _phrase(before: str, text: Column, after: str = "") -> Column:
     return F.when(text != "", F.concat(F.lit(before), text, F.lit(after))).otherwise("")
 
 
-def lookup_candidates(cells: DataFrame) -> DataFrame:
-    """One question per cell: what figure is reported at these coordinates?"""
-    out = _context(cells, F.col("row_label"))
-    row_text = unhyphenate(row_path(F.col("ancestors"), F.col("row_label")))
+def lookup_candidates(cells: DataFrame, columns: DataFrame | None = None) -> DataFrame:
+    """One question per cell: what figure is reported at these coordinates?
+
+    With the `column_wordings` of its column names given, a name is taken apart once, not once per cell.
+    """
+    out = _context(cells, columns=columns)
     col_text, year_text = F.col("col_text"), F.col("year_text")
     number = F.col("value.num")
-    return out.withColumn("row_text", row_text).select(
-        F.format_string(ID_PREFIX + "%s::lookup::r%04d::c%02d", "table_number", "row_index", "col_index").alias("id"),
+    return out.select(
+        F.concat(F.lit(ID_PREFIX), F.coalesce("table_number", F.lit("null")), F.lit("::lookup::r"), padded(F.col("row_index"), 4),
+                 F.lit("::c"), padded(F.col("col_index"), 2)).alias("id"),
         F.lit("lookup").alias("question_type"),
         "table_number", *TABLE_COLUMNS,
         number.alias("answer_num"),
@@ -65,7 +97,7 @@ def lookup_candidates(cells: DataFrame) -> DataFrame:
             F.lit(QUESTION_LEAD), F.lower("topic"), _phrase(" (", F.col("section"), ")"),
             F.lit(", what figure is reported for "), F.col("row_text"),
             _phrase(" under ", col_text), _phrase(" in ", year_text), F.lit("?")).alias("template"),
-        F.concat(distinctive_tokens(F.col("row_text")), distinctive_tokens(col_text)).alias("required_tokens"),
+        F.concat("row_tokens", "col_tokens").alias("required_tokens"),
         F.struct("section", "ancestors", "row_label", "column_name", "value").alias("cell"),
     )
 

@@ -56,11 +56,12 @@ FROM named"""
 
 
 # The same rows for Spark, put together by table: orders go through one shuffle, by table, and rows are numbered instead of cells.
-_ORDERS_SQL = """
+_URGENCY_SQL = "CASE WHEN o_orderpriority < '3' THEN 'Urgent' ELSE 'Reg- ular' END"
+_YEAR_SQL = "CAST(year(o_orderdate) AS INT) + 8"
+_ORDERS_SQL = f"""
 SELECT r.r_regionkey, r.r_name, n.n_name, c.c_mktsegment, CAST(floor(c.c_custkey / 300) AS BIGINT) AS block,
        CASE o.o_orderstatus WHEN 'O' THEN 'Open' WHEN 'F' THEN 'Filled' ELSE 'Pending' END AS section,
-       CASE WHEN o.o_orderpriority < '3' THEN 'Urgent' ELSE 'Reg- ular' END AS urgency,
-       CAST(year(o.o_orderdate) AS INT) + 8 AS y, CAST(CAST(o.o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS cents
+       {_URGENCY_SQL} AS urgency, {_YEAR_SQL} AS y, CAST(CAST(o.o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS cents
 FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey
 JOIN nation n ON n.n_nationkey = c.c_nationkey
 JOIN region r ON r.r_regionkey = n.n_regionkey"""
@@ -68,26 +69,41 @@ _TABLE = ("r_regionkey", "block")
 _NUMBER_SQL = "'3' || CAST(r_regionkey AS STRING) || '.' || CAST(block AS STRING)"
 _TITLE_SQL = """'Table ' || table_number || '. ' || CASE r_regionkey WHEN 0 THEN 'Number' WHEN 1 THEN 'Percent change' WHEN 2
   THEN 'Dollars' WHEN 3 THEN 'Ratio' ELSE 'Value' END || ' of orders, by nation and mar- ket: Fall 2003 and 2004-05'"""
-_COLUMN_SQL = "urgency || ' | ' || CAST(y AS STRING) || '-' || lpad(CAST((y + 1) % 100 AS STRING), 2, '0')"
-_RAW_SQL = """CASE WHEN cents % 23 = 0 THEN '†' WHEN cents % 29 = 0 THEN '—' WHEN cents % 31 = 0 THEN ''
-  WHEN cents % 37 = 0 THEN 'withheld' ELSE CAST(CAST(CAST(cents AS DECIMAL(20,0)) / 100 AS DECIMAL(18,2)) AS STRING) END"""
+# The columns that orders of any table have: two for each year.
+_COLUMNS_SQL = f"""
+SELECT urgency, y, CAST(CASE urgency WHEN 'Urgent' THEN 1 ELSE 8 END + y - 2003 AS INT) AS col_index,
+       urgency || ' | ' || CAST(y AS STRING) || '-' || lpad(CAST((y + 1) % 100 AS STRING), 2, '0') AS column_name
+FROM (SELECT DISTINCT {_URGENCY_SQL} AS urgency, {_YEAR_SQL} AS y FROM orders) ORDER BY col_index NULLS LAST, column_name"""
+
+
+def _raw(cents: Column) -> Column:
+    # Two decimals by whole numbers: a division of decimals costs more than all the rest of a cell.
+    whole, part = F.call_function("div", F.abs(cents), F.lit(100)).cast("string"), F.lpad((F.abs(cents) % 100).cast("string"), 2, "0")
+    shown = F.concat(F.when(cents < 0, "-").otherwise(""), whole, F.lit("."), part)
+    return F.when(cents % 23 == 0, "†").when(cents % 29 == 0, "—").when(cents % 31 == 0, "").when(cents % 37 == 0, "withheld").otherwise(shown)
 
 
 def report_lines(tables, cell: Callable[[Column], Column] = lambda raw: raw.alias("raw")) -> DataFrame:
     """One row per report row: `r_regionkey, block, table_number, title, row_index, section, row_label, indent, cells`.
 
-    `cells` holds `col_index, column_name` and what `cell` makes of the raw value. Rows stay partitioned by the first two columns.
+    `cells` holds `col_index, column_name` and what `cell` makes of the raw value, in this order. Rows stay partitioned by the first two columns.
+    Orders are summed up by row, with a sum and a count for each of the columns: cells of a row need not be collected and sorted.
     """
     names = ("r_name", "n_name", "c_mktsegment")
     none = F.lit(None).cast("string")
     level = lambda lvl: F.struct(F.lit(lvl).alias("lvl"), *[(F.col(c) if i < 3 - lvl else none).alias(c) for i, c in enumerate(names)])
-    orders = tables.sql(_ORDERS_SQL).repartition(*_TABLE)
+    columns = tables.sql(_COLUMNS_SQL).collect() or [dict.fromkeys(("urgency", "y", "col_index", "column_name"))]
+    totals = [f"{what}_{i}" for i in range(len(columns)) for what in ("cents", "n")]
+    here = [F.col("urgency").eqNullSafe(F.lit(c["urgency"])) & F.col("y").eqNullSafe(F.lit(c["y"]).cast("int")) for c in columns]
+    tally = [a for i, at in enumerate(here) for a in (F.sum(F.when(at, F.col("cents"))).alias(f"cents_{i}"), F.count(F.when(at, 1)).alias(f"n_{i}"))]
+    least = tables.sql(_ORDERS_SQL).repartition(*_TABLE).groupBy(*_TABLE, "section", *names).agg(*tally)
     by = [*_TABLE, "section", "lvl", *names]
-    sums = orders.select(*_TABLE, "section", "urgency", "y", "cents", F.explode(F.array(*map(level, range(4)))).alias("l")).select(
-        *_TABLE, "section", "urgency", "y", "cents", "l.*").groupBy(*by, "urgency", "y").agg(F.sum("cents").alias("cents"))
-    at = F.expr("CAST(CASE urgency WHEN 'Urgent' THEN 1 ELSE 8 END + y - 2003 AS INT)").alias("col_index")
-    told = sums.select(*by, F.struct(at, F.expr(_COLUMN_SQL).alias("column_name"), cell(F.expr(_RAW_SQL))).alias("cell"))
-    lines = told.groupBy(*by).agg(F.collect_list("cell").alias("cells"))
+    levels = least.select(*_TABLE, "section", *totals, F.explode(F.array(*map(level, range(4)))).alias("l")).select(*_TABLE, "section", "l.*", *totals)
+    sums = levels.groupBy(*by).agg(*[F.sum(t).alias(t) for t in totals])
+    every = F.array(*[F.struct(F.lit(c["col_index"]).cast("int").alias("col_index"), F.lit(c["column_name"]).cast("string").alias("column_name"),
+                               F.col(f"cents_{i}").alias("cents"), F.col(f"n_{i}").alias("n")) for i, c in enumerate(columns)])
+    told = F.transform(F.filter(every, lambda c: c["n"] > 0), lambda c: F.struct(c["col_index"], c["column_name"], cell(_raw(c["cents"]))))
+    lines = sums.select(*by, told.alias("cells"))
     order = Window.partitionBy(*_TABLE).orderBy("section", F.concat_ws("/", *[F.coalesce(c, F.lit("")) for c in names]))
     return lines.select(
         *_TABLE, F.expr(_NUMBER_SQL).alias("table_number"), (F.dense_rank().over(order) - 1).alias("row_index"), "section",
@@ -105,7 +121,6 @@ def report_records(tables) -> DataFrame:
     """One record per report row with its cells in an array (at most 14 of them), written once."""
     records = (
         report_lines(tables, lambda raw: parse_value(raw).alias("value")).drop(*_TABLE)
-        .withColumn("cells", F.array_sort("cells"))
         .withColumn("table_years", F.array(F.lit(2003), F.lit(2004)))
         .withColumn("edition_year", F.lit("2022"))
         .withColumn("page_url", F.concat(F.lit("https://tables.example.org/d22/tables/dt22_"),

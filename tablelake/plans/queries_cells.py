@@ -186,7 +186,9 @@ FROM eligible)"""
 
 @query("lookup_candidates", f"WITH {CELLS_CTE} SELECT id, question_type, answer_type, unit, years, descriptor, template, tokens, coalesce(num, -1) AS num, coalesce(txt, '') AS txt FROM ({_LOOKUPS})")
 def lookup_candidates(tables):
-    return questions.lookup_candidates(indexed(tables)).select(
+    records = derived.report_records(tables)
+    columns = questions.column_wordings(records.select(F.explode("cells.column_name").alias("column_name")))
+    return questions.lookup_candidates(cells.index_cells(records, per_row=questions.row_context), columns).select(
         "id", "question_type", "answer_type", "unit", F.array_join(F.col("years").cast("array<string>"), ",").alias("years"),
         "descriptor", "template", F.array_join("required_tokens", " ").alias("tokens"),
         F.coalesce("answer_num", F.lit(-1.0)).alias("num"), F.coalesce("answer_label", F.lit("")).alias("txt"))

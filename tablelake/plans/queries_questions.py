@@ -26,7 +26,7 @@ def _selected(tables):
     """Candidates of all tables reduced to a set of 100 questions, template wording."""
     cells = materialise(indexed(tables), "cells")
     pool = sampling.sample_per_group(cells, ["table_number"], ["table_number", "row_index", "col_index"])
-    lookups = questions.lookup_candidates(pool)
+    lookups = questions.lookup_candidates(pool, questions.column_wordings(cells))
     ranks = sampling.sample_per_group(questions.rank_candidates(cells), ["table_number"], ["id"])
     every = materialise(lookups.unionByName(ranks, allowMissingColumns=True), "candidates")
     chosen = sampling.quota_sample(every, sampling.scale_quotas(QUOTAS, 100))
@@ -105,7 +105,7 @@ SELECT id, CASE WHEN attempt IS NULL THEN template ELSE said END AS question, CA
 def word_questions_fn(tables):
     """All candidates worded by a function, with the attempt that was accepted (0: none) and what became of the first."""
     cells = materialise(indexed(tables), "cells")
-    every = questions.lookup_candidates(cells).unionByName(questions.rank_candidates(cells), allowMissingColumns=True)
+    every = questions.lookup_candidates(cells, questions.column_wordings(cells)).unionByName(questions.rank_candidates(cells), allowMissingColumns=True)
     hint = F.coalesce(F.col("answer_num").cast("decimal(18,2)").cast("string"), F.lit("words"))
     every = materialise(every.select("id", F.concat("descriptor", F.lit("\n"), hint).alias("descriptor"), "template", "answer_num", "required_tokens", "years"), "candidates")
     queue = f"{shared_folder(tables.spark)}/queue-{uuid.uuid4().hex}"
@@ -129,7 +129,7 @@ def resume(tables):
 
 # ---- re-derivation ------------------------------------------------------------------
 def _lookup_questions(cells):
-    q = questions.lookup_candidates(cells)
+    q = questions.lookup_candidates(cells, questions.column_wordings(cells))
     return q.select("id", "table_number", "cell.section", "cell.ancestors", F.when(k() == 1, "nobody").otherwise(
         F.col("cell.row_label")).alias("row_label"), "cell.column_name",
         F.when(k() == 0, F.col("answer_num") + 1).otherwise(F.col("answer_num")).alias("answer_num"), "answer_label",
@@ -233,7 +233,7 @@ graded AS (
 def _graded(tables):
     """Every lookup and every rank question of the derived report, graded."""
     cells = materialise(indexed(tables), "cells")
-    asked = questions.lookup_candidates(cells).unionByName(questions.rank_candidates(cells), allowMissingColumns=True)
+    asked = questions.lookup_candidates(cells, questions.column_wordings(cells)).unionByName(questions.rank_candidates(cells), allowMissingColumns=True)
     q = materialise(asked.select("id", "question_type", "answer_num", "answer_label", "answer_type", F.when(
         F.col("answer_type") == "number", 0.01).otherwise(0.0).alias("tolerance")), "questions")
     given = tables.spark.sql(_GUESS.format(source="{source}"), source=q.withColumnsRenamed({"answer_num": "num", "answer_label": "label"}))

@@ -7,7 +7,7 @@ from conftest import SMALL, column
 from pyspark.sql import functions as F
 
 from tablelake.functions import values
-from tablelake.operators import grading
+from tablelake.operators import cells, grading, hierarchy, questions
 from tablelake.plans import derived
 from tablelake.session import configure
 from tablelake.sources.tables import Tables
@@ -56,3 +56,49 @@ def test_a_wording_is_put_in_order_once(spark):
 def test_plain_and_other_numbers(spark, raw, num, is_int):
     assert column(spark, [raw], lambda c: values.parse_value(c)["num"]) == [num]
     assert column(spark, [raw], lambda c: values.parse_value(c)["is_int"]) == [is_int]
+
+
+def test_cells_of_a_row_are_summed_up_not_collected(spark):
+    assert "collect_list" not in plan(derived.report_lines(Tables(configure(spark), SMALL)))
+
+
+class OddOrders(Tables):
+    """The small tables with orders of negative, unknown or no price, no date or unseen years; or with no orders at all."""
+
+    def __init__(self, spark, rows):
+        super().__init__(spark, SMALL)
+        at = F.col("o_orderkey") % 50
+        self.orders = self.__getattr__("orders").where(F.lit(rows)).withColumns({
+            "o_totalprice": F.when(at == 0, -F.col("o_totalprice")).when(at == 1, -0.05).when(at == 2, None).when(at == 3, 0.07).otherwise(F.col("o_totalprice")),
+            "o_orderdate": F.when(at == 4, None).when(at == 5, F.timestamp_add("YEAR", F.lit(9), "o_orderdate")).otherwise(F.col("o_orderdate")),
+            "o_orderpriority": F.when(at != 6, F.col("o_orderpriority"))})
+
+
+@pytest.mark.parametrize("rows", [True, False])
+def test_report_lines_of_odd_orders(spark, rows):
+    tables = OddOrders(configure(spark), rows)
+    names = ["table_number", "row_index", "row_label", "indent", "col_index", "column_name", "raw"]
+    lines = derived.report_lines(tables)
+    got = lines.select(*[c for c in lines.columns if c != "cells"], F.inline("cells")).select(*names)
+    want = tables.sql(derived.REPORT_SQL).select(*names)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.isEmpty() != rows
+
+
+def test_tables_of_one_block_are_read_once(spark):
+    rows = derived.report_rows(Tables(configure(spark), SMALL))
+    climbed = plan(hierarchy.with_ancestors(rows))
+    assert "CoGroups" not in climbed and climbed.count("MapInArrow") == 1
+
+
+def test_rows_and_columns_are_worded_once(spark):
+    """The same candidates, with no pattern left to be looked for in each cell."""
+    records = derived.report_records(Tables(configure(spark), SMALL))
+    odd = F.transform("cells", lambda c: c.withField("column_name", F.when(c["col_index"] == 2, None).when(c["col_index"] == 3, "Per- cent | all").when(
+        c["col_index"] == 4, "| 2004 | 1999-00").otherwise(c["column_name"])))
+    records = records.withColumn("cells", odd).withColumn("row_label", F.when(F.col("row_index") % 7 == 0, "Since 2004, then 1999").otherwise(F.col("row_label")))
+    columns = questions.column_wordings(records.select(F.explode("cells.column_name").alias("column_name")))
+    once = questions.lookup_candidates(cells.index_cells(records, per_row=questions.row_context), columns)
+    each = questions.lookup_candidates(cells.index_cells(records))
+    assert once.columns == each.columns and not once.isEmpty()
+    assert once.exceptAll(each).isEmpty() and each.exceptAll(once).isEmpty()
+    assert "regexp" not in plan(once).split("Generate explode")[0].lower()
