@@ -109,3 +109,47 @@ def test_index_family(spark):
         assert [n for n, _ in index.levels] == [1 << b for b in range(3, -1, -1) if step >> b & 1]
     total = sum(int(sd.unpack_keys(bytes(r["entries"]))[2].sum()) for r in index.entries().collect())
     assert total == 72
+
+
+def test_texts_and_spans(spark):
+    """The operator's own outputs: bytes left and runs cut out, of odd rows as well, with characters cut in two."""
+    rows = made(random.Random(29)) + [(100, "x" + "ab" * 60 + "è" * 200 + "é tail"), (101, "y" + "ab" * 60 + "è" * 200 + "ê")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = sd.cut_repeats(docs)
+    assert out.columns == ["doc_id", "n_bytes", "kept", "spans"]
+    texts, got = Counter((i, (t or "").encode()) for i, t in rows), []
+    for r in out.collect():
+        spans, kept = [tuple(x) for x in r["spans"]], bytes(r["kept"])
+        assert all(b - a >= sd.LENGTH for a, b in spans) and all(x[1] < y[0] for x, y in zip(spans, spans[1:]))
+        got.append((r["doc_id"], r["n_bytes"], r["n_bytes"] - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
+        cut = [t for i, t in texts if i == r["doc_id"] and len(t) == r["n_bytes"]]
+        assert any(kept == b"".join(t[a:b] for a, b in zip([0, *(x[1] for x in spans)], [*(x[0] for x in spans), len(t)])) for t in cut)
+    assert sorted(got, key=repr) == brute(rows)
+    assert bytes(out.where("doc_id = 100").first()["kept"]) == b"x\xa9 tail"  # the first byte of é and ê is the same
+
+
+def test_planted_passages(spark, tmp_path):
+    """The query: passages of over 50 words in two documents are gone from both if they are of 400 bytes, clean documents stay as they are."""
+    from tablelake.llm.queries import QUERIES
+
+    rng = random.Random(41)
+    words = lambda n: " ".join("".join(rng.choices("aeinorst", k=rng.randrange(2, 10))) for _ in range(n))
+    passages = [words(rng.randrange(51, 120)) for _ in range(60)]
+    rows, holds = [], {}
+    for p in passages:
+        for _ in range(2):
+            holds[len(rows)] = p
+            rows.append((len(rows), f"{words(rng.randrange(5, 90))} {p} {words(rng.randrange(5, 90))}"))
+    rows += [(len(rows) + k, words(rng.randrange(40, 300))) for k in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["op13_suffix_dedup"](spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    got, long = {r["doc_id"]: r for r in out.collect()}, 0
+    for i, text in rows:
+        # A neighbour of a passage is a space in both documents.
+        gone = i in holds and len(holds[i]) + 2 >= sd.LENGTH
+        long += gone
+        assert (got[i]["n_removed"] > 0) == gone and (holds[i] in got[i]["text"] if i in holds and not gone else not gone or holds[i] not in got[i]["text"])
+        assert gone or got[i]["text"] == text
+        assert hashlib.sha256(got[i]["text"].encode()).hexdigest() == got[i]["kept_sha256"]
+    assert 0 < long < len(holds)
