@@ -42,7 +42,7 @@ def built(tables, limit=None):
 _KEY = "substring(table_number, 2, 1) || '-' || CAST(CAST(floor(CAST(split_part(table_number, '.', 2) AS INT) / 50) AS INT) AS VARCHAR)"
 _STATUS = """CASE WHEN CAST(split_part(table_number, '.', 2) AS INT) % 7 = 3 THEN 'failed' WHEN substring(table_number, 2, 1) = '3'
   THEN 'other source' ELSE 'written' END"""
-# The link without a page comes first, so LIMIT leaves one table less.
+# nth counts the tables of an index page, for queries over its first links: the link without a page comes first, so LIMIT leaves one table less.
 _ENTRIES = f"""WITH {CELLS_CTE},
 linked AS (SELECT *, row_number() OVER (PARTITION BY index_key ORDER BY block) AS nth FROM (
   SELECT DISTINCT table_number, title, {_KEY} AS index_key, CAST(split_part(table_number, '.', 2) AS INT) AS block, {_STATUS} AS status FROM report_rows))"""
@@ -59,9 +59,9 @@ JOIN (SELECT n.table_number, n.row_index, n.section, n.row_label, n.indent, CAST
         c.column_name, coalesce(c.num, -1) AS num, CASE WHEN c.raw = '' THEN '#' ELSE coalesce(c.txt, '') END AS txt
       FROM report_rows n JOIN cells c ON c.table_number = n.table_number AND c.row_index = n.row_index WHERE c.column_name NOT LIKE '%2003-04') s
   ON s.table_number = l.table_number
-WHERE l.status = 'written' AND l.nth < {LIMIT}""")
+WHERE l.status = 'written'""")
 def dataset_entries(tables):
-    entries = built(tables, LIMIT).entries
+    entries = built(tables).entries
     told = entries.select(
         "eval_id", "table_number", "chapter", "edition_year", "title", "source.*", F.array_join("source_surveys", "+").alias("surveys"),
         F.array_join(F.col("years").cast("array<string>"), ",").alias("years"), "year_axis", F.col("dropped.rows").alias("dropped_rows"),
