@@ -464,6 +464,26 @@ def test_sentencepiece(spark, odd, empty):
     assert sentencepiece.round_trips(empty).collect() == []
 
 
+def test_sentencepiece_takes_words_in_blocks(spark, monkeypatch):
+    """Blocks of words come out as words one by one do, and a full memory keeps the words in use."""
+    vocabulary = sentencepiece.Vocabulary.load()
+    letters = "abeizthr\u2581\u2581  \n.é\U0001f600\U0001d4b3\x00ÿ中1"
+    made = ["".join(letters[(i * 7 + j * j * (i % 13 + 1)) % len(letters)] for j in range(i % 60)) for i in range(4000)]
+    texts = [r["text"] for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    words = sorted({w for text in [*texts, *made] for w in sentencepiece.marked_words(text)})
+    ids, counts = sentencepiece.segment(words, vocabulary)
+    wanted, many = sentencepiece._singly(words, vocabulary)
+    assert ids.tolist() == wanted.tolist() and counts.tolist() == many.tolist() and max(map(len, words)) > sentencepiece.SHORT
+    single, asked, segment = sentencepiece._singly, [], sentencepiece.segment
+    monkeypatch.setattr(sentencepiece, "_singly", lambda w, v: asked.extend(w) or single(w, v))
+    encoder = sentencepiece.Encoder(vocabulary, remembered=50)
+    first = [x.tolist() for x in encoder.encode(texts)]
+    assert all(len(w) > sentencepiece.SHORT for w in asked)
+    monkeypatch.setattr(sentencepiece, "segment", lambda w, v: asked.extend(w) or segment(w, v))
+    asked.clear()
+    assert [x.tolist() for x in encoder.encode(texts)] == first and not asked
+
+
 def test_license_scan(spark, odd, empty):
     near = "Licensed under the Apache Licence, Version 2.0"
     rows = [(1, "x\nReleased under the MIT License.\ny"), (2, near), (3, "A driving license is needed here."), (4, None), (5, "Licensed under CC BY-NC 4.0."),
