@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablelake.llm.common import byte_size, from_planes, gathered, mix, only, pack_sorted, parts, planes, unpack_sorted, word_hashes
+from tablelake.llm.common import byte_size, distinct, from_planes, gathered, mix, mix_one, only, pack_sorted, parts, planes, unpack_sorted, word_hashes
 from tablelake.llm.components import beside, components
 from tablelake.session import materialise
 
@@ -61,6 +61,7 @@ def most_errors(total: int) -> int:
     return total - 2 * -(-4 * total // 9)
 
 
+@functools.lru_cache(1 << 16)
 def need(size: int) -> int:
     """Points that the smaller set must have: one more than it may differ by from any set not smaller."""
     top = size * 5 // 4
@@ -107,7 +108,7 @@ def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
         for i in range(len(begins) - 1):
             a, b = int(begins[i]), int(begins[i + 1])
             if b - a >= WORDS:
-                yield first + i, np.unique(rolled[a : b - WORDS + 1])
+                yield first + i, distinct(rolled[a : b - WORDS + 1])
             elif b > a:  # the whole sequence is one shingle
                 total = np.array([b - a], np.uint64)
                 for j in range(a, b):
@@ -119,24 +120,35 @@ def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 def set_key(shingles: np.ndarray) -> int:
     """64-bit fingerprint of a set, the name of its class."""
-    return int(mix(np.array([mix(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64) + np.uint64(len(shingles))]))[0].astype(np.int64))
+    total = int(mix(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)) + len(shingles)
+    key = mix_one(total)
+    return key - (1 << 64) if key >> 63 else key
+
+
+@functools.cache
+def band_mark(band: int) -> np.ndarray:
+    """Tells the signatures of a band from those of others."""
+    return mix(np.array([band * 2 + 1], np.uint64))
 
 
 def signatures(shingles: np.ndarray, band: int, segments: int, near: int) -> tuple[np.ndarray, int]:
     """Signatures of a set in a band, and its points. A segment's signature is a mixed sum, so leaving one out is a difference."""
-    base = mix(np.array([band * 2 + 1], np.uint64))
+    base = band_mark(band)
     if not segments:
         return mix(shingles ^ base), len(shingles)
     values = mix(shingles + base)
     segment = (shingles >> np.uint64(20)) % np.uint64(segments)
-    order = np.argsort(segment, kind="stable")
+    # Two bytes are sorted by counting.
+    order = np.argsort(segment.astype(np.uint16) if segments <= 1 << 16 else segment, kind="stable")
     segment, values = segment[order], values[order]
-    heads = np.flatnonzero(np.diff(segment, prepend=np.uint64(segments)))
+    heads = np.concatenate([[0], np.flatnonzero(segment[1:] != segment[:-1]) + 1])
     sums = np.add.reduceat(values, heads)
     names = segment[heads] * np.uint64(0x2545F4914F6CDD1D)
+    out = [mix(sums ^ names ^ base)]
+    if not near:
+        return out[0], len(heads)
     sizes = np.diff(heads, append=len(segment))
     wide = (segment[heads] < near) & (sizes > 1)
-    out = [mix(sums ^ names ^ base)]
     if wide.any():
         of = np.repeat(np.arange(len(heads)), sizes)
         of, left = of[np.repeat(wide, sizes)], values[np.repeat(wide, sizes)]
@@ -174,7 +186,7 @@ def _index(batches: Iterator[pa.RecordBatch], shards: int, bits: int, heat: floa
     Signatures are cut to `bits`: those that meet by chance add candidates, and in one set they cost it their points.
     """
     for batch in gathered(batches):
-        sigs, owner, short = [], [], set()
+        sigs, short = [], set()
         held = []  # key, size, points to spare (-1: only the larger of a pair) of each set in each of its bands
         for _, shingles in shingle_sets(batch.column(0)):
             size = len(shingles)
@@ -188,54 +200,69 @@ def _index(batches: Iterator[pa.RecordBatch], shards: int, bits: int, heat: floa
                 segments, near = (0, 0) if by_shingle else allocate(band, heat)
                 found, points = signatures(shingles, band, segments, near)
                 whole = len(found)
-                found = np.unique(found >> np.uint64(64 - bits))
+                found = distinct(found >> np.uint64(64 - bits))
                 spare = points - 2 * (whole - len(found)) - need(size)
                 if band == own and spare < 0:
                     short.add(band)
                 sigs.append(found)
-                owner.append(np.full(len(found), len(held), np.int32))
                 held.append((key, size, -1 if band != own else max(0, spare) // (2 if near else 1)))
         for band in short:
             yield _rows("short", 1, shard=[-1], na=[band])
         if not sigs:
             continue
-        sigs, owner, held = np.concatenate(sigs), np.concatenate(owner), np.array(held, np.int64)
-        yield from _meet(sigs, held[owner], shards, bits)
+        yield from _meet(sigs, np.array(held, np.int64), shards, bits)
 
 
-def _runs(sigs: np.ndarray, held: np.ndarray):
-    """Postings by signature and key, each once; where runs of a signature begin, and their lengths."""
-    order = np.lexsort((held[:, 0], sigs))
-    sigs, held = sigs[order], held[order]
-    fresh = np.ones(len(sigs), bool)
-    fresh[1:] = (sigs[1:] != sigs[:-1]) | (held[1:, 0] != held[:-1, 0])
-    sigs, held = sigs[fresh], held[fresh]
+def _runs(sigs: np.ndarray, who: np.ndarray, keys: np.ndarray):
+    """Postings by signature and key, each once; where runs of a signature begin, and their lengths. `keys` ascend with the numbers of sets `who`, as these do as they come."""
+    order = np.argsort(sigs, kind="stable")
+    sigs, who = sigs[order], who[order]
+    same = sigs[1:] == sigs[:-1]
+    twice = np.zeros(len(sigs), bool)
+    twice[1:] = same & (keys[who[1:]] == keys[who[:-1]])
+    sigs, who = sigs[~twice], who[~twice]
     heads = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]])) if len(sigs) else np.zeros(0, int)
-    return sigs, held, heads, np.diff(heads, append=len(sigs))
+    return sigs, who, heads, np.diff(heads, append=len(sigs))
 
 
-def _members(sigs, held, inside) -> Iterator[pa.RecordBatch]:
+def _members(sigs, held, who, inside) -> Iterator[pa.RecordBatch]:
     """Postings of signatures held by many."""
     if inside.any():
-        held = held[inside]
+        held = held[who[inside]]
         yield _rows("member", len(held), sig=sigs[inside].view(np.int64), a=held[:, 0], na=held[:, 1].astype(np.int32), nb=held[:, 2].astype(np.int32))
 
 
-def _meet(sigs, held, shards: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """Map side: of a signature that many hold only one posting goes on, marked; the rest is packed by shard, a range of signatures."""
-    sigs, held, heads, lengths = _runs(sigs, held)
+def _by_key(held: np.ndarray) -> np.ndarray:
+    """The order of sets by key; of one key, the set in its own band comes first."""
+    return np.lexsort((-held[:, 2], held[:, 1], held[:, 0]))
+
+
+def _meet(sigs: list[np.ndarray], held: np.ndarray, shards: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Map side: of a signature that many hold only one posting goes on, marked; the rest is packed by shard, a range of signatures.
+
+    `sigs` has the signatures of each of the sets `held`.
+    """
+    order = _by_key(held)
+    held, sigs = held[order], [sigs[i] for i in order.tolist()]
+    # Copies, in key, size and points to spare, are one set.
+    number = np.cumsum(np.concatenate([[False], (held[1:] != held[:-1]).any(axis=1)]))
+    who = np.repeat(number, [len(x) for x in sigs]).astype(np.int32)
+    held = held[np.searchsorted(number, np.arange(number[-1] + 1))]
+    sigs, who, heads, lengths = _runs(np.concatenate(sigs), who, held[:, 0])
     many = np.repeat(lengths > FEW, lengths)
-    yield from _members(sigs, held, many)
+    yield from _members(sigs, held, who, many)
     keep = ~many
     keep[heads] = True
-    sigs, held, many = sigs[keep], held[keep], many[keep]
+    sigs, who, many = sigs[keep], who[keep], many[keep]
     shard = ((sigs >> np.uint64(bits - 32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
     cuts = np.append(np.flatnonzero(np.diff(shard, prepend=-1)), len(shard))
     pack = zstandard.ZstdCompressor(level=1).compress
+    at = np.zeros(len(held), np.uint32)
     for low, high in zip(cuts[:-1], cuts[1:]):
-        who, at = np.unique(held[low:high], axis=0, return_inverse=True)
-        head = np.array([high - low, len(who)], np.int64).tobytes()
-        body = pack_sorted(sigs[low:high]) + planes(at.ravel().astype(np.uint32)) + np.packbits(many[low:high]).tobytes() + planes(who.ravel())
+        own = distinct(who[low:high])
+        at[own] = np.arange(len(own))
+        head = np.array([high - low, len(own)], np.int64).tobytes()
+        body = pack_sorted(sigs[low:high]) + planes(at[who[low:high]]) + np.packbits(many[low:high]).tobytes() + planes(held[own].ravel())
         yield _rows("index", 1, shard=[int(shard[low])], payload=[head + pack(body)])
 
 
@@ -257,18 +284,24 @@ def _shard(payloads: list[bytes]) -> Iterator[pa.RecordBatch]:
     low, high = min(int(p[0][0]) for p in posted), max(int(p[0][-1]) for p in posted)
     ends = np.array([low + (high - low) * i // RANGES for i in range(1, RANGES)], np.uint64)
     cuts = [[0, *np.searchsorted(p[0], ends, "right"), len(p[0])] for p in posted]
+    held = np.concatenate([sets for *_, sets in posted])
+    order = _by_key(held)
+    held, place = held[order], np.zeros(len(held), np.int32)
+    place[order] = np.arange(len(order))
+    firsts = np.cumsum([0, *(len(sets) for *_, sets in posted)])
     for i in range(RANGES):
-        own = [(s[c[i] : c[i + 1]], sets[who[c[i] : c[i + 1]]], marks[c[i] : c[i + 1]]) for (s, who, marks, sets), c in zip(posted, cuts)]
-        sigs, held, already = map(np.concatenate, zip(*own))
+        own = [(s[c[i] : c[i + 1]], place[first + who[c[i] : c[i + 1]].astype(np.int64)], marks[c[i] : c[i + 1]]) for (s, who, marks, _), c, first in zip(posted, cuts, firsts)]
+        sigs, who, already = map(np.concatenate, zip(*own))
         if len(sigs):
-            yield from _settle(sigs, held, already)
+            yield from _settle(sigs, who, held, already)
 
 
-def _settle(sigs, held, already) -> Iterator[pa.RecordBatch]:
+def _settle(sigs, who, held, already) -> Iterator[pa.RecordBatch]:
     hot = np.unique(sigs[already])
-    sigs, held, heads, lengths = _runs(sigs, held)
+    order = np.argsort(who, kind="stable")
+    sigs, who, heads, lengths = _runs(sigs[order], who[order], held[:, 0])
     many = (lengths > FEW) | np.isin(sigs[heads], hot)
-    yield from _members(sigs, held, np.repeat(many, lengths))
+    yield from _members(sigs, held, who, np.repeat(many, lengths))
     few = np.flatnonzero(~many & (lengths > 1))
     a, b = [heads[:0]], [heads[:0]]
     for step in range(1, FEW):
@@ -276,7 +309,7 @@ def _settle(sigs, held, already) -> Iterator[pa.RecordBatch]:
         for back in range(step):
             a.append(ok + back)
             b.append(ok + step)
-    yield from _pairs(held[np.concatenate(a)], held[np.concatenate(b)])
+    yield from _pairs(held[who[np.concatenate(a)]], held[who[np.concatenate(b)]])
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -296,12 +329,19 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0)], ["k", "text"])
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values two arrays share that hold each of theirs once."""
+    both = np.sort(np.concatenate([a, b]))
+    return int(np.count_nonzero(both[1:] == both[:-1]))
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        left = dict(shingle_sets(batch.column(2)))
-        right = dict(shingle_sets(batch.column(3)))
-        common = [len(np.intersect1d(left[i], right[i], assume_unique=True)) for i in range(batch.num_rows)]
-        total = [len(left[i]) + len(right[i]) - c for i, c in enumerate(common)]
+        # A text on many pairs of the batch is cut into shingles once.
+        sides = [np.unique(batch.column(i).to_numpy(), return_index=True, return_inverse=True) for i in (0, 1)]
+        (left, l), (right, r) = ((dict(shingle_sets(batch.column(2 + i).take(pa.array(first)))), at.tolist()) for i, (_, first, at) in enumerate(sides))
+        common = [_common(left[l[i]], right[r[i]]) for i in range(batch.num_rows)]
+        total = [len(left[l[i]]) + len(right[r[i]]) - c for i, c in enumerate(common)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "common", "total"])
 
 

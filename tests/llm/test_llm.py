@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tablelake.llm import (
     components, embedding_dedup, language_id, license_scan, lm_scoring, mixing, ngram_join, pii, sentencepiece, sharding, topk_search,
 )
+from tablelake.llm.common import distinct, mix, mix_one
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, k string, sig int, `a b` int"
@@ -464,6 +465,27 @@ def test_sentencepiece(spark, odd, empty):
     assert sentencepiece.round_trips(empty).collect() == []
 
 
+def test_a_text_on_many_pairs_is_cut_once(monkeypatch):
+    """Of a batch of pairs each text's shingles are made once a side, and counts are those of the sets."""
+    texts = [" ".join(str((i * 3 + j) % 40) for j in range(30)) for i in range(6)] + ["", "one two", None]
+    a, b = [i % 3 for i in range(60)], [i % len(texts) for i in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array([texts[i] for i in a]), pa.array([texts[i] for i in b])], ["a", "b", "ta", "tb"])
+    words = [(t or "").split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    made, whole = [], ngram_join.shingle_sets
+    monkeypatch.setattr(ngram_join, "shingle_sets", lambda t: (made.append(x) or x for x in whole(t)))
+    (out,) = ngram_join._compare(iter([batch]))
+    assert out.column("common").to_pylist() == [len(sets[i] & sets[j]) for i, j in zip(a, b)]
+    assert out.column("total").to_pylist() == [len(sets[i] | sets[j]) for i, j in zip(a, b)]
+    assert len(made) == 3 + len(texts)
+
+
+def test_distinct_values_and_one_number_mixed():
+    for values in ([], [7], [3, 3], [9, 1, 9, 2**63 + 1, 1]):
+        x = np.array(values, np.uint64)
+        assert distinct(x).tolist() == sorted(set(values)) and [mix_one(v) for v in values] == mix(x).tolist()
+
+
 def test_sentencepiece_takes_words_in_blocks(spark, monkeypatch):
     """Blocks of words come out as words one by one do, and a full memory keeps the words in use."""
     vocabulary = sentencepiece.Vocabulary.load()
